@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_mixing": mixing.op4_mixing,
+    "op6_simhash": simhash.op6_simhash,
     "op8_sharding": sharding.op8_sharding,
 }
 
