@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, sharding, simhash
+from . import decontamination, html, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op5_html_extraction": html.op5_html_extraction,
     "op6_simhash": simhash.op6_simhash,
     "op8_sharding": sharding.op8_sharding,
 }
