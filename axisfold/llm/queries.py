@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, mixing, quality, sharding, simhash
+from . import decontamination, html, mixing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": html.op5_html_extraction,
     "op6_simhash": simhash.op6_simhash,
     "op8_sharding": sharding.op8_sharding,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
