@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, mixing, quality, sharding, simhash, spans, toxicity
+from . import decontamination, html, language, mixing, quality, sharding, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op10_language_id": language.op10_language_id,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op5_html_extraction": html.op5_html_extraction,
