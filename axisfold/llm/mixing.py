@@ -47,15 +47,19 @@ def water_levels(sources: DataFrame, cap: float) -> DataFrame:
     return x.select("source", "source_size", "weight", F.least("limit", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Copies to take of each document.
+def hinted(sources: DataFrame):
+    """Broadcast for tables of one row a source, where there are few enough sources."""
+    return F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
 
-    ``docs``: doc_id, source, size, hash (60 bits).  ``targets``: source,
-    source_size, target.  Adds source_size, target and copies (long).
+
+def mix_plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, source_size, target, full (copies of every document) and threshold.
+
+    A document is taken once more if its hash is at most the threshold.
+    ``docs``: source, size, hash (60 bits).  ``targets``: source, source_size, target.
     """
     targets = checkpointed(targets)
-    small = targets.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if small else (lambda x: x)
+    hint = hinted(targets)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("full", full).withColumn("need", F.col("target") - F.col("full") * F.col("source_size"))
     state = plan.select("source", "need", F.lit(0).cast("long").alias("prefix"), F.lit(-1).cast("long").alias("threshold"), F.lit(False).alias("done"))
@@ -90,9 +94,15 @@ def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
         )
         if not state.where(~F.col("done")).take(1):
             break
-    plan = plan.join(hint(state.select(F.col("source").alias("s"), "threshold")), F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "full", "threshold")
-    copies = F.col("full") + (F.col("hash") <= F.col("threshold")).cast("long")
-    return docs.join(hint(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies).drop("s", "full", "threshold", "hash")
+    state = state.select(F.col("source").alias("s"), "threshold")
+    return checkpointed(plan.join(hint(state), F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", "full", "threshold"))
+
+
+def planned(docs: DataFrame, plan: DataFrame, hash_: Column) -> DataFrame:
+    """``docs`` with source_size, target and copies (long), by their source and hash."""
+    own = plan.select(F.col("source").alias("_s"), "source_size", "target", F.col("full").alias("_full"), F.col("threshold").alias("_threshold"))
+    joined = docs.join(hinted(plan)(own), F.col("source").eqNullSafe(F.col("_s")))
+    return joined.withColumn("copies", F.col("_full") + (hash_ <= F.col("_threshold")).cast("long")).drop("_s", "_full", "_threshold")
 
 
 def sources_by_rank(docs: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
@@ -103,10 +113,24 @@ def sources_by_rank(docs: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
     return sizes.withColumn("weight", F.element_at(weights, (rank % len(cycle) + 1).cast("int")))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and hash of every document, kept for the passes to come."""
+    return checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("hash")))
+
+
 def mix_documents(docs: DataFrame, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0) -> DataFrame:
-    """Every document's doc_id, source, size, source_size, target and copies."""
-    sized = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("hash")))
-    return mix(sized, water_levels(sources_by_rank(sized, cycle), cap))
+    """doc_id, source, size, hash, source_size, target and copies of every document."""
+    own = sized(docs)
+    return planned(own, mix_plan(own, water_levels(sources_by_rank(own, cycle), cap)), F.col("hash"))
+
+
+def mixed_rows(docs: DataFrame, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    own = sized(docs)
+    plan = mix_plan(own, water_levels(sources_by_rank(own, cycle), cap))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), hash60(F.col("doc_id"), F.col("text")).alias("hash"))
+    taken = planned(rows, plan, F.col("hash")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

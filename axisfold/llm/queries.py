@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, language, mixing, quality, sharding, simhash, spans, toxicity
+from . import decontamination, html, language, lm_score, mixing, quality, sharding, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op10_language_id": language.op10_language_id,
+    "op2_lm_scoring": lm_score.op2_lm_scoring,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op5_html_extraction": html.op5_html_extraction,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_lm_scoring": lm_score.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
 }

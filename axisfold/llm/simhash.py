@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, free_name, table
 from .components import components
 
 SEED = 42
@@ -238,6 +238,21 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_copies(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
+    """One document of each linked group, the one of least doc_id.
+
+    Rows that share a doc_id are one document, of which the row whose text has the
+    least hash stays.  Rows without a doc_id can't be named as copies and stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    keepers = near_duplicates(named, k, radius).where("doc_id = component_id").select("doc_id").distinct()
+    rows = named.join(keepers, "doc_id", "left_semi")
+    order = free_name(docs, "_order")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).drop(order)
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
