@@ -24,6 +24,8 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -75,16 +77,29 @@ def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.nda
     return out
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """The low bytes of sorted keys, byte by byte from the highest, which compresses well."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES][:, ::-1].T).tobytes()
+def squeeze(x: np.ndarray) -> bytes:
+    """Small whole numbers, one byte each before compression; those from 255 on follow in full."""
+    large = x >= 255
+    body = np.where(large, 255, x).astype(np.uint8).tobytes() + x[large].astype(np.int64).tobytes()
+    return np.int64(len(x)).tobytes() + zlib.compress(body, 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    body = zlib.decompress(data[8:])
+    out = np.frombuffer(body, dtype=np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(body[n:], dtype=np.int64)
+    return out
+
+
+def pack(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys, cut to KEY_BYTES: the steps of the high bytes, and the low four bytes."""
+    keys = keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    return squeeze(np.diff((keys >> np.uint64(32)).astype(np.int64), prepend=0)), keys.astype(np.uint32).tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(KEY_BYTES, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :KEY_BYTES] = planes[::-1].T
-    return out.view(np.uint64).ravel()
+def unpack(steps: bytes, low: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(steps)).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, dtype=np.uint32)
 
 
 def _slices(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -147,51 +162,39 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
     def send(block: pa.Table) -> pa.Table:
         keys, counts = block_counts(block.column("text").to_pylist(), order)
         cut = _slices(keys, bits)
+        packed = [pack(keys[a:b]) for _, a, b in cut]
         return pa.table(
             {
                 "part": pa.array([p for p, _, _ in cut], pa.int32()),
                 "block": pa.array([block.column("block")[0].as_py()] * len(cut), pa.int32()),
-                "keys": pa.array([pack(keys[a:b]) for _, a, b in cut], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in cut], pa.binary()),
+                "steps": pa.array([x for x, _ in packed], pa.binary()),
+                "low": pa.array([x for _, x in packed], pa.binary()),
+                "counts": pa.array([squeeze(counts[a:b]) for _, a, b in cut], pa.binary()),
             }
         )
 
     def count(part: pa.Table) -> pa.Table:
-        keys = [unpack(x.as_py()) for x in part.column("keys")]
-        counts = [np.frombuffer(x.as_py(), dtype=np.uint32).astype(np.int64) for x in part.column("counts")]
+        keys = [unpack(x.as_py(), y.as_py()) for x, y in zip(part.column("steps"), part.column("low"), strict=True)]
+        counts = [unsqueeze(x.as_py()) for x in part.column("counts")]
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
         flat = np.concatenate(counts)
         others = np.bincount(which, weights=flat).astype(np.int64)[which] - flat
         ends = np.cumsum([len(k) for k in keys])
-        # counts beyond 32 bits are held at the largest, and only the number of words can reach it
-        sent = [np.minimum(o, 2**63 - 1).astype(np.int64) for o in np.split(others, ends[:-1])]
-        return pa.table({"block": part.column("block"), "part": part.column("part"), "elsewhere": pa.array([_small(o) for o in sent], pa.binary())})
+        sent = [squeeze(o) for o in np.split(others, ends[:-1])]
+        return pa.table({"block": part.column("block"), "part": part.column("part"), "elsewhere": pa.array(sent, pa.binary())})
 
     def score(block: pa.Table, heard: pa.Table) -> pa.Table:
         parts = heard.column("part").to_numpy()
         told = heard.column("elsewhere").to_pylist()
-        elsewhere = np.concatenate([_wide(told[i]) for i in np.argsort(parts)])
+        elsewhere = np.concatenate([unsqueeze(told[i]) for i in np.argsort(parts)])
         sizes, scores = score_block(block.column("text").to_pylist(), elsewhere, order, backoff)
         return pa.table({"doc_id": block.column("doc_id"), "n_words": pa.array(sizes), "score": pa.array(scores)})
 
-    sent = rows.groupBy("block").applyInArrow(send, "part int, block int, keys binary, counts binary")
+    sent = rows.groupBy("block").applyInArrow(send, "part int, block int, steps binary, low binary, counts binary")
     heard = sent.groupBy("part").applyInArrow(count, "block int, part int, elsewhere binary")
     return rows.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, score double")
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Counts as (places, values) of those that aren't zero, after their number."""
-    at = np.nonzero(x)[0]
-    return np.int64(len(x)).tobytes() + np.int64(len(at)).tobytes() + np.diff(at, prepend=0).astype(np.uint32).tobytes() + x[at].astype(np.int64).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    n, m = np.frombuffer(data, dtype=np.int64, count=2)
-    out = np.zeros(n, dtype=np.int64)
-    out[np.cumsum(np.frombuffer(data, dtype=np.uint32, count=m, offset=16).astype(np.int64))] = np.frombuffer(data, dtype=np.int64, count=m, offset=16 + 4 * m)
-    return out
-
-
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scores(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("mean_score"))
