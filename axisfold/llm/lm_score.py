@@ -92,9 +92,10 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return out
 
 
-def pack(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys, cut to KEY_BYTES: the steps of the high bytes, and the low four bytes."""
-    keys = keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
+def pack(keys: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """Sorted keys, cut to the KEY_BYTES after their partition's bits: the steps of
+    the high bytes, and the low four bytes."""
+    keys = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
     return squeeze(np.diff((keys >> np.uint64(32)).astype(np.int64), prepend=0)), keys.astype(np.uint32).tobytes()
 
 
@@ -162,7 +163,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
     def send(block: pa.Table) -> pa.Table:
         keys, counts = block_counts(block.column("text").to_pylist(), order)
         cut = _slices(keys, bits)
-        packed = [pack(keys[a:b]) for _, a, b in cut]
+        packed = [pack(keys[a:b], bits) for _, a, b in cut]
         return pa.table(
             {
                 "part": pa.array([p for p, _, _ in cut], pa.int32()),
