@@ -36,7 +36,7 @@ def apply_calibration(df: DataFrame, generation: str, calibration: DataFrame, te
     own = calibration.where(F.col("generation") == generation)
     boards = nearest_key(temperatures, own)
     on = [c for c in (identity, "Board") if c in boards.columns and c in df.columns]
-    b = boards.join(F.broadcast(own.select("temp_key", F.col("state").alias("State"), F.col("b").alias("_b"))), "temp_key").select(*on, "State", "_b")
+    b = boards.join(own.select("temp_key", F.col("state").alias("State"), F.col("b").alias("_b")), "temp_key").select(*on, "State", "_b")
     out = guarded_div(-log10_ieee(F.col(value)), F.col("_b")) * 1000
     return df.join(b, [*on, "State"], "left").select(*df.drop(value).columns, or_nan(out).alias(value))
 

@@ -96,8 +96,8 @@ def axis_catalog(catalog: Catalog, type_: str) -> DataFrame:
         if codes is not None:
             texts.append(codes.select(F.lit(a).alias("axis"), F.col("code").cast("string").alias("code"), F.col("text").cast("string").alias("text"), F.lit(True).alias("mapped")))
     if texts:
-        got = got.join(F.broadcast(union(texts)), ["axis", "code"], "left")  # code maps
-        mapped = F.broadcast(union(texts).select("axis").distinct().withColumn("has_map", F.lit(True)))
+        got = got.join(union(texts), ["axis", "code"], "left")
+        mapped = union(texts).select("axis").distinct().withColumn("has_map", F.lit(True))
         got = got.join(mapped, "axis", "left").select("axis", "pos", F.when(F.col("has_map"), F.col("text")).otherwise(F.col("code")).alias("value"))
     else:
         got = got.select("axis", "pos", F.col("code").alias("value"))
@@ -109,9 +109,9 @@ def candidates(codes: DataFrame, present: DataFrame) -> DataFrame:
 
     ``present``: code, the codes that occur.
     """
-    hit = codes.join(F.broadcast(present.select("code").distinct()), "code", "left_semi")  # axis codes
+    hit = codes.join(present.select("code").distinct(), "code", "left_semi")
     some = hit.agg((F.count("*") > 0).alias("_some"))
-    kept = codes.join(F.broadcast(present.select("code").distinct().withColumn("_in", F.lit(True))), "code", "left").crossJoin(F.broadcast(some))
+    kept = codes.join(present.select("code").distinct().withColumn("_in", F.lit(True)), "code", "left").crossJoin(F.broadcast(some))
     return kept.where(~F.col("_some") | F.col("_in")).select("code", "text")
 
 

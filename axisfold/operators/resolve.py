@@ -1,4 +1,8 @@
-"""Axis resolution: dimension columns through side tables and code maps."""
+"""Axis resolution: dimension columns through side tables and code maps.
+
+No join is hinted: side tables grow with the epochs, so Spark broadcasts them only
+where their size allows.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,6 @@ from .fold import VALUE
 
 SIDE_KEYS = ("InBatchEpoch", "Board", "Chip", "Block", "Measure")
 OVERRIDE = "_Override"
-#: Side and map tables of at most so many bytes, by Spark's estimate, are broadcast.
-BROADCAST_BYTES = 64 << 20
 
 
 def map_names(axis: str) -> list[str]:
@@ -28,12 +30,6 @@ def map_names(axis: str) -> list[str]:
     return [axis]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast where the estimated size allows; else Spark chooses the join."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def as_override(text: Column) -> Column:
     """TRUE and 1 are true, other texts false; null stays."""
     return F.when(text.isNotNull(), F.upper(text.cast("string")).isin("TRUE", "1"))
@@ -45,12 +41,12 @@ def join_side(df: DataFrame, side: DataFrame, take: Iterable[str], identity: tup
     if not take:
         return df
     keys = [c for c in (*identity, *SIDE_KEYS) if c in df.columns and c in side.columns]
-    return df.join(small(side.select(*keys, *take)), keys, "left")
+    return df.join(side.select(*keys, *take), keys, "left")
 
 
 def join_map(df: DataFrame, axis: str, codes: DataFrame) -> DataFrame:
     """An axis code replaced by its text; codes without text become null."""
-    named = small(codes.select(F.col("code").alias("_code"), F.col("text").alias("_text")))
+    named = codes.select(F.col("code").alias("_code"), F.col("text").alias("_text"))
     text = as_override(F.col("_text")) if axis.endswith(OVERRIDE) else F.col("_text")
     columns = df.columns
     got = df.join(named, F.col(axis) == F.col("_code"), "left")

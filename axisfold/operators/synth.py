@@ -30,7 +30,7 @@ def grid(spark: SparkSession, columns: Sequence[DataFrame]) -> DataFrame:
     """Every combination of the rows of small one-column frames."""
     out = spark.range(1).select()
     for c in columns:
-        out = out.crossJoin(F.broadcast(c))
+        out = out.crossJoin(c)
     return out
 
 
@@ -77,7 +77,7 @@ def expand_boards_chips(df: DataFrame, chips: Sequence[int], check: bool = True)
     boards = F.explode(F.array(*[F.struct(F.lit(b).cast("long").alias("b"), F.lit(n).alias("n")) for b, n in enumerate(chips)]))
     out = df.drop(*own).withColumn("_b", boards)
     if "Chip" in own:
-        out = out.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_b.n") - 1)).cast("long"))
+        out = out.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b.n").cast("long") - 1)))
     made: Mapping[str, object] = {"Board": F.col("_b.b"), "Chip": F.col("_c") if "Chip" in own else None}
     return out.select(*[made[c].alias(c) if c in own else F.col(c) for c in df.columns])
 
