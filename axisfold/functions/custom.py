@@ -41,7 +41,7 @@ def custom_part(name: str, catalog, params: Mapping) -> DataFrame:
 def by_epoch(df: DataFrame, fn: Callable[[pd.DataFrame, Mapping], float], params: Mapping) -> DataFrame:
     """A Python-only function of one epoch's rows; what it raises becomes the reason."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         try:
             got = fn(rows, params)
             good = isinstance(got, int | float) and not isinstance(got, bool) and math.isfinite(got)

@@ -133,7 +133,7 @@ class ScorePart:
                 step = replace(step, value=look(weights if is_virtual(axis) else selections, step.ref, where), ref=None)
             if step.weight_ref is not None:
                 step = replace(step, weight=look(weights, step.weight_ref, where), weight_ref=None)
-            if step.op == "filter" and isinstance(step.value, list) and len(step.value) == 1:
+            if step.op == "filter" and isinstance(step.value, list) and len(step.value) == 1 and not isinstance(step.value[0], list):
                 step = replace(step, value=step.value[0])
             steps[axis] = step.checked(where)
         for axis in self.effective_order():
