@@ -43,6 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the new columns, each computed once.
+
+    The columns pass through a generator, which no later filter is pushed below, so
+    what uses them never repeats what they cost.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")
+    return df.select(*keep, made).select(*keep, "made.*")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not use yet."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, table, words
+from .common import SPACES, checkpointed, settled, table, words
 
 #: At most so many labelled documents are learned from, those of lowest hash.
 MAX_LABELLED = 10_000
@@ -62,34 +62,37 @@ def repeat_words(w: Column) -> Column:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the counts and ratios of the text."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*COUNTS, *RATIOS}]
-    x = docs.select(*cols, words(body).alias("_w"), body.alias("_body"))
-    w, b, n = F.col("_w"), F.col("_body"), F.col("n_words")
-    joined = F.array_join("_w", "")
-    filled = F.filter(F.split("_body", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    x = x.select(
-        *cols,
-        F.size(w).cast("long").alias("n_words"),
-        F.length(joined).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(b, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        F.size(filled).cast("long").alias("_lines"),
-        (F.size(filled) - F.size(F.array_distinct(filled))).cast("long").alias("n_dup_lines"),
-        repeat_words(w).alias("n_repeat_words"),
-        F.size(F.array_distinct(w)).alias("_distinct"),
-        F.length(F.regexp_replace(joined, "[^\\p{Lu}]+", "")).alias("_upper"),
-        F.length(F.regexp_replace(joined, "[^!?]+", "")).alias("_marks"),
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*COUNTS, *RATIOS}]
+    # the row travels as one column, so its names can't clash with the helpers'
+    x = docs.select(F.struct(*kept).alias("row"), body.alias("body"))
+    x = settled(x, ["row", "body"], w=words(F.col("body")))
+    x = settled(x, ["row", "body", "w"], joined=F.array_join("w", ""), filled=F.filter(F.split("body", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""))
+    w, b, joined, filled, n = F.col("w"), F.col("body"), F.col("joined"), F.col("filled"), F.col("n_words")
+    x = settled(
+        x,
+        ["row"],
+        n_words=F.size(w).cast("long"),
+        word_chars=F.length(joined).cast("long"),
+        n_symbols=F.length(F.regexp_replace(b, f"[^{SYMBOLS}]+", "")).cast("long"),
+        lines=F.size(filled).cast("long"),
+        n_dup_lines=(F.size(filled) - F.size(F.array_distinct(filled))).cast("long"),
+        n_repeat_words=repeat_words(w),
+        distinct=F.size(F.array_distinct(w)),
+        upper=F.length(F.regexp_replace(joined, "[^\\p{Lu}]+", "")),
+        marks=F.length(F.regexp_replace(joined, "[^!?]+", "")),
     )
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return x.select(
-        *[F.col(f"`{c}`") for c in x.columns if not c.startswith("_") or c in docs.columns],
+        "row.*",
+        *COUNTS,
         share(F.col("word_chars"), n).alias("mean_word_chars"),
         share(F.col("n_symbols"), n).alias("symbol_ratio"),
-        share(F.col("n_dup_lines"), F.col("_lines")).alias("dup_line_ratio"),
+        share(F.col("n_dup_lines"), F.col("lines")).alias("dup_line_ratio"),
         share(F.col("n_repeat_words"), n).alias("repeat_ratio"),
-        share(F.col("_distinct"), n).alias("distinct_ratio"),
-        share(F.col("_upper"), F.col("word_chars")).alias("upper_ratio"),
-        share(F.col("_marks"), n).alias("mark_ratio"),
-        share(n, F.col("_lines")).alias("words_a_line"),
+        share(F.col("distinct"), n).alias("distinct_ratio"),
+        share(F.col("upper"), F.col("word_chars")).alias("upper_ratio"),
+        share(F.col("marks"), n).alias("mark_ratio"),
+        share(n, F.col("lines")).alias("words_a_line"),
     )
 
 
@@ -136,6 +139,8 @@ def learn_rules(labelled: DataFrame, features: list[str] = FEATURES, bins: int =
     """
     cuts_of = labelled.agg(*[F.expr(f"percentile_approx({f}, array({', '.join(str((k + 1) / (bins + 1)) for k in range(bins))}), 10000)").alias(f) for f in features]).first()
     cuts = {f: sorted(set(cuts_of[f] or [])) for f in features}
+    if not any(cuts.values()):
+        return []
     binned = labelled.select(
         (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(3)) == 0).alias("held"),
         F.col("bad").cast("int").alias("bad"),
