@@ -25,7 +25,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -142,7 +142,7 @@ def edit_match(masks: dict[str, int], m: int, words: list[str], stop_at: int = -
 
 def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks that are small enough to send to every task."""
-    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
@@ -171,19 +171,23 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, min_words: in
     return out
 
 
+def clean(text: Column, sent) -> Column:
+    """Whether none of the items of a broadcast block is in the text."""
+
+    @F.pandas_udf("boolean")
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(*sent.value)
+        for texts in parts:
+            yield pd.Series([not matcher.find(t) for t in texts], dtype=bool)
+
+    return search(text.cast("string"))
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item is found, without moving them."""
-    spark = docs.sparkSession
     for block in item_blocks(items, block_chars):
-        sent = spark.sparkContext.broadcast((block, rate, min_words))
-
-        @F.pandas_udf("boolean")
-        def clean(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            matcher = Matcher(*sent.value)
-            for texts in parts:
-                yield pd.Series([not matcher.find(t) for t in texts], dtype=bool)
-
-        docs = docs.where(clean(F.col(f"`{text}`").cast("string")))
+        sent = docs.sparkSession.sparkContext.broadcast((block, rate, min_words))
+        docs = docs.where(clean(F.col(f"`{text}`"), sent))
     return docs
 
 
