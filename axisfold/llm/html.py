@@ -29,6 +29,7 @@ from .html_labelled import PAGES
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_OPEN = re.compile(r"</?[a-zA-Z!?]")
 _NAME = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,8 +80,10 @@ def page_blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
                 out.append((text, n, min(linked, n), int(top[1]), int(top[2])))
             parts.clear()
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
+        if at > last and _OPEN.match(page, at):
+            break  # the page ends inside a tag
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m[2] or m[5]

@@ -47,7 +47,7 @@ def slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [b" " + b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" " for t in texts]
     sizes = np.array([max(0, len(p) - 2) for p in parts], dtype=np.int64)
     ends = np.cumsum([len(p) for p in parts])
-    raw = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"".join(parts) or b"  ", dtype=np.uint8).astype(np.uint32)
     code = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(18)
     inside = np.ones(len(code), dtype=bool)
     for cut in ends[:-1]:
@@ -68,12 +68,14 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(own), minlength=SLOTS)
         for lang, c in sums.items():
             where = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where)), pa.array(where), pa.array(c[where])], names=["lang", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int64()), pa.array(c[where], pa.int64())], names=["lang", "slot", "n"])
 
     labelled = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
     rows = labelled.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # languages x SLOTS
     langs = sorted(rows["lang"].unique())
     counts = np.full((len(langs), SLOTS), 0.5)
+    if not langs:
+        return [], counts.astype(np.float32)
     for k, lang in enumerate(langs):
         own = rows[rows["lang"] == lang]
         counts[k, own["slot"].to_numpy()] += own["n"].to_numpy()
@@ -95,7 +97,7 @@ def text_evidence(content: Column, model: np.ndarray, markup: bool) -> Column:
                     sums[some, k] = np.add.reduceat(row[at], begin[:-1][some], dtype=np.float64)
             # one word's edges alone say little; a text without letters has " " only
             z = sums * np.minimum(1.0, EFFECTIVE / np.maximum(size, 1))[:, None]
-            p = np.exp(z - z.max(axis=1, keepdims=True)) if len(model) else z
+            p = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
             yield pd.Series(list(p / p.sum(axis=1, keepdims=True)), dtype=object)
 
     return judge(content.cast("string"))
@@ -160,8 +162,6 @@ def identify(pages: DataFrame | None, docs: DataFrame) -> DataFrame:
     langs, model = train(docs)
     none = F.lit(None).cast("string")
     columns = "page_id", "doc_id", "declared", "suffix", "domain", "host", "text"
-    if not langs:
-        raise ValueError("no labelled documents to learn languages from")
     source = F.concat(F.lit("source:"), F.col("source").cast("string"))
     rows = docs.select(F.lit(None).cast("long").alias("page_id"), F.col("doc_id").cast("long").alias("doc_id"), none.alias("declared"), none.alias("suffix"), source.alias("domain"), source.alias("host"), text_evidence(F.col("text"), model, False).alias("text"))
     if pages is not None:
@@ -179,7 +179,8 @@ def identify(pages: DataFrame | None, docs: DataFrame) -> DataFrame:
                 text_evidence(F.col("html"), model, True).alias("text"),
             )
         )
-    return fuse(rows.select(*columns), langs)
+    rows = rows.select(*columns)
+    return fuse(rows, langs) if langs else rows.select("*", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

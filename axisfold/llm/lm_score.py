@@ -18,7 +18,7 @@ bytes of a 64-bit hash.
 
 Defined cases: a null, empty or blank text has 0 words, score 0 and no mean; where
 no other document has words, others count as one word; repeated rows are documents
-of their own, so they vouch for each other; ids may repeat or be null; extra columns
+of their own, so they vouch for each other, and share a block; ids may be null; extra columns
 are ignored.
 """
 
@@ -157,7 +157,6 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     bits = max(0, int(np.ceil(np.log2(max(1, chars * 0.1 * order / partition_grams)))))
-    # rows with equal content are spread, too
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
 
     def send(block: pa.Table) -> pa.Table:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, free_name, table
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -109,9 +109,10 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
             out.append("\n".join(s for i, s in enumerate(sentences(t)) if i not in gone) if gone else t)
         return pd.Series(out, dtype=object)
 
-    found = checkpointed(repeated(docs, min_sentences, min_words).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("text", cut("text", "_removed")).drop("_id", "_removed").select(*docs.columns)
+    key, gone = free_name(docs, "_id"), free_name(docs, "_removed")
+    found = checkpointed(repeated(docs, min_sentences, min_words).select(F.col("doc_id").alias(key), F.col("removed").alias(gone)))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    return joined.withColumn("text", cut("text", gone)).select(*docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

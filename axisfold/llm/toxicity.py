@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     weights = np.zeros((len(rows), size), dtype=np.float32)
     for i, r in enumerate(examples):
         weights[r["at"], i] = r["w"]
-    block_max = weights.reshape(len(rows), -1, BLOCK).max(axis=2, initial=0)
+    block_max = weights.reshape(len(rows), size // BLOCK, BLOCK).max(axis=2, initial=0)
     index = Index(vocabulary, idf, np.array([r["doc_id"] for r in examples], dtype=np.int64), np.array([r["toxic"] for r in examples], dtype=np.int64), weights, block_max, positive / max(n, 1))
     if len(examples):
         index.calibrate()
