@@ -5,8 +5,8 @@ together hold enough words is hashed; equal hashes are joined over the whole
 corpus; and sentences are removed that lie in a span whose first occurrence, by
 doc_id and position, is elsewhere.
 
-A run starts at each sentence and takes the fewest sentences, at least
-``min_sentences``, that reach ``min_words`` words.  Sentences end at a line break
+A run starts at each sentence, and one ends at each sentence; it takes the fewest
+sentences, at least ``min_sentences``, that reach ``min_words`` words.  Sentences end at a line break
 or after a full stop, question or exclamation mark (also … 。！？) that is followed by
 white space.  Their words are compared as written, whatever the white space.
 
@@ -47,13 +47,21 @@ def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
     for w in own:
         upto.append(upto[-1] + len(w))
     lines = [b" ".join(w) for w in own]
-    out, end, n = [], 0, len(own)
+    out, end, n, runs = [], 0, len(own), set()
     for i in range(n):
         end = max(end, i + min_sentences)
         while end <= n and upto[end] - upto[i] < min_words:
             end += 1
         if end > n:
             break
+        runs.add((i, end))
+    begin = 0
+    for end in range(1, n + 1):
+        while end - begin - 1 >= min_sentences and upto[end] - upto[begin + 1] >= min_words:
+            begin += 1
+        if end - begin >= min_sentences and upto[end] - upto[begin] >= min_words:
+            runs.add((begin, end))
+    for i, end in sorted(runs):
         h = xxhash.xxh64_intdigest(b"\n".join(lines[i:end]))
         out.append((i, end - i, upto[end] - upto[i], h - (1 << 64) if h >> 63 else h))
     return out
