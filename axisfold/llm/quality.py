@@ -144,7 +144,7 @@ def learn_rules(labelled: DataFrame, features: list[str] = FEATURES, bins: int =
     binned = labelled.select(
         (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(3)) == 0).alias("held"),
         F.col("bad").cast("int").alias("bad"),
-        *features,
+        F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         F.array(*[bin_of(F.col(f), cuts[f]) for f in features]).alias("b"),
     )
     binned = checkpointed(binned)
@@ -163,7 +163,7 @@ def learn_rules(labelled: DataFrame, features: list[str] = FEATURES, bins: int =
         """For each condition the middle of the gap around its cut, among the rows that meet the others."""
         asked = []
         for at, (i, _, k) in enumerate(cs):
-            others, x, over = _all(inside(cs[:at] + cs[at + 1 :])), F.col(features[i]), F.col("b")[i] > k
+            others, x, over = _all(inside(cs[:at] + cs[at + 1 :])), F.col("x")[i], F.col("b")[i] > k
             asked += [F.max(F.when(others & ~over, x)).alias(f"lo{at}"), F.min(F.when(others & over, x)).alias(f"hi{at}")]
         r = frame.agg(*asked).first()
         ends = [(r[f"lo{at}"], r[f"hi{at}"], cuts[features[i]][k]) for at, (i, _, k) in enumerate(cs)]
