@@ -9,7 +9,8 @@ the neighbours are exact.  Neighbours vote by their cosine; a logistic curve,
 fitted to votes in which each example was left out, turns the vote into a
 probability.  The neighbours' ids are the evidence.
 
-Terms are runs of letters, digits and non-ASCII characters; A-Z count as a-z.
+Terms are runs of letters, digits and non-ASCII characters, and the first bytes
+(``BEGINNINGS``) of longer ones; A-Z count as a-z.
 
 Defined cases: a null, empty or term-free text has no neighbours and gets the
 calibrated score of an undecided vote, the share of toxic examples; labels that
@@ -34,15 +35,18 @@ from .common import table
 
 #: At most so many labelled documents become examples, those of lowest hash.
 MAX_EXAMPLES = 8_000
-MAX_TERMS = 512
+MAX_TERMS = 1024
 NEIGHBOURS = 15
+BEGINNINGS = (4, 5, 6, 7)
 BLOCK = 64
 PRIOR_WEIGHT = 0.5
 _FOLD = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
 
 def terms(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    """The words, and of longer ones the beginnings, which inflected forms share."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return words + [b"^" + w[:n] for n in BEGINNINGS for w in words if len(w) > n]
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -141,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     n, positive = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     by_term = found.select("toxic", "text").mapInArrow(distinct, "toxic int, term binary").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
     expected = F.col("df") * F.lit(positive / max(n, 1))
-    chosen = by_term.where("df >= 3").withColumn("chi", (F.col("hits") - expected) ** 2 / expected) if positive else by_term.limit(0).withColumn("chi", F.lit(0.0))
+    # terms that speak for toxicity; those against it only blur the neighbours
+    chosen = by_term.where(F.col("df") >= 3).where(F.col("hits") > expected).withColumn("chi", (F.col("hits") - expected) ** 2 / expected) if positive else by_term.limit(0).withColumn("chi", F.lit(0.0))
     rows = chosen.orderBy(F.desc("chi"), "term").limit(max_terms).collect()
     vocabulary = {bytes(r["term"]): i for i, r in enumerate(rows)}
     idf = np.array([math.log(1 + n / r["df"]) for r in rows])
