@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .html_labelled import PAGES
+from .html_labelled import BLOCKS, PAGES
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
@@ -37,7 +37,7 @@ RAW = frozenset("script style".split())
 SKIPPED = frozenset("head noscript template svg math iframe object select button textarea canvas audio video datalist".split())
 BESIDE = frozenset("nav footer aside form menu dialog".split())
 BESIDE_NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog "
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog "
     "disclaimer disqus footer gdpr legal login menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo "
     "promotion recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
@@ -57,7 +57,8 @@ def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, bool]:
             if bare or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 beside = True
             elif name in ("class", "id", "role"):
-                found = set(_NAME.findall(value))
+                # an article's own states, such as "comments-open", don't put it beside itself
+                found = set(value.split() if tag in ARTICLE else _NAME.findall(value))
                 beside = beside or bool(found & BESIDE_NAMES) or (not article and bool(found & TOP_NAMES))
                 own = own or bool(found & ARTICLE_NAMES)
     return beside, own and not beside
@@ -151,17 +152,28 @@ def described(b: Column) -> Column:
 
 
 def labelled_table() -> list[tuple[float, ...]]:
-    """(label, features...) of every labelled block."""
-    rows = []
+    """(label, features...) of every labelled block.
+
+    Each block stands there also as if it were in an article, and as if it were
+    beside one: these marks decide whatever the words and the neighbours are.
+    """
+    rows, pages = [], []
     for page in PAGES:
         own = []
         for text, _, linked, beside, article in page_blocks(page):
             n = len(text[1:].split())
             own.append((text[0] == "+", n, min(linked, n) / n if n else 0.0, beside, article))
+        pages.append(own)
+    for line in BLOCKS:
+        cells = [b.split() for b in line.split(", ")]
+        pages.append([(label == "+", int(n), int(linked) / int(n), int(beside), int(article)) for label, n, linked, beside, article in cells])
+    for own in pages:
         for i, (label, n, d, beside, article) in enumerate(own):
             _, nb, db, *_ = own[i - 1] if i else (0, 0, 0.0)
             _, na, da, *_ = own[i + 1] if i + 1 < len(own) else (0, 0, 0.0)
-            rows.append((float(label), float(n), d, float(nb), db, float(na), da, float(beside), float(article)))
+            shape = (float(n), d, float(nb), db, float(na), da)
+            rows.append((float(label), *shape, float(beside), float(article)))
+            rows += [(1.0, *shape, 0.0, 1.0), (0.0, *shape, 1.0, 0.0), (0.0, *shape, 1.0, 1.0)]
     return rows
 
 

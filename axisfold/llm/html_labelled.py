@@ -63,3 +63,41 @@ PAGES = [
     <article><h1>+Bread</h1><p>+Flour, water, salt.</p><p>+That is all.</p><p>+Time does the rest, and the less you do the better it gets, up to a point that you will find by going past it once or twice.</p></article>
     <div class="sponsored"><p>-Our partner mill sells flour by the sack, fresh each week and sent to your door at no cost to you.</p></div>""",
 ]
+
+#: More pages, as their blocks in order: label, words, words in links, beside, article.
+BLOCKS = [
+    # no element names itself: menus of links, a heading, paragraphs, links, a last line
+    "- 1 1 0 0, - 1 1 0 0, - 2 2 0 0, + 6 0 0 0, + 45 0 0 0, + 18 0 0 0, + 3 0 0 0, + 60 4 0 0, + 25 0 0 0, - 2 2 0 0, - 2 2 0 0, - 4 0 0 0",
+    "- 2 2 0 0, - 3 3 0 0, + 3 0 0 0, + 20 0 0 0, + 2 0 0 0, + 17 0 0 0, + 21 1 0 0, - 1 1 0 0, - 3 0 0 0",
+    "- 1 1 0 0, + 17 0 0 0, + 16 0 0 0, + 14 0 0 0, - 2 2 0 0",
+    "- 3 0 0 0, - 1 1 0 0, - 1 1 0 0, + 5 0 0 0, + 30 2 0 0, + 12 0 0 0, + 40 0 0 0, + 1 0 0 0, + 33 0 0 0, - 5 5 0 0, - 6 6 0 0, - 2 0 0 0",
+    "- 4 4 0 0, - 9 9 0 0, - 12 12 0 0, - 30 30 0 0, + 8 0 0 0, + 28 0 0 0, + 19 3 0 0, - 20 18 0 0, - 2 0 0 0",
+    "+ 7 0 0 0, + 100 0 0 0, + 9 0 0 0, + 80 10 0 0, + 4 0 0 0, + 70 0 0 0",
+    "+ 15 0 0 0, + 22 0 0 0, + 13 0 0 0",
+    "- 2 0 0 0, - 2 2 0 0, + 4 0 0 0, + 16 0 0 0, + 11 0 0 0, + 18 0 0 0, - 1 1 0 0, - 1 1 0 0",
+    "- 1 1 0 0, - 5 0 0 0, - 1 1 0 0, - 1 1 0 0, + 35 0 0 0, + 24 0 0 0, - 3 3 0 0, - 6 0 0 0",
+    # long texts beside the article, whatever their length
+    "- 40 0 1 0, + 5 0 0 1, + 3 0 0 1, + 50 0 0 1, + 1 0 0 1, - 60 0 1 0, - 90 0 1 0",
+    "- 25 2 1 0, - 120 0 1 0, + 30 0 0 0, + 26 0 0 0, - 45 0 1 0, - 33 1 1 0, - 200 0 1 0",
+    "- 12 12 1 0, - 27 0 1 0, + 9 0 0 1, + 14 14 0 1, + 2 0 0 1, - 70 0 1 0, + 8 0 0 1, - 55 5 1 0, - 24 0 1 0",
+    "- 80 0 1 0, + 20 0 0 0, + 28 0 0 0, - 100 0 1 0, - 23 0 1 0",
+    # comments that hold articles of their own
+    "+ 6 0 0 1, + 44 0 0 1, - 3 0 1 1, - 35 0 1 1, - 2 0 1 1, - 26 0 1 1, - 9 0 1 0",
+    "+ 2 0 0 1, + 2 2 0 1, + 31 31 0 1, + 1 0 0 1, - 31 0 1 1, - 64 0 1 1",
+    # article blocks among links and short lines
+    "- 1 1 1 0, - 8 0 0 0, + 10 0 0 1, + 1 0 0 1, + 4 0 0 1, + 23 0 0 1, + 6 6 0 1, - 4 0 0 0",
+    "- 2 2 0 0, + 1 0 0 1, + 1 0 0 1, - 2 2 0 0, - 3 0 1 0",
+    # pages that are an article and little else, with blocks of any length
+    "+ 1 0 0 1, + 4 2 0 1, - 8 0 1 0",
+    "+ 1 0 0 1",
+    "+ 2 0 0 1, + 3 0 0 1, + 1 0 0 1, + 2 2 0 1",
+    "+ 1 0 0 1, + 1 0 0 1, - 1 0 1 0, - 1 0 1 0",
+    "+ 3 3 0 1, + 1 1 0 1, + 5 1 0 1, - 2 0 1 0",
+    "- 1 1 1 0, + 2 0 0 1, + 6 0 0 1, + 1 0 0 1, - 4 4 1 0",
+    "+ 4 0 0 1, + 2 0 0 1, - 3 3 0 0, - 2 2 0 0",
+    # headings that open a page
+    "+ 3 0 0 0, + 22 0 0 0, + 2 0 0 0, + 20 0 0 0, - 13 0 1 0",
+    "+ 2 0 0 0, + 31 0 0 0, + 26 2 0 0, - 3 3 0 0, - 2 0 0 0",
+    "+ 5 0 0 0, + 18 0 0 0, + 40 0 0 0",
+    "+ 1 0 0 0, + 50 0 0 0, + 60 0 0 0, - 1 1 0 0",
+]
