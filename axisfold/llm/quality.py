@@ -21,6 +21,7 @@ named like an output are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +60,8 @@ def repeat_words(w: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(bind(ordered, lambda s: bind(repeated(s), covered)))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the counts and ratios of the text."""
+def statistics(docs: DataFrame, ratios: Sequence[str] = RATIOS, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` with the counts and the given ratios of the text."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*COUNTS, *RATIOS}]
     # the row travels as one column, so its names can't clash with the helpers'
@@ -68,6 +69,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     x = settled(x, ["row", "body"], w=words(F.col("body")))
     x = settled(x, ["row", "body", "w"], joined=F.array_join("w", ""), filled=F.filter(F.split("body", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""))
     w, b, joined, filled, n = F.col("w"), F.col("body"), F.col("joined"), F.col("filled"), F.col("n_words")
+    # what only some ratios need is left out with them
+    needed = {
+        "distinct_ratio": ("distinct", F.size(F.array_distinct(w))),
+        "upper_ratio": ("upper", F.length(F.regexp_replace(joined, "[^\\p{Lu}]+", ""))),
+        "mark_ratio": ("marks", F.length(F.regexp_replace(joined, "[^!?]+", ""))),
+    }
     x = settled(
         x,
         ["row"],
@@ -77,23 +84,20 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         lines=F.size(filled).cast("long"),
         n_dup_lines=(F.size(filled) - F.size(F.array_distinct(filled))).cast("long"),
         n_repeat_words=repeat_words(w),
-        distinct=F.size(F.array_distinct(w)),
-        upper=F.length(F.regexp_replace(joined, "[^\\p{Lu}]+", "")),
-        marks=F.length(F.regexp_replace(joined, "[^!?]+", "")),
+        **dict(needed[r] for r in ratios if r in needed),
     )
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return x.select(
-        "row.*",
-        *COUNTS,
-        share(F.col("word_chars"), n).alias("mean_word_chars"),
-        share(F.col("n_symbols"), n).alias("symbol_ratio"),
-        share(F.col("n_dup_lines"), F.col("lines")).alias("dup_line_ratio"),
-        share(F.col("n_repeat_words"), n).alias("repeat_ratio"),
-        share(F.col("distinct"), n).alias("distinct_ratio"),
-        share(F.col("upper"), F.col("word_chars")).alias("upper_ratio"),
-        share(F.col("marks"), n).alias("mark_ratio"),
-        share(n, F.col("lines")).alias("words_a_line"),
-    )
+    made = {
+        "mean_word_chars": (F.col("word_chars"), n),
+        "symbol_ratio": (F.col("n_symbols"), n),
+        "dup_line_ratio": (F.col("n_dup_lines"), F.col("lines")),
+        "repeat_ratio": (F.col("n_repeat_words"), n),
+        "distinct_ratio": (F.col("distinct"), n),
+        "upper_ratio": (F.col("upper"), F.col("word_chars")),
+        "mark_ratio": (F.col("marks"), n),
+        "words_a_line": (n, F.col("lines")),
+    }
+    return x.select("row.*", *COUNTS, *[share(*made[r]).alias(r) for r in RATIOS if r in ratios])
 
 
 @dataclass(frozen=True)
@@ -224,12 +228,13 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int =
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by max_labelled
-    return statistics(found)
+    return statistics(found, FEATURES)
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Statistics with base_failed, rule (the rule that rejects, by position) and kept."""
-    x = statistics(docs.drop("base_failed", "rule", "kept"))
+    used = {c.feature for rule in rules for c in rule.conditions}
+    x = statistics(docs.drop("base_failed", "rule", "kept"), [r for r in RATIOS if r in used])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return x.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
