@@ -439,7 +439,7 @@ def score_failed(spark, sf_dir):
     return compute_scores(cat, file).failed.select(F.col("Epoch").alias("epoch"), "reason")
 
 
-@query("SELECT round(sum(2.0) * 0.1, 6) AS value FROM nation", base=False)
+@query("SELECT round(sum(2.0::DOUBLE) * 0.1, 6) AS value FROM nation", base=False)
 def dummy_part(spark, sf_dir):
     p = part(("__log__", Step("log", floor=1e-6)), ("DataName", Step("sum", weight=0.1)))
     return synth.dummy_part(spark, catalog(spark, sf_dir), p, 2.0).select(six().alias("value"))
