@@ -29,6 +29,12 @@ class Scores:
     failed: DataFrame
     dummy_used: DataFrame
 
+    def require_any(self) -> Scores:
+        """Raise if every epoch failed, naming the first."""
+        if self.scores.isEmpty() and (first := self.failed.orderBy("Epoch").first()):
+            raise ScoreError(f"all epochs failed; {first['Epoch']}: {first['reason']}")
+        return self
+
 
 def part_values(catalog: Catalog, file: ScoreFile) -> tuple[DataFrame, DataFrame | None]:
     """(Epoch, part, value, reason) of all parts, and (Epoch, part) where a dummy stands in."""

@@ -29,22 +29,30 @@ def score_stream(rows: DataFrame, catalog_of: Callable[[DataFrame], Catalog], fi
     """Score a stream of long measurement rows (Epoch, type, axes..., value) into ``out``.
 
     An epoch's tables may arrive in any order and over several batches: rows go to
-    a store by batch, and an epoch is scored once all required types are there and
-    it has not been scored yet.  Results are written by batch number, so a batch
-    that runs again replaces its own rows.  Where batches end changes no score.
+    a store by batch, with a ledger of the epochs and types that each batch holds.
+    An epoch is scored once the ledger has all required types of it and it has not
+    been scored yet; only the batches that hold its rows are read again.  Results
+    are written by batch number, so a batch that runs again replaces its own rows.
+    Where batches end changes no score.
     """
-    store, scores, failed = f"{out}/rows", f"{out}/scores", f"{out}/failed"
+    store, ledger, scores, failed = (f"{out}/{name}" for name in ("rows", "ledger", "scores", "failed"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        known = spark.read.parquet(store)
+        own = spark.read.schema(batch.schema).parquet(f"{store}/batch={batch_id}")
+        own.select("Epoch", "type").distinct().write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        known = spark.read.parquet(ledger)
         ready = complete_epochs(known.select("Epoch", "type").distinct(), required)
         for done in (scores, failed):
             if exists(spark, done):
                 earlier = spark.read.parquet(done).where(F.col("batch") != batch_id)
                 ready = ready.join(earlier.select("Epoch"), "Epoch", "left_anti")
-        result = compute_scores(catalog_of(known.drop("batch").join(ready, "Epoch", "left_semi")), file)
+        held = [r["batch"] for r in known.join(ready, "Epoch", "left_semi").select("batch").distinct().collect()]
+        if not held:
+            return
+        rows_ = spark.read.schema(batch.schema).parquet(*[f"{store}/batch={b}" for b in sorted(held)])
+        result = compute_scores(catalog_of(rows_.join(ready, "Epoch", "left_semi")), file)
         result.scores.write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
         result.failed.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
 

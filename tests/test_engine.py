@@ -239,6 +239,9 @@ def test_every_epoch_is_scored_or_failed(spark, fbc):
     assert {r["Epoch"]: r["reason"] for r in got.failed.collect()} == {2: "a: the value is null or NaN", 3: "a: no rows"}
     with pytest.raises(ScoreError):
         compute_scores(cat, file, strict=True)
+    assert got.require_any() is got
+    with pytest.raises(ScoreError):
+        compute_scores(Catalog({"FBC": broken.where("Epoch = 2")}), file).require_any()
 
 
 def test_dummies(spark):
