@@ -238,6 +238,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_row_each(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """One row of each document that ``keepers`` (doc_id) names, and all rows without doc_id."""
+    rows = docs.where(F.col("doc_id").isNotNull()).join(keepers, "doc_id", "left_semi")
+    order = free_name(docs, "_order")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).drop(order)
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def without_copies(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     """One document of each linked group, the one of least doc_id.
 
@@ -245,12 +254,7 @@ def without_copies(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     least hash stays.  Rows without a doc_id can't be named as copies and stay.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    keepers = near_duplicates(named, k, radius).where("doc_id = component_id").select("doc_id").distinct()
-    rows = named.join(keepers, "doc_id", "left_semi")
-    order = free_name(docs, "_order")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    rows = rows.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).drop(order)
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    return one_row_each(docs, near_duplicates(named, k, radius).where("doc_id = component_id").select("doc_id").distinct())
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
