@@ -7,8 +7,13 @@ doc_id and position, is elsewhere.
 
 A run starts at each sentence, and one ends at each sentence; it takes the fewest
 sentences, at least ``min_sentences``, that reach ``min_words`` words.  Sentences end at a line break
-or after a full stop, question or exclamation mark (also … 。！？) that is followed by
-white space.  Their words are compared as written, whatever the white space.
+or after a full stop, question or exclamation mark (also …) that is followed by
+white space, and after 。！？ always.  Sentences of 14 or more words are cut further,
+where the hash of the two words at a place is the least of a few places; such a cut
+depends on the words nearby only, so a passage is cut alike wherever it stands, also
+within one long sentence.  Each piece counts as a sentence of its own.  Characters
+of scripts without spaces count as words.  Words are compared as written, whatever
+the white space.
 
 Defined cases: null and empty texts have no sentences; a text too short for one
 run keeps all it has; runs that repeat inside one document count as repeats of
@@ -32,16 +37,45 @@ from .common import checkpointed, free_name, table
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-_END = re.compile(r"(?<=[.!?…。！？])\s+|\s*\n\s*")
+#: No cut has fewer words of its sentence before or after it.
+SIDE = 7
+#: One of so many places in a row is a cut.
+WINDOW = 5
+_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])(?![。！？」』”’）\s])|(?<=[。！？」』”’）])\s+|\s*\n\s*")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+_SPACED_WORD = re.compile(r"\S+")
+
+
+def _words(s: str) -> list[re.Match]:
+    return list((_WORD if not s.isascii() and _ANY_UNSPACED.search(s) else _SPACED_WORD).finditer(s))
+
+
+def pieces(sentence: str) -> list[str]:
+    """The sentence, or what it is cut into; the pieces hold all its words in order."""
+    found = _words(sentence)
+    n = len(found)
+    if n < 2 * SIDE:
+        return [sentence]
+    digest, w = xxhash.xxh64_intdigest, [m[0].encode("utf-8", "surrogatepass") for m in found]
+    # the place i lies before word i
+    at = [digest(w[i - 1] + b" " + w[i]) for i in range(SIDE, n - SIDE + 1)]
+    cuts = set()
+    for i in range(max(1, len(at) - WINDOW + 1)):
+        row = at[i : i + WINDOW]
+        cuts.add(i + SIDE + row.index(min(row)))
+    edges = [0, *(found[c].start() for c in sorted(cuts)), len(sentence)]
+    return [sentence[x:y] for x, y in zip(edges, edges[1:])]
 
 
 def sentences(text: str | None) -> list[str]:
-    return [s for s in _END.split(text or "") if s and not s.isspace()]
+    return [p.strip() for s in _END.split(text or "") if s and not s.isspace() for p in pieces(s)]
 
 
 def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
     """(first sentence, sentences, words, signed 64-bit hash) of every run."""
-    own = [s.encode("utf-8", "surrogatepass").split() for s in sentences(text)]
+    own = [[m[0].encode("utf-8", "surrogatepass") for m in _words(s)] for s in sentences(text)]
     own = [w or [b""] for w in own]
     upto = [0]
     for w in own:
@@ -106,6 +140,18 @@ def repeated(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int
     return found.select(unmarked.alias("doc_id"), "removed", F.filter("first_docs", lambda d: d < NO_ID).alias("first_docs"))
 
 
+def _left(text: str, gone: set[int]) -> str:
+    """The text without these sentences; pieces of one sentence that stay keep what is between them."""
+    lines, i = [], 0
+    for s in _END.split(text):
+        if s and not s.isspace():
+            own = pieces(s)
+            line = "".join(p for j, p in enumerate(own, i) if j not in gone).strip()
+            lines += [line] if line else []
+            i += len(own)
+    return "\n".join(lines)
+
+
 def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated sentences cut out of the texts; what stays is joined by line breaks."""
 
@@ -114,7 +160,7 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
         out = []
         for t, r in zip(texts, removed, strict=True):
             gone = set(r.tolist()) if r is not None else set()
-            out.append("\n".join(s for i, s in enumerate(sentences(t)) if i not in gone) if gone else t)
+            out.append(_left(t, gone) if gone else t)
         return pd.Series(out, dtype=object)
 
     key, gone = free_name(docs, "_id"), free_name(docs, "_removed")
