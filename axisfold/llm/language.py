@@ -19,7 +19,7 @@ first by code point; repeated rows are judged alike; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ from .common import checkpointed, table
 SLOTS = 1 << 14
 EFFECTIVE = 60.0
 SMOOTHING = 5.0
+#: Trigrams are looked up for so many bytes of text at a time.
+RUN_BYTES = 1 << 20
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 _SKIP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&#?\w+;", re.S | re.I)
 _DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
@@ -42,17 +44,39 @@ def visible(page: str) -> str:
     return _SKIP.sub(" ", page)
 
 
-def slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram slots of all texts in one array, and where each text begins in it."""
-    parts = [b" " + b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" " for t in texts]
-    sizes = np.array([max(0, len(p) - 2) for p in parts], dtype=np.int64)
+def folded(text: str | None) -> bytes:
+    return b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" "
+
+
+def _slots(owners: list[int], parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum([len(p) for p in parts])
-    raw = np.frombuffer(b"".join(parts) or b"  ", dtype=np.uint8).astype(np.uint32)
-    code = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(18)
-    inside = np.ones(len(code), dtype=bool)
-    for cut in ends[:-1]:
-        inside[max(0, cut - 2) : cut] = False  # trigrams across two texts
-    return code[inside].astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
+    code = ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(18)).astype(np.uint16)
+    # trigrams across two parts fall out
+    crossing = (ends[:-1, None] - [2, 1]).ravel()
+    return np.array(owners), np.delete(code, crossing), np.concatenate(([0], ends[:-1])) - 2 * np.arange(len(parts))
+
+
+def trigram_runs(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, slots of their trigrams, where each text's begin) for about RUN_BYTES at a time.
+
+    A longer text comes in parts, which overlap so that each trigram is in one of
+    them; texts without letters don't come at all.
+    """
+    owners: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        line = folded(text)
+        for at in range(0, len(line) - 2, RUN_BYTES):
+            owners.append(i)
+            parts.append(line[at : at + RUN_BYTES + 2])
+            size += len(parts[-1])
+            if size >= RUN_BYTES:
+                yield _slots(owners, parts)
+                owners, parts, size = [], [], 0
+    if parts:
+        yield _slots(owners, parts)
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -61,11 +85,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            langs = b.column(0).to_pylist()
-            at, begin = slots(b.column(1).to_pylist())
-            for lang in sorted(set(langs)):
-                own = [at[begin[i] : begin[i + 1]] for i, x in enumerate(langs) if x == lang]
-                sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(own), minlength=SLOTS)
+            langs = b.column(0).to_numpy(zero_copy_only=False)
+            for owners, slots, begin in trigram_runs(t.as_py() for t in b.column(1)):
+                lang_of = np.repeat(langs[owners], np.diff(begin, append=len(slots)))
+                for lang in sorted(set(langs[owners])):
+                    sums[lang] = sums.get(lang, 0) + np.bincount(slots[lang_of == lang], minlength=SLOTS)
         for lang, c in sums.items():
             where = np.nonzero(c)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int64()), pa.array(c[where], pa.int64())], names=["lang", "slot", "n"])
@@ -82,23 +106,25 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def posteriors(texts: Sequence[str | None], model: np.ndarray, markup: bool) -> np.ndarray:
+    """One row for each text: the posteriors of the languages under an even prior."""
+    size, sums = np.zeros(len(texts)), np.zeros((len(texts), len(model)))
+    for owners, slots, begin in trigram_runs(visible(t or "") if markup else t for t in texts):
+        np.add.at(size, owners, np.diff(begin, append=len(slots)))
+        for k, row in enumerate(model):
+            np.add.at(sums[:, k], owners, np.add.reduceat(row[slots], begin, dtype=np.float64))
+    z = sums * np.minimum(1.0, EFFECTIVE / np.maximum(size, 1))[:, None]
+    p = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def text_evidence(content: Column, model: np.ndarray, markup: bool) -> Column:
     """Posteriors of the languages from the text alone, under an even prior."""
 
     @F.pandas_udf("array<double>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            at, begin = slots([visible(t or "") if markup else t for t in texts])
-            size = np.diff(begin)
-            some = size > 0
-            sums = np.zeros((len(texts), len(model)))
-            for k, row in enumerate(model):
-                if some.any():
-                    sums[some, k] = np.add.reduceat(row[at], begin[:-1][some], dtype=np.float64)
-            # one word's edges alone say little; a text without letters has " " only
-            z = sums * np.minimum(1.0, EFFECTIVE / np.maximum(size, 1))[:, None]
-            p = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
-            yield pd.Series(list(p / p.sum(axis=1, keepdims=True)), dtype=object)
+            yield pd.Series(list(posteriors(texts, model, markup)), dtype=object)
 
     return judge(content.cast("string"))
 
