@@ -3,170 +3,204 @@
 Texts are cut into sentences.  Every run of several consecutive sentences that
 together hold enough words is hashed; equal hashes are joined over the whole
 corpus; and sentences are removed that lie in a span whose first occurrence, by
-doc_id and position, is elsewhere.
-
-A run starts at each sentence, and one ends at each sentence; it takes the fewest
-sentences, at least ``min_sentences``, that reach ``min_words`` words.  Sentences end at a line break
-or after a full stop, question or exclamation mark (also …) that is followed by
-white space, and after 。！？ always.  Sentences of 14 or more words are cut further,
-where the hash of the two words at a place is the least of a few places; such a cut
-depends on the words nearby only, so a passage is cut alike wherever it stands, also
-within one long sentence.  Each piece counts as a sentence of its own.  Characters
+doc_id, text and position, is elsewhere.
+
+A run starts at each sentence and takes the fewest sentences, at least
+``min_sentences``, that reach ``min_words`` words.  A sentence ends at a line break,
+after a word that ends with a full stop, question or exclamation mark (closing
+marks may follow), and also between two words of which the hash says so, one pair in
+``CUT_ONE_IN``.  All of these depend on the words next to the place only, so a
+passage is cut alike wherever it stands, also inside one long sentence.  Characters
 of scripts without spaces count as words.  Words are compared as written, whatever
-the white space.
+the white space between them.
 
 Defined cases: null and empty texts have no sentences; a text too short for one
 run keeps all it has; runs that repeat inside one document count as repeats of
-their first occurrence there; rows with equal doc_id count as one document, so
-repeated rows keep the same sentences; rows without doc_id count as one last
-document; extra columns pass through.
+their first occurrence there; rows that are equal in doc_id and text are one
+document and keep the same sentences, rows that share a doc_id only are documents
+of their own; rows without doc_id come after all others; a stretch of one word
+repeated has no cuts of its own and is found as part of its neighbours only; extra
+columns pass through.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name, table
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-#: No cut has fewer words of its sentence before or after it.
-SIDE = 7
-#: One of so many places in a row is a cut.
-WINDOW = 5
-_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])(?![。！？」』”’）\s])|(?<=[。！？」』”’）])\s+|\s*\n\s*")
+CUT_ONE_IN = 6
+ENDS = frozenset(".!?…。！？")
+CLOSERS = frozenset("\"'”’»)]」』）")
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
-_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
-_SPACED_WORD = re.compile(r"\S+")
-
-
-def _words(s: str) -> list[re.Match]:
-    return list((_WORD if not s.isascii() and _ANY_UNSPACED.search(s) else _SPACED_WORD).finditer(s))
-
-
-def pieces(sentence: str) -> list[str]:
-    """The sentence, or what it is cut into; the pieces hold all its words in order."""
-    found = _words(sentence)
-    n = len(found)
-    if n < 2 * SIDE:
-        return [sentence]
-    digest, w = xxhash.xxh64_intdigest, [m[0].encode("utf-8", "surrogatepass") for m in found]
-    # the place i lies before word i
-    at = [digest(w[i - 1] + b" " + w[i]) for i in range(SIDE, n - SIDE + 1)]
-    cuts = set()
-    for i in range(max(1, len(at) - WINDOW + 1)):
-        row = at[i : i + WINDOW]
-        cuts.add(i + SIDE + row.index(min(row)))
-    edges = [0, *(found[c].start() for c in sorted(cuts)), len(sentence)]
-    return [sentence[x:y] for x, y in zip(edges, edges[1:])]
-
-
-def sentences(text: str | None) -> list[str]:
-    return [p.strip() for s in _END.split(text or "") if s and not s.isspace() for p in pieces(s)]
-
-
-def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentences, words, signed 64-bit hash) of every run."""
-    own = [[m[0].encode("utf-8", "surrogatepass") for m in _words(s)] for s in sentences(text)]
-    own = [w or [b""] for w in own]
-    upto = [0]
-    for w in own:
-        upto.append(upto[-1] + len(w))
-    lines = [b" ".join(w) for w in own]
-    out, end, n, runs = [], 0, len(own), set()
-    for i in range(n):
-        end = max(end, i + min_sentences)
-        while end <= n and upto[end] - upto[i] < min_words:
-            end += 1
-        if end > n:
-            break
-        runs.add((i, end))
-    begin = 0
-    for end in range(1, n + 1):
-        while end - begin - 1 >= min_sentences and upto[end] - upto[begin + 1] >= min_words:
-            begin += 1
-        if end - begin >= min_sentences and upto[end] - upto[begin] >= min_words:
-            runs.add((begin, end))
-    for i, end in sorted(runs):
-        h = xxhash.xxh64_intdigest(b"\n".join(lines[i:end]))
-        out.append((i, end - i, upto[end] - upto[i], h - (1 << 64) if h >> 63 else h))
-    return out
-
-
-def span_table(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each run: doc_id, first, n, span, again (not the first of its kind in the text)."""
+_STOPS = "。！？"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}{_STOPS}]")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}{_STOPS}]*[{_STOPS}]+[」』”’）]*|[^\\s{_UNSPACED}{_STOPS}]+")
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Codes(dict):
+    """The code of each word met so far: 63 bits of its hash, and whether a sentence ends with it."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        ends = word[-1] in ENDS or word[-1] in CLOSERS and word[-2:-1] in ENDS
+        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | ends
+        return code
+
+
+_CODES = Codes()
+_POWERS = np.ones((2, 1), dtype=np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first powers of the base of run hashes, and of its inverse modulo 2**64."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        steps = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], dtype=np.uint64).repeat(2 * n, axis=1)
+        steps[:, 0] = 1
+        _POWERS = steps.cumprod(axis=1, dtype=np.uint64)
+    return _POWERS[:, :n]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen: set[int] = set()
-                for first, n, _, h in spans(t.as_py(), min_sentences, min_words):
-                    for c, x in zip(cols, (d, first, n, h, h in seen), strict=True):
-                        c.append(x)
-                    seen.add(h)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "first", "n", "span", "again"])
 
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(ids.alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, first int, n int, span long, again boolean")
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def is_unspaced(text: str) -> bool:
+    return not text.isascii() and _ANY_UNSPACED.search(text) is not None
+
+
+def sentence_starts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the words, and the number of the first word of each sentence; then that of all words."""
+    if not text or text.isspace():
+        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+    lines = list(map(_WORD.findall if is_unspaced(text) else str.split, text.split("\n")))
+    upto = np.cumsum([len(x) for x in lines])
+    n = int(upto[-1])
+    codes = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=n)
+    begins = np.ones(n + 1, dtype=bool)
+    begins[1:n] = (codes[:-1] & np.uint64(1)).astype(bool) | (mixed(codes[:-1] * np.uint64(_BASE) + codes[1:]) % np.uint64(CUT_ONE_IN) == 0)
+    begins[upto] = True
+    return codes, np.nonzero(begins)[0]
+
+
+def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentences, signed 64-bit hash) of every run."""
+    codes, at = sentence_starts(text)
+    first = np.arange(len(at) - 1)
+    end = np.maximum(first + min_sentences, np.searchsorted(at, at[:-1] + min_words))
+    first, end = first[end < len(at)], end[end < len(at)]
+    forth, back = powers(len(codes) + 1)
+    upto = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * forth[:-1], out=upto[1:])
+    a, b = at[first], at[end]
+    return first, end - first, mixed((upto[b] - upto[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
 #: Stands for a missing doc_id.
 NO_ID = (1 << 63) - 1
 
 
+def keys(text: Column) -> list[Column]:
+    """What tells documents apart, in the order in which the first occurrence is sought."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("body")]
+
+
+def together(columns: Iterator[list[np.ndarray]], names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The columns of many documents in batches of about so many rows."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for cols in columns:
+        held.append(cols)
+        n += len(cols[0])
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+
+def span_hashes(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """``span`` of each run, and nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together(([spans(t.as_py(), min_sentences, min_words)[2]] for b in batches for t in b.column(0)), ["span"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "span long")
+
+
+def span_table(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """One row for each run: doc, body, first, n, span, again (not the first of its kind in the text)."""
+
+    def one(doc: pa.Scalar, body: pa.Scalar, text: pa.Scalar) -> list[np.ndarray]:
+        first, n, span = spans(text.as_py(), min_sentences, min_words)
+        again = np.ones(len(span), dtype=bool)
+        again[np.unique(span, return_index=True)[1]] = False
+        return [np.full(len(span), doc.as_py()), np.full(len(span), body.as_py()), first.astype(np.int32), n.astype(np.int32), span, again]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together((one(*row) for b in batches for row in zip(*b.columns, strict=True)), ["doc", "body", "first", "n", "span", "again"])
+
+    text = F.col("text").cast("string")
+    return docs.select(*keys(text), text).mapInArrow(run, "doc long, body long, first int, n int, span long, again boolean")
+
+
 def repeated(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Documents with sentences to remove: doc_id, removed (their numbers from 0), first_docs.
+    """Documents with sentences to remove: doc_id, body, removed (their numbers from 0), first_docs.
 
-    ``first_docs`` are the documents that keep the first occurrence.
+    ``body`` is the hash of the text; ``first_docs`` are the documents that keep the
+    first occurrences.
     """
-    table_ = span_table(docs, min_sentences, min_words)
-    firsts = table_.groupBy("span").agg(F.min("doc_id").alias("kept_by"), F.max("doc_id").alias("last"), F.max("again").alias("inside"))
-    # a table of its own, so that a very common span can be split when its runs meet it
-    firsts = checkpointed(firsts.where("kept_by <> last OR inside").select("span", "kept_by"))
-    later = table_.join(firsts, "span").where("doc_id <> kept_by OR again")
+    hashes = span_hashes(docs, min_sentences, min_words)
+    # tables of their own, so that a very common span can be split when its runs meet it
+    common = checkpointed(hashes.groupBy("span").count().where("count > 1").select("span"))
+    runs = checkpointed(span_table(docs, min_sentences, min_words).join(common, "span"))
+    firsts = checkpointed(runs.groupBy("span").agg(F.min(F.struct("doc", "body")).alias("kept")))
+    later = runs.join(firsts, "span").where("doc <> kept.doc OR body <> kept.body OR again")
+    later = later.select("doc", "body", "first", "n", F.col("kept.doc").alias("kept_by")).distinct()
     covered = F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("n") - 1)))
-    found = later.groupBy("doc_id").agg(F.sort_array(F.array_distinct(covered)).alias("removed"), F.sort_array(F.collect_set("kept_by")).alias("first_docs"))
-    unmarked = F.when(F.col("doc_id") < NO_ID, F.col("doc_id"))
-    return found.select(unmarked.alias("doc_id"), "removed", F.filter("first_docs", lambda d: d < NO_ID).alias("first_docs"))
+    found = later.groupBy("doc", "body").agg(F.sort_array(F.array_distinct(covered)).alias("removed"), F.sort_array(F.collect_set("kept_by")).alias("first_docs"))
+    unmarked = F.when(F.col("doc") < NO_ID, F.col("doc"))
+    return found.select(unmarked.alias("doc_id"), "body", "removed", F.filter("first_docs", lambda d: d < NO_ID).alias("first_docs"))
 
 
-def _left(text: str, gone: set[int]) -> str:
-    """The text without these sentences; pieces of one sentence that stay keep what is between them."""
-    lines, i = [], 0
-    for s in _END.split(text):
-        if s and not s.isspace():
-            own = pieces(s)
-            line = "".join(p for j, p in enumerate(own, i) if j not in gone).strip()
-            lines += [line] if line else []
-            i += len(own)
-    return "\n".join(lines)
+def left_over(text: str, removed: np.ndarray) -> str:
+    """The text without these sentences and the white space after them."""
+    at = sentence_starts(text)[1]
+    words = [m.start() for m in (_WORD if is_unspaced(text) else re.compile(r"\S+")).finditer(text)]
+    begin = np.array([*words, len(text)])[at]
+    begin[0] = 0
+    gone = np.zeros(len(at) - 1, dtype=bool)
+    gone[removed] = True
+    return "".join(text[a:b] for a, b, g in zip(begin, begin[1:], gone, strict=False) if not g).strip()
 
 
 def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated sentences cut out of the texts; what stays is joined by line breaks."""
+    """``docs`` with the repeated sentences cut out of the texts; texts without any stay as they are."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
-        for t, r in zip(texts, removed, strict=True):
-            gone = set(r.tolist()) if r is not None else set()
-            out.append(_left(t, gone) if gone else t)
-        return pd.Series(out, dtype=object)
-
-    key, gone = free_name(docs, "_id"), free_name(docs, "_removed")
-    found = checkpointed(repeated(docs, min_sentences, min_words).select(F.col("doc_id").alias(key), F.col("removed").alias(gone)))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left")
-    return joined.withColumn("text", cut("text", gone)).select(*docs.columns)
+        return pd.Series([t if r is None else left_over(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
+
+    doc, body, gone = (free_name(docs, n) for n in ("_doc", "_body", "_removed"))
+    found = repeated(docs, min_sentences, min_words).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(doc), F.col("body").alias(body), F.col("removed").alias(gone))
+    own_doc, own_body = keys(F.col("text").cast("string"))
+    joined = docs.join(checkpointed(found), (own_doc == F.col(doc)) & (own_body == F.col(body)), "left")
+    return joined.withColumn("text", cut(F.col("text").cast("string"), gone)).select(*docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
