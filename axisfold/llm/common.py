@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: the space and U+0009 to U+000D.
@@ -34,12 +35,15 @@ def n_words(text: Column) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's own ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in local tests.
+    The folder is the session's own ``spark.checkpoint.dir``.  Where none is named, a
+    temporary one stands in if everything runs in one process; a cluster must name one.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -59,3 +63,24 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Stands for a missing doc_id, after all others.
+NO_ID = (1 << 63) - 1
+
+
+def document_key(text: Column) -> list[Column]:
+    """``doc`` and ``body``, which tell documents apart; a doc_id may stand with several texts."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text.cast("string")).alias("body")]
+
+
+def one_row_each(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """One row of each document that ``keepers`` (doc, body) names.
+
+    Of rows that are equal in doc_id and text the one with the least hash stays.
+    """
+    doc, body, order = (free_name(docs, n) for n in ("_doc", "_body", "_order"))
+    keys = [k.alias(n) for k, n in zip(document_key(F.col("text")), (doc, body), strict=True)]
+    rows = docs.select("*", *keys).join(keepers.select(F.col("doc").alias(doc), F.col("body").alias(body)), [doc, body], "left_semi")
+    first = Window.partitionBy(doc, body).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rows.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).drop(doc, body, order)

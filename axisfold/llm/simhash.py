@@ -14,9 +14,10 @@ linked neighbour of its group.  Components of the links are found by star
 contractions over the cluster.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and
-is linked like any other; rows with equal text share a component; a null doc_id
-keeps its row and never names a component unless it is alone there; extra columns
-are ignored.
+is linked like any other; rows with equal text share a component; rows that share a
+doc_id but not the text are documents of their own; a null doc_id keeps its row, comes
+after all others, and leaves a component of such rows without a name; extra columns
+are ignored or, where rows are kept, pass through.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, table
+from .common import NO_ID, checkpointed, document_key, one_row_each, table
 from .components import components
 
 SEED = 42
-#: The tree of shards grows from at most so many fingerprints, those of lowest hash.
-TREE_SAMPLE = 8_192
 SHARD_SIZE = 16_384
+#: The tree of shards grows from so many fingerprints a shard, ...
+SAMPLE_A_SHARD = 32
+#: ... and from at most about so many; this changes the size of shards, not the links.
+MAX_SAMPLE = 1 << 20
 LEAF = 128
 _BITS = 4_000_000  # bytes of unpacked bits at a time
 
@@ -73,17 +76,17 @@ def _text_hashes(text: str | None, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, fp) where fp holds the 64 bits as a signed long."""
+    """(doc, body, fp): what tells documents apart, and the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.zeros(b.num_rows, dtype=np.uint64)
-            for i, text in enumerate(b.column(1)):
+            for i, text in enumerate(b.column(2)):
                 h = _text_hashes(text.as_py(), k)
                 fps[i] = majority(h) if len(h) else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc", "body", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*document_key(F.col("text")), F.col("text").cast("string")).mapInArrow(run, "doc long, body long, fp long")
 
 
 def distance(a: np.ndarray, b: np.uint64 | np.ndarray) -> np.ndarray:
@@ -193,68 +196,56 @@ def link_shard(points: np.ndarray, home: int, radius: int) -> tuple[np.ndarray,
 
 
 def links(classes: DataFrame, radius: int = 3, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """Spanning links (a, b) between the ids of fingerprints within ``radius`` bits.
+    """Spanning links (a, b) between fingerprints within ``radius`` bits.
 
-    ``classes``: fp and id, each once.  Points travel in packed arrays, one row
-    for each shard and batch.
+    ``classes``: fp, each once.  Points travel in packed arrays, one row for each
+    shard and batch.
     """
     n = classes.count()
-    sample = [r["fp"] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect()]
-    tree, _ = grow_tree(np.array(sample, dtype=np.int64).view(np.uint64), -(-n // shard_size))
+    shards = -(-n // shard_size)
+    every = max(1, n // min(max(SAMPLE_A_SHARD * shards, 8_192), MAX_SAMPLE))
+    sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").orderBy("fp").toPandas()["fp"]
+    tree, _ = grow_tree(sample.to_numpy(dtype=np.int64).view(np.uint64), shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            ids = b.column(1).to_numpy(zero_copy_only=False)
             out = list(route(tree, points, radius))
-            packed = [pa.array([x[i].tobytes() for _, *at in out for x in [(points[at[0]], ids[at[0]], points[at[1]], ids[at[1]])]], pa.binary()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int32()), *packed], names=["shard", "home", "home_ids", "guest", "guest_ids"])
+            packed = [pa.array([points[at[i]].tobytes() for _, *at in out], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int32()), *packed], names=["shard", "home", "guest"])
 
     def join(shard: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in shard.column(c)])
-        home = read("home", np.uint64)
-        ids = np.concatenate((read("home_ids", np.int64), read("guest_ids", np.int64)))
-        a, b = link_shard(np.concatenate((home, read("guest", np.uint64))), len(home), radius)
-        return pa.table({"a": ids[a], "b": ids[b]})
+        home, guest = (np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in shard.column(c)]) for c in ("home", "guest"))
+        points = np.concatenate((home, guest))
+        a, b = link_shard(points, len(home), radius)
+        return pa.table({"a": points[a].view(np.int64), "b": points[b].view(np.int64)})
 
-    packed = classes.select("fp", "id").mapInArrow(deal, "shard int, home binary, home_ids binary, guest binary, guest_ids binary")
-    return packed.groupBy("shard").applyInArrow(join, "a long, b long")
+    return classes.select("fp").mapInArrow(deal, "shard int, home binary, guest binary").groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-#: Ids from here on stand for fingerprints of documents that have no doc_id.
-NO_ID = 1 << 62
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id among all linked documents."""
+def linked(docs: DataFrame, k: int = 3, radius: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(doc, body, fp) of all documents, and (fp, root, least): what is linked has one root and one least doc."""
     fps = checkpointed(fingerprints(docs, k))
-    # fingerprints without any doc_id that get one id differ in their top three bits, so they are linked anyway
-    spare = F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", spare).alias("id")))
+    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc").alias("own")))
     roots = components(links(classes, radius))
+    rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root")))
+    least = checkpointed(rooted.groupBy("root").agg(F.min("own").alias("least")))
     # a table of its own, so that a large class can be split when documents join it
-    named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("root"))
-    named = checkpointed(named.select("fp", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps, checkpointed(rooted.join(least, "root").select("fp", "root", "least"))
 
 
-def one_row_each(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """One row of each document that ``keepers`` (doc_id) names, and all rows without doc_id."""
-    rows = docs.where(F.col("doc_id").isNotNull()).join(keepers, "doc_id", "left_semi")
-    order = free_name(docs, "_order")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    rows = rows.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).drop(order)
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id among all linked documents."""
+    fps, named = linked(docs, k, radius)
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return fps.join(named, "fp").select(known("doc").alias("doc_id"), "fp", known("least").alias("component_id"))
 
 
 def without_copies(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each linked group, the one of least doc_id.
-
-    Rows that share a doc_id are one document, of which the row whose text has the
-    least hash stays.  Rows without a doc_id can't be named as copies and stay.
-    """
-    named = docs.where(F.col("doc_id").isNotNull())
-    return one_row_each(docs, near_duplicates(named, k, radius).where("doc_id = component_id").select("doc_id").distinct())
+    """One row of each linked group: that of least doc_id and, there, of the least hash of the text."""
+    fps, named = linked(docs, k, radius)
+    keepers = fps.join(named, "fp").groupBy("root").agg(F.min(F.struct("doc", "body")).alias("kept")).select("kept.*")
+    return one_row_each(docs, checkpointed(keepers))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,10 +33,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, table
+from .common import NO_ID, checkpointed, document_key, free_name, table
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -111,15 +111,6 @@ def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
     return first, end - first, mixed((upto[b] - upto[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
-#: Stands for a missing doc_id.
-NO_ID = (1 << 63) - 1
-
-
-def keys(text: Column) -> list[Column]:
-    """What tells documents apart, in the order in which the first occurrence is sought."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("body")]
-
-
 def together(columns: Iterator[list[np.ndarray]], names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """The columns of many documents in batches of about so many rows."""
     held: list[list[np.ndarray]] = []
@@ -156,7 +147,7 @@ def span_table(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame
         yield from together((one(*row) for b in batches for row in zip(*b.columns, strict=True)), ["doc", "body", "first", "n", "span", "again"])
 
     text = F.col("text").cast("string")
-    return docs.select(*keys(text), text).mapInArrow(run, "doc long, body long, first int, n int, span long, again boolean")
+    return docs.select(*document_key(text), text).mapInArrow(run, "doc long, body long, first int, n int, span long, again boolean")
 
 
 def repeated(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -171,11 +162,11 @@ def repeated(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int
     runs = checkpointed(span_table(docs, min_sentences, min_words).join(common, "span"))
     firsts = checkpointed(runs.groupBy("span").agg(F.min(F.struct("doc", "body")).alias("kept")))
     later = runs.join(firsts, "span").where("doc <> kept.doc OR body <> kept.body OR again")
-    later = later.select("doc", "body", "first", "n", F.col("kept.doc").alias("kept_by")).distinct()
-    covered = F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("n") - 1)))
-    found = later.groupBy("doc", "body").agg(F.sort_array(F.array_distinct(covered)).alias("removed"), F.sort_array(F.collect_set("kept_by")).alias("first_docs"))
+    # sets shrink before they are shuffled, also those of a document that stands there very often
+    found = later.groupBy("doc", "body").agg(F.collect_set(F.struct("first", "n")).alias("runs"), F.collect_set("kept.doc").alias("first_docs"))
+    covered = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1)))
     unmarked = F.when(F.col("doc") < NO_ID, F.col("doc"))
-    return found.select(unmarked.alias("doc_id"), "body", "removed", F.filter("first_docs", lambda d: d < NO_ID).alias("first_docs"))
+    return found.select(unmarked.alias("doc_id"), "body", F.sort_array(F.array_distinct(covered)).alias("removed"), F.sort_array(F.filter("first_docs", lambda d: d < NO_ID)).alias("first_docs"))
 
 
 def left_over(text: str, removed: np.ndarray) -> str:
@@ -198,7 +189,7 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
 
     doc, body, gone = (free_name(docs, n) for n in ("_doc", "_body", "_removed"))
     found = repeated(docs, min_sentences, min_words).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(doc), F.col("body").alias(body), F.col("removed").alias(gone))
-    own_doc, own_body = keys(F.col("text").cast("string"))
+    own_doc, own_body = document_key(F.col("text"))
     joined = docs.join(checkpointed(found), (own_doc == F.col(doc)) & (own_body == F.col(body)), "left")
     return joined.withColumn("text", cut(F.col("text").cast("string"), gone)).select(*docs.columns)
 

@@ -10,6 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_near_copies import naive_keepers
+
 import corpus_pipeline
 from axisfold.llm import common, components, decontamination, html, language, lm_score, mixing, quality, queries, sharding, simhash, spans, toxicity
 
@@ -242,10 +244,10 @@ def test_links_with_many_shards(spark):
                 q ^= 1 << int(b)
             points.append(q)
     points = sorted(set(map(int, points)))
-    df = spark.createDataFrame([(p, i) for i, p in enumerate(points)], "fp long, id long")
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
     got = {r["node"]: r["root"] for r in components.components(simhash.links(df, shard_size=60)).collect()}
     want = naive_components({i: p & (2**64 - 1) for i, p in enumerate(points)})
-    assert {i: got.get(i, i) for i in want} == want
+    assert {i: got.get(p, p) for i, p in enumerate(points)} == {i: points[r] for i, r in want.items()}
 
 
 def test_components_of_paths_and_stars(spark):
@@ -376,10 +378,9 @@ def test_host_prior_decides_short_pages(spark):
 def test_pipeline(spark):
     docs = common.table(spark, SF, "documents")
     kept = {r["doc_id"] for r in quality.judge_documents(docs, common.table(spark, SF, "labels")).where("kept").collect()}
-    first = docs.where(F.col("doc_id").isin(*kept))
-    comp = by_id(simhash.near_duplicates(first), "component_id")
+    first = naive_keepers([(r["doc_id"], r["text"]) for r in docs.where(F.col("doc_id").isin(*kept)).collect()])
     hit = {r["doc_id"] for r in decontamination.matches(docs, common.table(spark, SF, "benchmark")).collect()}
-    left = set(comp.values()) - hit
+    left = set(first) - hit
     copies = by_id(mixing.mix_documents(docs.where(F.col("doc_id").isin(*left))), "copies")
     got = corpus_pipeline.run(spark, SF).collect()
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter({d: c for d, c in copies.items() if c})

@@ -99,7 +99,7 @@ def test_simhash(spark, docs, empty):
     assert by[1] == by[2] and next(iter(by[3]))[0] == 0 and {c for d in (3, 4, 5) for _, c in by[d]} == {3}
     assert {c for _, c in by[None]} == {3, None}
     left = simhash.without_copies(docs)
-    assert left.columns == docs.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 3, 6, 7, 8, None, None]
+    assert left.columns == docs.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 3, 6, 7, 8, None]
     assert simhash.near_duplicates(empty).count() == 0 and simhash.without_copies(empty).count() == 0
 
 

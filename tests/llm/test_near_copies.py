@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from axisfold.llm import common, near_copies
+from axisfold.llm import common, near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,5 +63,14 @@ def test_similarity_decides_at_the_threshold(spark, monkeypatch):
 def test_awkward_rows(spark):
     rows = [(1, "a b c"), (2, "A  b\nc"), (2, "other words"), (3, None), (4, ""), (None, "a b c"), (None, None), (5, "a b")]
     got = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id int, text string"))
-    assert sorted((r["doc_id"] for r in got.collect()), key=str) == [1, 2, 3, 5, None, None]
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == [1, 2, 3, 5]
+    assert [r["text"] for r in got.where("doc_id = 2").collect()] == ["other words"]
     assert near_copies.without_near_copies(got.where(F.lit(False))).count() == 0
+
+
+def test_no_text_is_lost(spark):
+    p, q = "one two three four five six", "another text of seven words in all"
+    for rows in ([(3, q), (5, p), (5, q)], [(5, p), (5, q)], [(5, p), (None, q), (None, p)], [(1, p), (None, p), (None, q), (None, q)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for left in (near_copies.without_near_copies(df), simhash.without_copies(df)):
+            assert sorted(r["text"] for r in left.collect()) == [q, p], rows
