@@ -1,14 +1,18 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
 Rows fall into blocks by a hash of their content.  How many rows each block sends
-to each shard is drawn once, from the multivariate hypergeometric law that a
-uniform permutation of all rows would follow, so shard sizes are exact (at most
-one row apart).  Rows are permuted inside their block, dealt by the drawn counts,
+to each shard is drawn once, exactly from the multivariate hypergeometric law that a
+uniform permutation of all rows would follow, so shard sizes are exact (at most one
+row apart).  Rows are permuted inside their block, dealt by the drawn counts,
 exchanged, and permuted again inside their shard.
 
+The driver draws the matrix, one count for each block and shard: 40 shards and 10**11
+rows in blocks of a million make 4 million counts.
+
 Defined cases: an empty table gives no rows; null and empty texts are rows like
-any other; rows equal in every column share a block and get different slots;
-input columns named like an output column are replaced.
+any other; rows equal in every column get different slots, and where they are more
+than ``MANY`` they are dealt over all blocks by copy; input columns named like an
+output column are replaced.
 """
 
 from __future__ import annotations
@@ -19,58 +23,78 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
-#: The driver holds blocks x shards counts; beyond this the blocks get larger.
-MAX_CELLS = 4_000_000
+#: Tables of up to so many numbers are broadcast; larger ones are joined by key.
+BROADCAST_CELLS = 4_000_000
+#: More equal rows than this don't share a block.
+MANY = 1_000
 
 
-def communication_matrix(block_sizes: list[int], n_shards: int, seed: int) -> np.ndarray:
-    """Row and column sums are exact; the counts follow a uniform permutation.
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` things taken from good + bad are good, for pools of any size.
 
-    numpy draws the law for populations below 10**9; above that a normal draw
-    with the same mean and variance, clipped to what is possible, stands in.
+    The law is inverted around its mode: the probabilities of neighbouring counts
+    have a simple ratio, so they are known up to a factor, which their sum gives.
+    Counts over 12 standard deviations (and 60) from the mode have less than 1e-30.
     """
+    least, most, pool = max(0, sample - bad), min(sample, good), good + bad
+    if least == most:
+        return least
+    mode = min(max((sample + 1) * (good + 1) // (pool + 2), least), most)
+    reach = 60 + math.ceil(12 * math.sqrt(sample / pool * good * (bad / pool) * ((pool - sample) / max(pool - 1, 1))))
+    lo, hi = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(lo, hi, dtype=np.float64)
+    ratio = (good - k) / (k + 1) * ((sample - k) / (bad - sample + k + 1))  # p(k + 1) / p(k)
+    up, down = np.cumprod(ratio[mode - lo :]), np.cumprod(1 / ratio[: mode - lo][::-1])[::-1]
+    upto = np.cumsum(np.concatenate((down, [1.0], up)))
+    return lo + int(np.searchsorted(upto, draw.random() * upto[-1], side="right"))
+
+
+def communication_matrix(block_sizes: list[int], n_shards: int, seed: int) -> np.ndarray:
+    """Row and column sums are exact; the counts follow a uniform permutation."""
     total = sum(block_sizes)
-    left = np.array([total // n_shards + (s < total % n_shards) for s in range(n_shards)], dtype=np.int64)
+    left = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     draw = np.random.Generator(np.random.PCG64(seed))
     out = np.zeros((len(block_sizes), n_shards), dtype=np.int64)
     for b, size in enumerate(block_sizes):
-        todo, pool = int(size), int(left.sum())
+        todo, pool = size, sum(left)
         for s in range(n_shards):
-            good = int(left[s])
-            bad = pool - good
-            if pool < 10**9:
-                k = int(draw.hypergeometric(good, bad, todo)) if todo else 0
-            else:
-                mean = todo * good / pool
-                var = mean * (bad / pool) * (pool - todo) / max(pool - 1, 1)
-                k = min(max(round(draw.normal(mean, math.sqrt(var))), max(0, todo - bad)), min(todo, good))
+            pool -= left[s]
+            k = hypergeometric(draw, left[s], pool, todo)
             out[b, s] = k
-            todo, pool = todo - k, bad
-        left -= out[b]
+            todo, left[s] = todo - k, left[s] - k
     return out
 
 
-def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, key: list[str] | None = None, rows_per_block: int = 1_000_000, min_blocks: int = 64) -> DataFrame:
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """The rows with ``copy``: 0, or a number of its own for each of many equal rows."""
+    hashes = ["first", "second"]
+    many = checkpointed(keyed.groupBy(*hashes).count().where(F.col("count") > MANY))
+    n = many.count()
+    if not n:
+        return keyed.withColumn("copy", F.lit(0).cast("long"))
+    hint = F.broadcast if 2 * n <= BROADCAST_CELLS else lambda x: x
+    once = keyed.join(hint(many), hashes, "left_semi").dropDuplicates(hashes)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("copy")
+    dealt = once.join(hint(many), hashes).select("row", *hashes, copies)
+    return keyed.join(hint(many), hashes, "left_anti").select("row", *hashes, F.lit(0).cast("long").alias("copy")).unionByName(dealt)
+
+
+def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, rows_per_block: int = 1_000_000, min_blocks: int = 64) -> DataFrame:
     """Every row with ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard).
 
-    ``key`` names the columns whose content places a row (default: all columns).
-    No task holds more than about ``rows_per_block`` rows of distinct content.
+    No task holds more than about ``rows_per_block`` rows.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     df = df.drop("shard", "slot")
-    spark, cols = df.sparkSession, [F.col(f"`{c}`") for c in key or df.columns]
-    hashed = lambda k: F.xxhash64(F.lit(f"{seed}/{k}"), *cols)
+    spark, cols = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
     total = df.count()
-    blocks = max(1, min(max(min_blocks, math.ceil(total / rows_per_block)), MAX_CELLS // n_shards))
-    keyed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        F.pmod(hashed("block"), F.lit(blocks)).cast("int").alias("block"),
-        hashed("first").alias("first"),
-        hashed("second").alias("second"),
-    )
+    blocks = max(1, min_blocks, math.ceil(total / rows_per_block))
+    keyed = df.select(F.struct(*cols).alias("row"), *[F.xxhash64(F.lit(f"{seed}/{k}"), *cols).alias(k) for k in ("first", "second")])
+    keyed = _numbered(keyed).select("row", *[F.when(F.col("copy") > 0, F.xxhash64("copy", k)).otherwise(F.col(k)).alias(k) for k in ("first", "second")])
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(f"{seed}/block"), "first"), F.lit(blocks)).cast("int"))
     counted = {r["block"]: r["count"] for r in keyed.groupBy("block").count().collect()}
     sizes = [counted.get(b, 0) for b in range(blocks)]
     ends = communication_matrix(sizes, n_shards, seed).cumsum(axis=1)
@@ -78,15 +102,14 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, key: list[str] | Non
     rank = F.row_number().over(Window.partitionBy("block").orderBy("first", "second")) - 1
     dealt = (
         keyed.withColumn("rank", rank)
-        .join(F.broadcast(deal), "block")
+        .join(F.broadcast(deal) if blocks * n_shards <= BROADCAST_CELLS else deal, "block")
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
     )
     parts = max(8, math.ceil(total / n_shards / rows_per_block))
     dealt = dealt.select("row", "shard", "first", "second", F.pmod(F.xxhash64("second"), F.lit(parts)).cast("int").alias("part"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    # shards x parts rows, which parts keeps at total / rows_per_block or 8 x shards
-    placed = dealt.join(F.broadcast(starts) if n_shards * parts <= MAX_CELLS else starts, ["shard", "part"])
+    placed = dealt.join(F.broadcast(starts) if n_shards * parts <= BROADCAST_CELLS else starts, ["shard", "part"])
     slot = F.col("start") + F.row_number().over(Window.partitionBy("shard", "part").orderBy("second", "first")) - 1
     return placed.select("row.*", "shard", slot.cast("long").alias("slot"))
 

@@ -1,6 +1,7 @@
 """Operators against brute force, exact invariants, SQL or held-out labels, on whole small tables."""
 
 import collections
+import math
 import re
 import zlib
 
@@ -327,6 +328,40 @@ def test_communication_matrix():
     assert draws.mean() == pytest.approx(15, abs=0.15) and draws.var() == pytest.approx(30 * 0.5 * 0.5 * 70 / 99, rel=0.1)
 
 
+@pytest.mark.parametrize("good, bad, sample", [(3, 5, 4), (1, 30, 2), (40, 2, 39), (700, 300, 100), (5, 0, 3), (0, 5, 3)])
+def test_hypergeometric_law(good, bad, sample):
+    ways = [math.comb(good, k) * math.comb(bad, sample - k) for k in range(sample + 1)]
+    upto = np.cumsum([w / sum(ways) for w in ways])
+
+    class Fixed:
+        def random(self):
+            return u
+
+    for u in np.random.default_rng(1).random(500):
+        k = sharding.hypergeometric(Fixed(), good, bad, sample)
+        assert ways[k] and u < upto[k] + 1e-9 and (k == 0 or u >= upto[k - 1] - 1e-9)
+
+
+def test_matrix_of_very_many_rows():
+    sizes = [10**10] * 200
+    m = sharding.communication_matrix(sizes, 8, 2)
+    assert m.sum(axis=1).tolist() == sizes and len(set(m.sum(axis=0).tolist())) == 1
+    share = 10**10 / 8
+    sd = math.sqrt(share * 7 / 8 * (1 - 1 / 200))
+    z = (m - share) / sd
+    assert abs(z.mean()) < 1e-6 and z.std() == pytest.approx(1, abs=0.07) and np.abs(z).max() < 5
+
+
+def test_many_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY", 10)
+    df = spark.range(500).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("x"))
+    got = sharding.shard_rows(df, 5, seed=3).collect()
+    assert sorted(r["x"] for r in got) == [-1] * 300 + list(range(300, 500))
+    assert {(r["shard"], r["slot"]) for r in got} == {(s, k) for s in range(5) for k in range(100)}
+    rows = sharding._numbered(df.select(F.struct("x").alias("row"), F.xxhash64("x").alias("first"), F.xxhash64(F.lit(1), "x").alias("second"))).collect()
+    assert sorted(r["copy"] for r in rows if r["row"]["x"] == -1) == list(range(300))
+
+
 def test_shuffle_is_uniform(spark):
     df = spark.range(4000).withColumn("x", F.col("id"))
     got = sharding.shard_rows(df, 5, seed=3, rows_per_block=300, min_blocks=4).collect()
