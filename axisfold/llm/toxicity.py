@@ -1,22 +1,29 @@
 """Toxicity by nearest labelled examples with exact TF-IDF cosine.
 
-A bounded sample of labelled documents is turned into TF-IDF vectors over the
-terms that tell the labels apart best.  The vectors form an inverted index whose
-postings lie in blocks of examples; for every term and block it keeps the largest
-weight.  A document sums these maxima into a bound for each block, visits blocks
-from the highest bound down, and stops when no bound beats its k-th neighbour, so
-the neighbours are exact.  Neighbours vote by their cosine; a logistic curve,
-fitted to votes in which each example was left out, turns the vote into a
-probability.  The neighbours' ids are the evidence.
-
-Terms are runs of letters, digits and non-ASCII characters, and the first bytes
-(``BEGINNINGS``) of longer ones; A-Z count as a-z.
-
-Defined cases: a null, empty or term-free text has no neighbours and gets the
+A bounded sample of labelled documents is turned into TF-IDF vectors over all words
+that at least ``MIN_EXAMPLES`` of them hold; a word's IDF is multiplied by how many
+standard deviations its toxic examples are away from those that chance would give
+it, so that what tells the labels apart weighs more.  The vectors form an inverted
+index whose postings lie in blocks of examples; for every word and block it keeps
+the largest weight.  A document sums these maxima into a bound for each block, looks
+into the blocks of the highest bounds, and then into every other block whose bound
+reaches the k-th best cosine so far, so the neighbours are exact.  Neighbours vote by
+their cosine; a logistic curve turns the vote into a probability.  The neighbours'
+ids are the evidence.
+
+An example whose text is the document's own is no neighbour of it, so a labelled
+document's own label is never part of its score; the curve is fitted to the votes
+that the examples get in the same way.
+
+Words are runs of letters, digits and non-ASCII characters; A-Z count as a-z.
+Words that no two examples hold are left out of all vectors and their lengths.
+
+Defined cases: a null, empty or wordless text has no neighbours and gets the
 calibrated score of an undecided vote, the share of toxic examples; labels that
-repeat count as toxic if any says so; ties among neighbours go to the smaller
-doc_id; without examples every score is 0; repeated rows are scored alike; a null
-doc_id is never an example and counts as not held out; extra columns are ignored.
+repeat, or stand with several documents of one text, count as toxic if any says so;
+ties among neighbours go by a hash of the text; without examples every score is 0;
+repeated rows are scored alike; a null doc_id is never an example and counts as not
+held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,86 +35,106 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 #: At most so many labelled documents become examples, those of lowest hash.
-MAX_EXAMPLES = 8_000
-MAX_TERMS = 1024
+MAX_EXAMPLES = 4_000
+MIN_EXAMPLES = 2
 NEIGHBOURS = 15
-BEGINNINGS = (4, 5, 6, 7)
-BLOCK = 64
+BLOCK = 32
+#: So many blocks are looked into first.
+FIRST_BLOCKS = 4
 PRIOR_WEIGHT = 0.5
 _FOLD = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
 
 def terms(text: str | None) -> list[bytes]:
-    """The words, and of longer ones the beginnings, which inflected forms share."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    return words + [b"^" + w[:n] for n in BEGINNINGS for w in words if len(w) > n]
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def body_of(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
 
 
 def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(1))
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0]..end[0]-1, begin[1]..end[1]-1, and so on."""
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 @dataclass
 class Index:
-    """Examples in blocks; weights[term, position] and block_max[term, block]."""
+    """Examples, and for each word its entries, one a block, with the largest weight and the postings of the block."""
 
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
+    bodies: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray
+    of_word: np.ndarray  # where each word's entries begin
+    block: np.ndarray
     block_max: np.ndarray
-    prior: float
+    of_entry: np.ndarray  # where each entry's postings begin
+    example: np.ndarray
+    value: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
 
+    @property
+    def prior(self) -> float:
+        return float(self.labels.mean()) if len(self.labels) else 0.0
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length TF-IDF weights of a text."""
-        find = self.vocabulary.get
-        counts = Counter(t for t in map(find, terms(text)) if t is not None)
-        if not counts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = np.array(sorted(counts))
-        w = (1 + np.log([counts[t] for t in at.tolist()])) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
-
-    def neighbours(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The nearest examples as (cosine, position), nearest first; none of cosine 0."""
+        """Word numbers and unit-length TF-IDF weights of a text."""
+        return vector(text, self.vocabulary, self.weight)
+
+    def neighbours(self, text: str | None) -> list[tuple[float, int]]:
+        """The nearest examples of other texts as (cosine, position), nearest first; none of cosine 0."""
+        at, w = self.vector(text)
         if not len(at) or not len(self.ids):
             return []
-        bounds = w @ self.block_max[at]
-        rows = self.weights[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 1e-9 or len(best) == NEIGHBOURS and bounds[b] < best[-1][0] - 1e-9:
-                break
-            scores = w @ rows[:, b * BLOCK : (b + 1) * BLOCK]
-            least = max(1e-9, best[-1][0] if len(best) == NEIGHBOURS else 0.0)
-            near = np.nonzero(scores >= least)[0]
-            if len(near):
-                best += [(float(scores[i]), b * BLOCK + i) for i in near.tolist() if b * BLOCK + i != skip]
-                best.sort(key=lambda x: (-x[0], self.ids[x[1]]))
-                del best[NEIGHBOURS:]
-        return best
+        size = self.of_word[at + 1] - self.of_word[at]
+        entries, w = ranges(self.of_word[at], self.of_word[at + 1]), np.repeat(w, size)
+        blocks = self.block[entries]
+        bounds = np.bincount(blocks, w * self.block_max[entries], minlength=-(-len(self.ids) // BLOCK))
+        scores, own = np.zeros(len(self.ids)), self.bodies == body_of(text)
+
+        def look(chosen: np.ndarray) -> None:
+            inside = chosen[blocks]
+            begin, end = self.of_entry[entries[inside]], self.of_entry[entries[inside] + 1]
+            p = ranges(begin, end)
+            scores[:] += np.bincount(self.example[p], self.value[p] * np.repeat(w[inside], end - begin), minlength=len(scores))
+            scores[own] = 0.0
+
+        first = np.zeros(len(bounds), dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        look(first)
+        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) > NEIGHBOURS else 0.0
+        look(~first & (bounds >= max(least - 1e-9, 1e-9)))
+        # a few more than needed, so that ties at the last place are told apart by text
+        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) > NEIGHBOURS else 0.0
+        near = np.nonzero(scores >= max(least, 1e-9))[0]
+        near = near[np.lexsort((self.bodies[near], -scores[near]))][:NEIGHBOURS]
+        return list(zip(scores[near].tolist(), near.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
+        """The log odds of toxicity by the neighbours, each as much as the square of its cosine."""
         weight = sum(c * c for c, _ in near)
         toxic = sum(c * c * self.labels[i] for c, i in near)
-        return (toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT)
-
-    def calibrate(self) -> None:
-        """Fit the logistic curve to the votes of the examples without themselves."""
-        votes = np.zeros(len(self.ids))
-        for i in range(len(self.ids)):
-            at = np.nonzero(self.weights[:, i])[0]
-            votes[i] = _logit(self.vote(self.neighbours(at, self.weights[at, i].astype(float), skip=i)))
-        y, theta = self.labels.astype(float), np.array([1.0, 0.0])
+        p = min(max((toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT), 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fit the logistic curve from votes to labels."""
+        y, theta = labels.astype(float), np.array([1.0, 0.0])
         x = np.stack([votes, np.ones(len(votes))], axis=1)
         for _ in range(50):
             p = 1 / (1 + np.exp(-x @ theta))
@@ -120,22 +147,53 @@ class Index:
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         if not len(self.ids):
             return 0.0, [], []
-        near = self.neighbours(*self.vector(text))
-        z = self.slope * _logit(self.vote(near)) + self.shift
+        near = self.neighbours(text)
+        z = self.slope * self.vote(near) + self.shift
         return 1 / (1 + math.exp(-z)), [int(self.ids[i]) for _, i in near[:5]], [c for c, _ in near[:5]]
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-6), 1 - 1e-6)
-    return math.log(p / (1 - p))
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
+def vector(text: str | None, vocabulary: dict[bytes, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    find = vocabulary.get
+    counts = Counter(t for t in map(find, terms(text)) if t is not None)
+    if not counts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    at = np.array(sorted(counts))
+    w = (1 + np.log([counts[t] for t in at.tolist()])) * weight[at]
+    return at, w / math.sqrt(float(w @ w))
+
+
+def word_weights(n: int, positive: int, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """IDF times the distance of the toxic examples from their expected number, in its standard deviations."""
+    idf = np.log(1 + n / df)
+    if positive in (0, n):
+        return idf
+    expected = df * (positive / n)
+    return idf * np.maximum(np.abs(hits - expected) / np.sqrt(expected), 1e-3)
+
+
+def built(vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> Index:
+    """The index of examples (doc_id, body, label, words, weights)."""
+    # examples with the same label and leading word share blocks, which keeps the bounds tight
+    examples = sorted(examples, key=lambda r: (r[2], r[3][int(np.argmax(r[4]))] if len(r[3]) else -1, r[1]))
+    ids, bodies, labels = (np.array([r[i] for r in examples], dtype=np.int64) for i in range(3))
+    words = np.concatenate([r[3] for r in examples] or [np.zeros(0, np.int64)])
+    value = np.concatenate([r[4] for r in examples] or [np.zeros(0)])
+    example = np.repeat(np.arange(len(examples)), [len(r[3]) for r in examples])
+    order = np.argsort(words, kind="stable")  # within a word, examples stay in order
+    words, value, example = words[order], value[order], example[order]
+    block = example // BLOCK
+    begins = np.nonzero(np.diff(words, prepend=-1) | np.diff(block, prepend=-1))[0]
+    block_max = np.maximum.reduceat(value, begins) if len(begins) else value
+    of_word = np.searchsorted(words[begins], np.arange(len(vocabulary) + 1))
+    return Index(vocabulary, weight, ids, bodies, labels, of_word, block[begins], block_max, np.append(begins, len(words)), example, value)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """The index of a bounded sample of labelled documents outside the held-out fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by max_examples
-    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by max_examples
+    found = checkpointed(found.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").cast("long").alias("doc_id")))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,36 +202,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
     n, positive = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     by_term = found.select("toxic", "text").mapInArrow(distinct, "toxic int, term binary").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
-    expected = F.col("df") * F.lit(positive / max(n, 1))
-    # terms that speak for toxicity; those against it only blur the neighbours
-    chosen = by_term.where(F.col("df") >= 3).where(F.col("hits") > expected).withColumn("chi", (F.col("hits") - expected) ** 2 / expected) if positive else by_term.limit(0).withColumn("chi", F.lit(0.0))
-    rows = chosen.orderBy(F.desc("chi"), "term").limit(max_terms).collect()
-    vocabulary = {bytes(r["term"]): i for i, r in enumerate(rows)}
-    idf = np.array([math.log(1 + n / r["df"]) for r in rows])
-    empty = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), 0.0)
+    rows = by_term.where(F.col("df") >= MIN_EXAMPLES).orderBy("term").toPandas()  # bounded by the words of the examples
+    vocabulary = {bytes(t): i for i, t in enumerate(rows["term"])}
+    weight = word_weights(n, positive, rows["df"].to_numpy(dtype=float), rows["hits"].to_numpy(dtype=float))
+    words = found.sparkSession.sparkContext.broadcast((vocabulary, weight))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [empty.vector(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([w for _, w in made], pa.list_(pa.float64()))], names=["doc_id", "toxic", "at", "w"])
-
-    examples = found.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, at array<long>, w array<double>").collect()
-    # examples with the same leading term share blocks, which keeps the bounds tight
-    examples.sort(key=lambda r: (r["at"][int(np.argmax(r["w"]))] if r["at"] else -1, r["doc_id"]))
-    size = -(-len(examples) // BLOCK) * BLOCK
-    weights = np.zeros((len(rows), size), dtype=np.float32)
-    for i, r in enumerate(examples):
-        weights[r["at"], i] = r["w"]
-    block_max = weights.reshape(len(rows), size // BLOCK, BLOCK).max(axis=2, initial=0)
-    index = Index(vocabulary, idf, np.array([r["doc_id"] for r in examples], dtype=np.int64), np.array([r["toxic"] for r in examples], dtype=np.int64), weights, block_max, positive / max(n, 1))
-    if len(examples):
-        index.calibrate()
+            made = [vector(t.as_py(), *words.value) for t in b.column(2)]
+            cols = [b.column(0), pa.array([body_of(t.as_py()) for t in b.column(2)], pa.int64()), b.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "body", "toxic", "at", "w"])
+
+    packed = found.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, body long, toxic int, at binary, w binary").collect()
+    index = built(vocabulary, weight, [(r["doc_id"], r["body"], r["toxic"], np.frombuffer(r["at"], dtype=np.int64), np.frombuffer(r["w"])) for r in packed])
+    if packed:
+        sent = found.sparkSession.sparkContext.broadcast(index)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.vote(own.neighbours(t.as_py())) for t in b.column(1)], pa.float64())], names=["toxic", "vote"])
+
+        got = found.select("toxic", "text").mapInArrow(votes, "toxic int, vote double").orderBy("vote", "toxic").toPandas()
+        index.calibrate(got["vote"].to_numpy(), got["toxic"].to_numpy())
     return index
 
 
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples) and their cosines."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples x max_terms
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the texts of max_examples examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

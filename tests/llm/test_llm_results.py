@@ -383,14 +383,47 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_block_max_search_is_exact(spark):
-    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
-    index = toxicity.fit(docs, common.table(spark, "/root/testdata/sf0.01", "labels"))
-    for r in docs.limit(150).collect():
-        at, w = index.vector(r["text"])
-        cos = w @ index.weights[at] if len(at) else np.zeros(0)
-        want = sorted((-float(c), int(index.ids[i])) for i, c in enumerate(cos[: len(index.ids)]) if c > 1e-9)[: toxicity.NEIGHBOURS]
-        got = [(-c, int(index.ids[i])) for c, i in index.neighbours(at, w)]
-        assert [c for c, _ in got] == pytest.approx([c for c, _ in want], abs=1e-6)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    index = toxicity.fit(docs, labels)
+    word = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower() if (t or "").isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {}
+    for r in labels.where("toxic IS NOT NULL").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            known[texts[r["doc_id"]]] = max(known.get(texts[r["doc_id"]], 0), r["toxic"])
+    n, positive = len(known), sum(known.values())
+    df = collections.Counter(w for t in known for w in set(word(t)))
+    hits = collections.Counter(w for t, y in known.items() if y for w in set(word(t)))
+
+    def vector(text):
+        counts, out = collections.Counter(word(text)), {}
+        for w, c in counts.items():
+            if df[w] >= 2:
+                e = df[w] * positive / n
+                out[w] = (1 + math.log(c)) * math.log(1 + n / df[w]) * max(abs(hits[w] - e) / math.sqrt(e), 1e-3)
+        size = math.sqrt(sum(x * x for x in out.values()))
+        return {w: x / size for w, x in out.items()}
+
+    vectors = [(t, vector(t)) for t in known]
+    for d in sorted(texts)[:120]:
+        own = vector(texts[d])
+        want = sorted((sum(x * v.get(w, 0.0) for w, x in own.items()) for t, v in vectors if t != texts[d]), reverse=True)[: toxicity.NEIGHBOURS]
+        got = index.neighbours(texts[d])
+        assert [c for c, _ in got] == pytest.approx([c for c in want if c > 1e-9], abs=1e-9)
+        assert all(texts[int(index.ids[i])] != texts[d] and index.labels[i] == known[texts[int(index.ids[i])]] for _, i in got)
+
+
+def test_labels_of_a_text_are_not_used_for_it(spark):
+    rows = [(i, f"word{i % 7} other{i % 3} thing{i % 5} {'bad' if i % 4 == 0 else 'fine'} end{i}") for i in range(1, 60)]
+    docs = spark.createDataFrame(rows + [(100 + i, t) for i, t in rows[:20]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    texts = dict(rows)
+    for i, t in rows:
+        assert all(texts[int(index.ids[k])] != t for _, k in index.neighbours(t))
+    got = by_id(toxicity.scored(docs, index), "score")
+    assert all(got[i] == got[100 + i] for i, _ in rows[:20])
 
 
 def test_language_of_labelled_rows(spark):
