@@ -39,7 +39,11 @@ def custom_part(name: str, catalog, params: Mapping) -> DataFrame:
 
 
 def by_epoch(df: DataFrame, fn: Callable[[pd.DataFrame, Mapping], float], params: Mapping) -> DataFrame:
-    """A Python-only function of one epoch's rows; what it raises becomes the reason."""
+    """A Python-only function of one epoch's rows; what it raises becomes the reason.
+
+    All rows of an epoch meet in one task, so fold or count them first until an
+    epoch is small, whatever the number of measurements.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         try:

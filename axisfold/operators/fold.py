@@ -30,18 +30,43 @@ def _grouped(df: DataFrame, keys: Sequence[str], out: Column) -> DataFrame:
     return df.groupBy(*keys).agg(out) if keys else df.agg(out)
 
 
-def matches(axis: Column, wanted) -> Column:
-    """``axis`` equals a value or one of a list; booleans may be given as text."""
-    if isinstance(wanted, list | tuple):
-        return axis.isin(*wanted)
-    return axis == F.lit(wanted)
+def _as_kind(x, kind: str):
+    """The value in the terms of an axis type; None where the axis can't have it."""
+    if kind == "string":
+        return str(x).lower() if isinstance(x, bool) else str(x)
+    if kind == "boolean":
+        return x if isinstance(x, bool) else {"true": True, "1": True, "false": False, "0": False}.get(str(x).lower())
+    if isinstance(x, bool):
+        return None
+    try:
+        return x if isinstance(x, int | float) else int(x)
+    except (TypeError, ValueError):
+        pass
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def matches(df: DataFrame, axis: str, wanted) -> Column:
+    """The axis equals a value or one of a list; booleans and numbers may be given as text.
+
+    A value that the axis can't have, such as a word on an axis of numbers, matches nothing.
+    """
+    kind, values = dict(df.dtypes)[axis], wanted if isinstance(wanted, list | tuple) else [wanted]
+    if kind not in ("string", "boolean", "double", "float") and not kind.endswith("int") and not kind.startswith("decimal"):
+        return F.col(f"`{axis}`").isin(*values)
+    own = [v for x in values if (v := _as_kind(x, kind)) is not None]
+    if not own:
+        return F.lit(False)
+    return F.col(f"`{axis}`") == F.lit(own[0]) if len(own) == 1 else F.col(f"`{axis}`").isin(*own)
 
 
 def filter_axis(df: DataFrame, axis: str, wanted) -> DataFrame:
     """Rows of one or several axis values; the axis goes, what stays may repeat."""
     if axis not in df.columns:
         raise SpecError(f"axis {axis} is not there, or already gone")
-    return df.where(matches(F.col(axis), wanted)).drop(axis)
+    return df.where(matches(df, axis, wanted)).drop(axis)
 
 
 def weight_of(df: DataFrame, axis: str, weights) -> Column:
@@ -57,7 +82,7 @@ def aggregate_axis(df: DataFrame, axis: str, op: str, select=None, weight=None,
     """Mean, sum, min or max over an axis; selected and weighted just before."""
     keys = rest(df, axis, value)
     if select is not None:
-        df = df.where(F.col(axis).isin(*select))
+        df = df.where(matches(df, axis, list(select)))
     if weight is not None:
         df = df.withColumn(value, F.col(value) * weight_of(df, axis, weight))
     return _grouped(df, keys, AGGREGATE[op](F.col(value)).alias(value))
@@ -71,17 +96,16 @@ def diff_axis(df: DataFrame, axis: str, minuend, subtrahend, value: str = VALUE,
     and no join.
     """
     keys = rest(df, axis, value)
-    at = F.col(axis)
+    first, second = matches(df, axis, minuend), matches(df, axis, subtrahend)
     if unique:
-        first, second = matches(at, minuend), matches(at, subtrahend)
         found = df.where(first | second).groupBy(*keys) if keys else df.where(first | second).groupBy()
         null_key = F.lit(False)
         for k in keys:
             null_key = null_key | F.col(k).isNull()
         got = found.agg(F.max(F.when(first, F.col(value))).alias("_a"), F.max(F.when(second, F.col(value))).alias("_b"), F.count_if(first).alias("_n"))
         return got.where("_n > 0").select(*keys, or_nan(F.when(~null_key, F.col("_a") - F.col("_b"))).alias(value))
-    left = df.where(matches(at, minuend)).drop(axis)
-    right = df.where(matches(at, subtrahend)).drop(axis).withColumnRenamed(value, "_other")
+    left = df.where(first).drop(axis)
+    right = df.where(second).drop(axis).withColumnRenamed(value, "_other")
     return paired(left, right, keys).select(*keys, or_nan(F.col(value) - F.col("_other")).alias(value))
 
 
@@ -128,11 +152,29 @@ def combined_key(entry: str, wanted):
     return wanted
 
 
+def matches_combined(df: DataFrame, entry: str, keys) -> Column:
+    """What fused keys ask of the single axes; true where a key can't be taken apart."""
+    axes, out = axes_of(entry), F.lit(False)
+    for key in keys if isinstance(keys, list | tuple) else [keys]:
+        parts = str(key).split("&")
+        if len(parts) != len(axes) or any(a not in df.columns for a in axes):
+            return F.lit(True)
+        one = F.lit(True)
+        for a, p in zip(axes, parts, strict=True):
+            one = one & matches(df, a, p)
+        out = out | one
+    return out
+
+
 def apply_step(df: DataFrame, entry: str, step: Step, value: str = VALUE, unique: bool = False) -> DataFrame:
     """One entry of an order: fuse if it is combined, then filter or fold."""
     wanted = step.value
     if "&" in entry:
-        df, wanted = fuse_axes(df, entry), combined_key(entry, wanted)
+        wanted = combined_key(entry, wanted)
+        if step.op in ("filter", "diff"):
+            # on the single axes, so that the filter reaches the scan
+            df = df.where(matches_combined(df, entry, wanted))
+        df = fuse_axes(df, entry)
     if step.op == "filter":
         return filter_axis(df, entry, wanted)
     if step.op == "diff":
@@ -161,7 +203,7 @@ def fold_all(df: DataFrame, order: Sequence[str], steps: Mapping[str, Step], val
                 rest(df, a, value)
             keys = [c for c in rest(df, entry, value) if c not in gone]
             if step.value is not None:
-                df = df.where(F.col(entry).isin(*step.value))
+                df = df.where(matches(df, entry, list(step.value)))
             if step.weight is not None:
                 df = df.withColumn(value, F.col(value) * weight_of(df, entry, step.weight))
             df = _grouped(df, keys, AGGREGATE[step.op](F.col(value)).alias(value))

@@ -41,6 +41,22 @@ def apply_calibration(df: DataFrame, generation: str, calibration: DataFrame, te
     return df.join(b, [*on, "State"], "left").select(*df.drop(value).columns, or_nan(out).alias(value))
 
 
+def temperature_conflicts(temperatures: DataFrame) -> DataFrame:
+    """(Epoch, Board), or (Board) where temperatures hold for all epochs, with more than one temperature."""
+    keys = [c for c in ("Epoch", "Board") if c in temperatures.columns]
+    return temperatures.groupBy(*keys).agg(F.count_distinct("temp").alias("n")).where("n > 1").select(*keys)
+
+
+def conflict_failures(epochs: DataFrame, temperatures: DataFrame) -> DataFrame:
+    """(Epoch, reason) of the epochs whose boards have several temperatures, of which none can be right."""
+    lost = temperature_conflicts(temperatures)
+    known = "Epoch" in lost.columns
+    boards = F.slice(F.sort_array(F.collect_set("Board")), 1, 8)
+    lost = (lost.groupBy("Epoch") if known else lost.groupBy()).agg(boards.alias("boards")).where(F.size("boards") > 0)
+    both = epochs.join(lost, "Epoch") if known else epochs.crossJoin(F.broadcast(lost))  # one row
+    return both.select("Epoch", F.concat(F.lit("boards with several temperatures: "), F.array_join(F.transform("boards", lambda b: b.cast("string")), ", ")).alias("reason"))
+
+
 def unmatched_calibration(df: DataFrame, generation: str, calibration: DataFrame, temperatures: DataFrame, identity: str = "Epoch") -> DataFrame:
     """The (identity, Board, State) that find no coefficient."""
     own = calibration.where(F.col("generation") == generation)

@@ -12,6 +12,7 @@ from ..plans.part import base_frame, steps
 from ..plans.spec import AGGREGATES, GroupDef, ScoreFile, ScorePart, axes_of
 from .fold import VALUE, matches
 from .lookup import unmatched_calibration
+from .relative import fan_out
 from .resolve import SIDE_KEYS, Catalog
 from .transforms import group_label
 
@@ -46,16 +47,17 @@ def first_offence(metrics: DataFrame) -> DataFrame:
 def relative_causes(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
     """(Epoch, numerator_rows, denominator_rows, cause) of a part with a pairing."""
     df, cfg = base_frame(catalog, part, groups or {}), part.relative
-    at = F.col(cfg.split_axis)
-    got = df.groupBy("Epoch").agg(F.count_if(matches(at, cfg.numerator_when)).alias("numerator_rows"), F.count_if(matches(at, cfg.denominator_when)).alias("denominator_rows"))
-    cause = F.when(F.col("numerator_rows") == 0, "no numerator rows").when(F.col("denominator_rows") == 0, "no denominator rows")
-    return got.withColumn("cause", cause)
+    of = {"numerator_rows": matches(df, cfg.split_axis, cfg.numerator_when), "denominator_rows": matches(df, cfg.split_axis, cfg.denominator_when)}
+    got = df.groupBy("Epoch").agg(*[F.count_if(c).alias(n) for n, c in of.items()])
+    met = fan_out(df, cfg).select("Epoch", (F.col("single") + F.col("several")).alias("_met"))
+    cause = F.when(F.col("numerator_rows") == 0, "no numerator rows").when(F.col("denominator_rows") == 0, "no denominator rows").when(F.coalesce("_met", F.lit(0)) == 0, "no pairs")
+    return got.join(met, "Epoch", "left").select("Epoch", *of, cause.alias("cause"))
 
 
 def filter_causes(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
     """(Epoch, step, cause): filters that match nothing in an epoch's resolved rows."""
     df = base_frame(catalog, part, groups or {})
-    tests = [(s, matches(F.col(s), part.steps[s].value)) for s in part.order if s in df.columns and part.steps[s].op == "filter"]
+    tests = [(s, matches(df, s, part.steps[s].value)) for s in part.order if s in df.columns and part.steps[s].op == "filter"]
     if not tests:
         return df.limit(0).select("Epoch", F.lit("").alias("step"), F.lit("").alias("cause"))
     got = df.groupBy("Epoch").agg(*[F.count_if(hit).alias(f"n{i}") for i, (_, hit) in enumerate(tests)])

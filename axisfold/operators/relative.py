@@ -21,9 +21,8 @@ def apply_relative(df: DataFrame, cfg: Relative, value: str = VALUE) -> DataFram
         raise SpecError(f"axis {cfg.split_axis} is not there, or already gone")
     if cfg.mode not in ("ratio", "diff"):
         raise SpecError(f"unknown mode {cfg.mode!r}")
-    at = F.col(cfg.split_axis)
-    num = df.where(matches(at, cfg.numerator_when)).drop(cfg.split_axis)
-    den = df.where(matches(at, cfg.denominator_when)).drop(cfg.split_axis)
+    num = df.where(matches(df, cfg.split_axis, cfg.numerator_when)).drop(cfg.split_axis)
+    den = df.where(matches(df, cfg.split_axis, cfg.denominator_when)).drop(cfg.split_axis)
     for axis, step in cfg.denominator_pre_aggregation:
         den = apply_step(den, axis, step, value)
     keys = [c for c in den.columns if c != value]
@@ -39,9 +38,8 @@ def apply_relative(df: DataFrame, cfg: Relative, value: str = VALUE) -> DataFram
 
 def fan_out(df: DataFrame, cfg: Relative, identity: tuple[str, ...] = ("Epoch",), value: str = VALUE) -> DataFrame:
     """How many numerator rows pair with none, one and several denominator rows."""
-    at = F.col(cfg.split_axis)
-    num = df.where(matches(at, cfg.numerator_when)).drop(cfg.split_axis, value)
-    den = df.where(matches(at, cfg.denominator_when)).drop(cfg.split_axis)
+    num = df.where(matches(df, cfg.split_axis, cfg.numerator_when)).drop(cfg.split_axis, value)
+    den = df.where(matches(df, cfg.split_axis, cfg.denominator_when)).drop(cfg.split_axis)
     for axis, step in cfg.denominator_pre_aggregation:
         den = apply_step(den, axis, step, value)
     keys = [c for c in den.columns if c != value]

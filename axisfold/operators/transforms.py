@@ -71,6 +71,13 @@ def outside_groups(df: DataFrame, g: GroupDef, identity: list[str] | None = None
     return df.where(group_label(F.col(g.axis), g.groups).isNull()).select(*identity, F.col(g.axis)).distinct()
 
 
+def coverage_failures(df: DataFrame, name: str, g: GroupDef, identity: str = "Epoch") -> DataFrame:
+    """(identity, reason) of those with axis values in no range of the group; a few of the values are named."""
+    lost = outside_groups(df, g, [identity]).groupBy(identity).agg(F.slice(F.sort_array(F.collect_set(g.axis)), 1, 8).alias("v"), F.count("*").alias("n"))
+    shown = F.concat(F.array_join(F.transform("v", lambda x: x.cast("string")), ", "), F.when(F.col("n") > 8, ", ...").otherwise(""))
+    return lost.select(identity, F.concat(F.lit(f"values of {g.axis} in no range of {name}: "), shown).alias("reason"))
+
+
 def axis_counts(tables: list[DataFrame], axis: str) -> int | None:
     """Largest value + 1 of an axis over all tables that have it."""
     parts = [t.select(F.max(axis).cast("long").alias("m")) for t in tables if axis in t.columns]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.fold import apply_step, collapse, fold_all
-from ..operators.lookup import apply_calibration
+from ..operators.lookup import apply_calibration, conflict_failures
 from ..operators.relative import apply_relative
 from ..operators.resolve import Catalog
-from ..operators.transforms import resolve_groups, transform, with_groups
-from .spec import CALIBRATE_STEP, RELATIVE_STEP, GroupDef, ScorePart, SpecError, is_virtual
+from ..operators.transforms import coverage_failures, resolve_groups, transform, with_groups
+from .spec import CALIBRATE_STEP, CALIBRATED_TYPE, RELATIVE_STEP, GroupDef, ScorePart, SpecError, is_virtual
 
 
 def base_frame(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef]) -> DataFrame:
@@ -54,9 +55,25 @@ def folded(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef]) ->
     return df
 
 
+def refusals(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef]) -> list[DataFrame]:
+    """(Epoch, reason) of epochs that the part must not score, whatever value comes out.
+
+    A group must cover its axis in all rows, filtered or not, and a board must have
+    one temperature.
+    """
+    out = [coverage_failures(catalog.resolve(part.source_type, {g.axis}), name, g) for name, g in groups.items()]
+    if part.type == CALIBRATED_TYPE and catalog.temperatures is not None:
+        out.append(conflict_failures(catalog.measurements[part.source_type].select("Epoch").distinct(), catalog.temperatures))
+    return out
+
+
 def score_part(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
     """(Epoch, value, reason) of a resolved part; reason is null where value is good."""
     own = resolve_groups(part.used_groups(groups or {}), list(catalog.measurements.values()), catalog.counts)
-    return collapse(folded(catalog, part, own))
+    got = collapse(folded(catalog, part, own))
+    for lost in refusals(catalog, part, own):
+        got = got.join(lost.withColumnRenamed("reason", "_refused"), "Epoch", "full")
+        got = got.select("Epoch", F.when(F.col("_refused").isNull(), F.col("value")).alias("value"), F.coalesce("_refused", "reason").alias("reason"))
+    return got
 
 

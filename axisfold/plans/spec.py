@@ -126,20 +126,28 @@ class ScorePart:
                 raise SpecError(f"{where}: no set named {name!r}")
             return sets[name]
 
-        steps = {}
-        for axis, step in self.steps.items():
-            where = f"{self.name} {axis}"
+        def put_in(axis: str, step: Step, where: str) -> Step:
             if step.ref is not None:
                 step = replace(step, value=look(weights if is_virtual(axis) else selections, step.ref, where), ref=None)
             if step.weight_ref is not None:
                 step = replace(step, weight=look(weights, step.weight_ref, where), weight_ref=None)
             if step.op == "filter" and isinstance(step.value, list) and len(step.value) == 1 and not isinstance(step.value[0], list):
                 step = replace(step, value=step.value[0])
-            steps[axis] = step.checked(where)
+            return step.checked(where)
+
+        steps = {axis: put_in(axis, step, f"{self.name} {axis}") for axis, step in self.steps.items()}
+        paired = self.relative
+        if paired is not None:
+            if paired.mode not in ("ratio", "diff"):
+                raise SpecError(f"{self.name}: unknown mode {paired.mode!r}")
+            before = [(axis, put_in(axis, step, f"{self.name} denominator {axis}")) for axis, step in paired.denominator_pre_aggregation]
+            if any(is_virtual(axis) or axis == paired.split_axis for axis, _ in before):
+                raise SpecError(f"{self.name}: a denominator is folded over its own axes only")
+            paired = replace(paired, denominator_pre_aggregation=tuple(before))
         for axis in self.effective_order():
             if axis not in steps and axis not in (RELATIVE_STEP, CALIBRATE_STEP):
                 raise SpecError(f"{self.name}: {axis} has no instruction")
-        return replace(self, steps=steps)
+        return replace(self, steps=steps, relative=paired)
 
     def required_axes(self, groups: Mapping[str, GroupDef]) -> set[str]:
         """The axes to read: all that are named, derived ones by their source."""
@@ -185,6 +193,8 @@ class ScoreFile:
         for name, g in self.groups.items():
             if name == g.axis:
                 raise SpecError(f"group {name} has the name of its own axis")
+            if bad := [k for k, (lo, hi) in g.groups.items() if lo > hi]:
+                raise SpecError(f"group {name}: ranges end before they begin: {bad}")
         return [p.resolved(self.selections, self.weights) for p in self.parts]
 
 

@@ -23,7 +23,7 @@ from .plans.score import compute_scores
 from .plans.spec import GroupDef, Relative, ScoreFile, ScorePart, Step
 from .sources import tables
 from .sources.shared import shared_dir
-from .streaming.incremental import score_stream
+from .streaming.incremental import current, score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,7 +96,7 @@ def run(spark: SparkSession, sf_dir: str, p: ScorePart, groups=None) -> DataFram
 
 MEAN, SUM, MIN, MAX = Step("mean"), Step("sum"), Step("min"), Step("max")
 SELECTIONS = {"first_lines": [1, 2, 3], "outer": ["A", "R"]}
-WEIGHTS = {"flags": {"A": 0.5, "N": 1.0, "R": 2.0}, "tenth": 0.1}
+WEIGHTS = {"flags": {"A": 0.5, "N": 1.0, "R": 2.0}, "tenth": 0.1, "lines": {"1": 0.5, "2": 1.0, "3": 2.0}}
 GROUPS = {"LineGroup": GroupDef("Line", {"G1": (1, 3), "G2": (4, 7)})}
 
 
@@ -219,6 +219,11 @@ def transform_by(spark, sf_dir):
     return run(spark, sf_dir, part(("__mul__", Step("mul", by="Flag", ref="flags")), ("Line", MEAN), ("Flag", SUM)))
 
 
+@query(nested(("flag", "avg({})"), ("", "sum({})"), v="v * 0.1"))
+def transform_by_scalar(spark, sf_dir):
+    return run(spark, sf_dir, part(("__mul__", Step("mul", by="Flag", ref="tenth")), ("Line", MEAN), ("Flag", SUM)))
+
+
 @query(nested(("flag", "avg({})"), ("", "avg({})"), v="ln(greatest(abs(v - 25), 0.000001))"))
 def transform_abs_log(spark, sf_dir):
     return run(spark, sf_dir, part(("__sub__", Step("sub", 25)), ("__abs__", Step("abs")), ("__log__", Step("log", floor=1e-6)), ("Line", MEAN), ("Flag", MEAN)))
@@ -260,6 +265,15 @@ def group_uncovered(spark, sf_dir):
     return transforms.outside_groups(catalog(spark, sf_dir).resolve("QTY", ["Line"]), g).select(F.col("Epoch").alias("epoch"), F.col("Line").alias("line"))
 
 
+@query("SELECT DISTINCT epoch, 'p: values of Line in no range of LineGroup: 7' AS reason FROM b WHERE epoch >= 1995 AND line = 7")
+def group_coverage_failed(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    cat = Catalog({"QTY": cat.measurements["QTY"].where("Epoch >= 1995 OR Line < 7")})
+    p = ScorePart("p", "QTY", ("Flag", "Line", "LineGroup"), {"Flag": SUM, "Line": MEAN, "LineGroup": MAX})
+    got = compute_scores(cat, ScoreFile((p,), groups={"LineGroup": GroupDef("Line", {"G1": (1, 3), "G2": (4, 6)})}))
+    return got.failed.select(F.col("Epoch").alias("epoch"), "reason")
+
+
 def _combined(step: Step) -> ScorePart:
     # rows of one line number repeat, so the mean over them is the first fold
     return ScorePart("p", "QTY", ("Flag&State", "Line") if step.op == "filter" else ("Line", "Flag&State"), {"Flag&State": step, "Line": MEAN}).resolved(SELECTIONS, WEIGHTS)
@@ -352,6 +366,16 @@ def relative_preagg(spark, sf_dir):
     return result(fo.collapse(fo.fold_all(pairs, ["Line", "State"], {"Line": MAX, "State": MEAN})))
 
 
+@query("""
+, d AS (SELECT epoch, state, avg(v * CASE line WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 2.0 END) AS dv FROM b WHERE flag = 'A' AND line IN (1, 2, 3) GROUP BY ALL)
+SELECT epoch, round(avg(x), 6) AS value FROM (SELECT b.epoch, b.state, max(v / dv) AS x, bool_or(dv IS NULL) AS lost FROM b LEFT JOIN d USING (epoch, state) WHERE flag = 'R' GROUP BY ALL)
+GROUP BY epoch HAVING NOT bool_or(lost)
+""")
+def preagg_weight_ref(spark, sf_dir):
+    cfg = _pair("ratio", 0.0, [("Line", Step("mean", ref="first_lines", weight_ref="lines"))])
+    return run(spark, sf_dir, ScorePart("p", "QTY", ("Line", "State"), {"Line": MAX, "State": MEAN}, cfg).resolved(SELECTIONS, WEIGHTS))
+
+
 @query(", s AS (SELECT line, sum(v) AS x FROM b WHERE flag = 'R' GROUP BY line) SELECT line, round(x / (SELECT sum(v) FROM b WHERE flag = 'A'), 6) AS value FROM s")
 def relative_scalar(spark, sf_dir):
     df = catalog(spark, sf_dir).resolve("QTY", ["Flag", "Line"]).drop("Epoch").groupBy("Flag", "Line").agg(F.sum("value").alias("value"))
@@ -393,6 +417,18 @@ def calibrated_budget(spark, sf_dir):
     return run(spark, sf_dir, p)
 
 
+@query("SELECT CAST(1996 AS INTEGER) AS epoch, 'boards with several temperatures: ' || min(board) AS reason FROM b WHERE epoch = 1996")
+def temperature_conflict(spark, sf_dir):
+    from dataclasses import replace
+
+    cat = catalog(spark, sf_dir)
+    own = cat.measurements["FBC"].select("Epoch", "Board").distinct().join(cat.temperatures, "Board")
+    least = own.where("Epoch = 1996").orderBy("Board").limit(1)
+    cat = replace(cat, temperatures=own.unionByName(least.withColumn("temp", F.col("temp") + 60)))
+    p = part(("Line", MEAN), ("__div__", Step("div", 100)), ("__dvtbudget__", Step("abs")), ("Board", MAX), ("State", MEAN), type_="dVtBudget")
+    return score_part(cat, p).where(F.col("reason").isNotNull()).select(F.col("Epoch").alias("epoch"), "reason")
+
+
 @query("SELECT DISTINCT epoch, board, state FROM b JOIN supplier ON board = s_suppkey WHERE state = 'F' ORDER BY 1, 2, 3 LIMIT 8")
 def calibration_causes(spark, sf_dir):
     from dataclasses import replace
@@ -600,9 +636,14 @@ def custom_by_epoch(spark, sf_dir):
     def middle(rows, params):
         if rows["Epoch"].iloc[0] == params["broken"]:
             raise ValueError("broken")
-        return float(rows["value"].median())
-
-    got = custom.by_epoch(catalog(spark, sf_dir).measurements["QTY"].select("Epoch", "value"), middle, {"broken": 1996})
+        rows = rows.sort_values("value")
+        upto, n = rows["n"].cumsum(), rows["n"].sum()
+        at = lambda k: rows["value"][upto > k].iloc[0]
+        return float((at((n - 1) // 2) + at(n // 2)) / 2)
+
+    # counted first: an epoch has as many rows as there are values
+    counts = catalog(spark, sf_dir).measurements["QTY"].groupBy("Epoch", "value").agg(F.count("*").alias("n"))
+    got = custom.by_epoch(counts, middle, {"broken": 1996})
     return got.select(F.col("Epoch").alias("epoch"), six().alias("value"), F.col("reason").isNotNull().alias("failed"))
 
 
@@ -641,7 +682,153 @@ def stream_scores(spark, sf_dir):
 
     out = shared_dir(spark)
     score_stream(rows, split, file, out, f"{out}/checkpoint", names).awaitTermination()
-    return spark.read.parquet(f"{out}/scores").select(F.col("Epoch").alias("epoch"), six("Score").alias("score"))
+    return current(spark, out)[0].select(F.col("Epoch").alias("epoch"), six("Score").alias("score"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS epoch, round(sum(value) FILTER (WHERE event_type = 'purchase') + sum(value) FILTER (WHERE event_type = 'click'), 6) AS score FROM events GROUP BY 1 HAVING score IS NOT NULL", base=False)
+def stream_two_batches(spark, sf_dir):
+    """Every table of every epoch comes in two batches, of which the second completes the sums."""
+    events = read(spark, sf_dir, "events")
+    rows = events.select(F.date_format("ts", "yyyy-MM-dd").alias("Epoch"), F.col("event_type").alias("type"), (F.col("user_id") % 10).alias("User"), "value")
+    out = shared_dir(spark)
+    for half in (0, 1):
+        rows.where(F.col("User") % 2 == half).coalesce(1).write.parquet(f"{out}/in/half={half}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/half=*")
+    names = ("purchase", "click")
+    file = ScoreFile(tuple(ScorePart(n, n, ("User",), {"User": SUM}) for n in names), "purchase + click")
+
+    def split(df: DataFrame) -> Catalog:
+        return Catalog({n: df.where(F.col("type") == n).select("Epoch", "User", "value") for n in names})
+
+    score_stream(stream, split, file, out, f"{out}/checkpoint", names).awaitTermination()
+    return current(spark, out)[0].select(F.col("Epoch").alias("epoch"), six("Score").alias("score"))
+
+
+# --- sources and sinks: tables written as the sources expect them, and read back --------
+
+
+def _epoch_dir(base: str, no: int) -> str:
+    return f"{base}/exp/Step1/Loop01/result_history/result.{no:04d}"
+
+
+def _years(df: DataFrame) -> list[int]:
+    return [r[0] for r in df.select("Epoch").distinct().orderBy("Epoch").collect()]
+
+
+@query("SELECT 'exp/Step1/Loop01#' || epoch AS epoch, line, count(*) AS n, round(sum(v), 6) AS total FROM b GROUP BY epoch, line")
+def source_measurements(spark, sf_dir):
+    """Plain and gzipped tables with their columns in two orders."""
+    rows = catalog(spark, sf_dir).measurements["QTY"].select("Epoch", "Board", "Line", F.col("value").alias("QTY"))
+    base = shared_dir(spark)
+    for no in _years(rows):
+        own = rows.where(F.col("Epoch") == no).drop("Epoch")
+        own = own.select("QTY", "Line", "Board") if no % 2 else own
+        own.write.option("header", True).option("compression", "gzip" if no % 3 else "none").csv(f"{_epoch_dir(base, no)}/QTY.csv")
+    got = tables.read_measurement(spark, _epoch_dir(base, 0)[:-5] + ".*/QTY.csv", "QTY")
+    return got.groupBy(F.col("Epoch").alias("epoch"), F.col("Line").alias("line")).agg(F.count("*").alias("n"), six(F.sum("value")).alias("total"))
+
+
+def _side(spark, sf_dir, file: str, column: str, code: Column) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    rows = orders.select(F.lit(0).alias("InBatchEpoch"), F.lit(0).alias("Board"), F.col("o_orderkey").alias("Measure"), code.alias(column))
+    empty = rows.limit(1).select(*[F.lit(None).cast("long").alias(c) for c in rows.columns])
+    base = shared_dir(spark)
+    rows.unionByName(empty).write.option("header", True).csv(f"{_epoch_dir(base, 1)}/{file}")
+    got = tables.read_side(spark, f"{_epoch_dir(base, 1)}/{file}")
+    return got.groupBy(F.col("Epoch").alias("epoch"), F.col(column).alias("code")).agg(F.count("*").alias("n"), F.max("Measure").alias("last"))
+
+
+_SIDE_SQL = "SELECT 'exp/Step1/Loop01#0001' AS epoch, CAST(o_custkey % {} AS BIGINT) AS code, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 2"
+
+
+@query(_SIDE_SQL.format(3), base=False)
+def source_labels(spark, sf_dir):
+    return _side(spark, sf_dir, "parameterLabel_QTY.csv", "Read_Label", F.col("o_custkey") % 3)
+
+
+@query(_SIDE_SQL.format(4), base=False)
+def source_names(spark, sf_dir):
+    return _side(spark, sf_dir, "dataName_QTY.csv", "DataName", F.col("o_custkey") % 4)
+
+
+@query("SELECT 'DataName' AS map_name, CAST(n_nationkey AS BIGINT) AS code, n_name AS text FROM nation", base=False)
+def source_maps(spark, sf_dir):
+    base = shared_dir(spark)
+    for no in (1, 2):
+        path = f"{_epoch_dir(base, no)}/map_DataName.csv"
+        read(spark, sf_dir, "nation").select("n_nationkey", "n_name").coalesce(1).write.csv(path)
+    return tables.read_map(spark, f"{_epoch_dir(base, 0)[:-5]}.*/map_DataName.csv").distinct().select(F.lit("DataName").alias("map_name"), "code", "text")
+
+
+@query("SELECT 'exp/Step1/Loop01#000' || no AS epoch, CAST(s_suppkey AS BIGINT) AS board, round(s_acctbal / 100 + no, 6) AS temp FROM supplier, (SELECT unnest([1, 2]) AS no)", base=False)
+def source_temperatures(spark, sf_dir):
+    """A table without a header, and one with a header and its columns in another order."""
+    base, rows = shared_dir(spark), read(spark, sf_dir, "supplier").select(F.lit(0).alias("InBatchEpoch"), F.col("s_suppkey").alias("Board"), (F.col("s_acctbal") / 100).alias("Temp"))
+    rows.select("Board", F.col("Temp") + 1).coalesce(1).write.csv(f"{_epoch_dir(base, 1)}/initial_temperature.csv")
+    rows.select("InBatchEpoch", (F.col("Temp") + 2).alias("Temp"), "Board").coalesce(1).write.option("header", True).csv(f"{_epoch_dir(base, 2)}/initial_temperature.csv")
+    got = tables.read_temperatures(spark, f"{_epoch_dir(base, 0)[:-5]}.*/initial_temperature.csv")
+    return got.select(F.col("Epoch").alias("epoch"), F.col("Board").alias("board"), six("temp").alias("temp"))
+
+
+@query("SELECT 'G' AS generation, n_nationkey * 4.0::DOUBLE AS temp_key, CAST(n_nationkey AS INTEGER) AS ord, state, round(-1.0::DOUBLE - n_nationkey, 6) AS b FROM nation, (SELECT unnest(['O', 'F']) AS state)", base=False)
+def source_calibration(spark, sf_dir):
+    coef = lambda n: F.struct(F.lit(0.0).alias("a"), (-1.0 - n).alias("b"))
+    by_key = F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda n: F.struct((n * 4).cast("string").alias("k"), F.create_map(F.lit("O"), coef(n), F.lit("F"), coef(n)).alias("v")))
+    nested = read(spark, sf_dir, "nation").agg(F.to_json(F.create_map(F.lit("G"), F.map_from_entries(by_key))).alias("value"))
+    path = shared_dir(spark)
+    nested.write.text(path)
+    return tables.read_calibration(spark, path).select("generation", "temp_key", "ord", "state", six("b").alias("b"))
+
+
+def _levels(spark, sf_dir):
+    file = ScoreFile((ScorePart("level", "QTY", ("Line", "Flag"), {"Line": MEAN, "Flag": MEAN}),), "level * 2")
+    return compute_scores(catalog(spark, sf_dir), file)
+
+
+_LEVEL_SQL = "SELECT epoch, round(2 * avg(x), 6) AS score, round(avg(x), 6) AS level FROM (SELECT epoch, flag, avg(v) AS x FROM b GROUP BY ALL) GROUP BY epoch"
+
+
+@query(_LEVEL_SQL)
+def sink_scores_csv(spark, sf_dir):
+    path = shared_dir(spark)
+    tables.write_scores(_levels(spark, sf_dir).scores, path)
+    got = spark.read.option("header", True).csv(path)
+    return got.select(F.col("Epoch").cast("int").alias("epoch"), six(F.col("Score").cast("double")).alias("score"), six(F.col("level").cast("double")).alias("level"))
+
+
+@query(_LEVEL_SQL)
+def sink_scores_json(spark, sf_dir):
+    path = shared_dir(spark)
+    tables.json_results(_levels(spark, sf_dir).scores).write.text(path)
+    got = spark.read.text(path).select(F.from_json("value", "Epoch int, Score double, level double").alias("r"))
+    return got.select(F.col("r.Epoch").alias("epoch"), six("r.Score").alias("score"), six("r.level").alias("level"))
+
+
+@query("SELECT DISTINCT epoch, 'p: no rows' AS reason FROM b")
+def sink_failed(spark, sf_dir):
+    p, path = ScorePart("p", "QTY", ("Flag", "Line"), {"Flag": Step("filter", "X"), "Line": MEAN}), shared_dir(spark)
+    tables.write_failed(compute_scores(catalog(spark, sf_dir), ScoreFile((p,))).failed, path)
+    return spark.read.option("header", True).csv(path).select(F.col("Epoch").cast("int").alias("epoch"), "reason")
+
+
+@query("SELECT board, line, count(*) AS n, round(sum(v), 6) AS total FROM b GROUP BY board, line")
+def sink_bundle(spark, sf_dir):
+    path = shared_dir(spark)
+    tables.write_bundle({"QTY": catalog(spark, sf_dir).measurements["QTY"].select("Epoch", "Board", "Line", "value")}, path)
+    got = spark.read.option("header", True).schema("Board long, Line long, QTY double").csv(f"{path}/QTY.csv")
+    return got.groupBy(F.col("Board").alias("board"), F.col("Line").alias("line")).agg(F.count("*").alias("n"), six(F.sum("QTY")).alias("total"))
+
+
+@query("SELECT round(sum(v), 6) AS value FROM b")
+def scalar_total(spark, sf_dir):
+    df = fo.aggregate_axis(catalog(spark, sf_dir).measurements["QTY"].select("Line", "value"), "Line", "sum")
+    return spark.range(1).select(F.round(F.lit(fo.collapse_to_scalar(df)), 6).alias("value"))
+
+
+@query("SELECT epoch, round(avg(v), 6) AS value FROM b WHERE line IN (1, 2) GROUP BY epoch")
+def filter_of_other_kind(spark, sf_dir):
+    """Text on an axis of numbers: what reads as a number counts, a word matches nothing."""
+    return run(spark, sf_dir, part(("Line", Step("filter", ["1", 2, "two"])), ("Flag&State", MEAN))).where("value IS NOT NULL")
 
 
 ENTRY = score_part_ratio

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fold import VALUE
+from ..operators.lookup import temperature_conflicts as temperature_conflicts
 from ..operators.resolve import SIDE_KEYS
 
 #: exp/StepN/LoopNN/result_history/result.NNNN/file
@@ -142,17 +143,12 @@ def read_temperatures(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     return rows.select(epoch_of(F.col("path")).alias("Epoch"), board.try_cast("double").cast("long").alias("Board"), temp.try_cast("double").alias("temp")).distinct()
 
 
-def temperature_conflicts(temperatures: DataFrame) -> DataFrame:
-    """(Epoch, Board) with more than one temperature."""
-    return temperatures.groupBy("Epoch", "Board").agg(F.count_distinct("temp").alias("n")).where("n > 1").select("Epoch", "Board")
-
-
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     """generation -> temperature key -> state -> {a, b} JSON as rows in file order."""
     from ..operators.lookup import explode_calibration
 
     kind = "map<string,map<string,map<string,struct<a:double,b:double>>>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return explode_calibration(text.select(F.from_json("value", kind).alias("coef")))
 
 
@@ -209,7 +205,22 @@ def measurement_of_lines(lines: DataFrame, type_: str, axes: Sequence[str]) -> D
     head = own.where("pos = 0").select("Epoch", F.col("cells").alias("head"))
     rows = own.where("pos > 0").join(head, "Epoch")
     cell = lambda c: F.get("cells", (F.array_position("head", c) - 1).cast("int"))
-    return rows.select("Epoch", *[cell(a).try_cast("long").alias(a) for a in axes], cell(type_).try_cast("double").alias(VALUE)).where(F.col(VALUE).isNotNull())
+    rows = rows.where(F.exists("cells", lambda c: c != ""))
+    return rows.select("Epoch", *[cell(a).try_cast("long").alias(a) for a in axes], cell(type_).try_cast("double").alias(VALUE))
+
+
+def loose_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(Epoch, file, pos, line) of files that lie unpacked in an epoch's directory."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    name = F.regexp_replace(F.regexp_extract("path", r"/([^/]+)$", 1), r"\.gz$", "")
+    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    numbered = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("line")))
+    return whole.select(epoch_of(F.col("path")).alias("Epoch"), name.alias("file"), F.inline(numbered))
+
+
+def merged_lines(archived: DataFrame, loose: DataFrame) -> DataFrame:
+    """The archives' members, and loose files of names that the epoch's archive lacks."""
+    return archived.unionByName(loose.join(archived.select("Epoch", "file").distinct(), ["Epoch", "file"], "left_anti"))
 
 
 def write_scores(scores: DataFrame, path: str, format_: str = "csv", mode: str = "errorifexists") -> None:

@@ -19,21 +19,16 @@ def complete_epochs(present: DataFrame, required: Sequence[str]) -> DataFrame:
     return wanted.where(F.col("n") == len(set(required))).select("Epoch")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def score_stream(rows: DataFrame, catalog_of: Callable[[DataFrame], Catalog], file: ScoreFile, out: str, checkpoint: str, required: Sequence[str]) -> StreamingQuery:
     """Score a stream of long measurement rows (Epoch, type, axes..., value) into ``out``.
 
-    An epoch's tables may arrive in any order and over several batches: rows go to
-    a store by batch, with a ledger of the epochs and types that each batch holds.
-    An epoch is scored once the ledger has all required types of it and it has not
-    been scored yet; only the batches that hold its rows are read again.  Results
-    are written by batch number, so a batch that runs again replaces its own rows.
-    Where batches end changes no score.
+    An epoch's tables may arrive in any order, and each over several batches: rows go
+    to a store by batch, with a ledger of the epochs and types that each batch holds.
+    The epochs of a batch that have all required types by now are scored from all
+    their rows so far, those of earlier batches included; a later batch with more of
+    their rows scores them again, and ``current`` gives the last results.  A batch
+    that runs again replaces its own results, so where batches end changes nothing in
+    the end.
     """
     store, ledger, scores, failed = (f"{out}/{name}" for name in ("rows", "ledger", "scores", "failed"))
 
@@ -42,12 +37,8 @@ def score_stream(rows: DataFrame, catalog_of: Callable[[DataFrame], Catalog], fi
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         own = spark.read.schema(batch.schema).parquet(f"{store}/batch={batch_id}")
         own.select("Epoch", "type").distinct().write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        known = spark.read.parquet(ledger)
+        known = spark.read.parquet(ledger).join(spark.read.parquet(f"{ledger}/batch={batch_id}").select("Epoch").distinct(), "Epoch", "left_semi")
         ready = complete_epochs(known.select("Epoch", "type").distinct(), required)
-        for done in (scores, failed):
-            if exists(spark, done):
-                earlier = spark.read.parquet(done).where(F.col("batch") != batch_id)
-                ready = ready.join(earlier.select("Epoch"), "Epoch", "left_anti")
         held = [r["batch"] for r in known.join(ready, "Epoch", "left_semi").select("batch").distinct().collect()]
         if not held:
             return
@@ -57,3 +48,10 @@ def score_stream(rows: DataFrame, catalog_of: Callable[[DataFrame], Catalog], fi
         result.failed.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(scores, failed) of a stream's results so far, each epoch as its last batch left it."""
+    scores, failed = (spark.read.parquet(f"{out}/{name}") for name in ("scores", "failed"))
+    last = scores.select("Epoch", "batch").unionByName(failed.select("Epoch", "batch")).groupBy("Epoch").agg(F.max("batch").alias("batch"))
+    return tuple(x.join(last, ["Epoch", "batch"]).select(*[c for c in x.columns if c != "batch"]) for x in (scores, failed))

@@ -10,7 +10,7 @@ from axisfold.operators.resolve import Catalog
 from axisfold.plans.score import compute_scores
 from axisfold.plans.spec import ScoreFile, ScorePart, Step
 from axisfold.sources import tables
-from axisfold.streaming.incremental import score_stream
+from axisfold.streaming.incremental import current, score_stream
 
 HEAD = "InBatchEpoch,Board,Chip,Block,Measure,WL,FBC"
 
@@ -86,7 +86,7 @@ def test_scores_from_files_and_sinks(spark, history, tmp_path):
 
 
 def test_calibration_file(spark, tmp_path):
-    (tmp_path / "coef.json").write_text('{"G": {"85": {"R2A": {"a": 1, "b": -2.5}}, "-30": {"R2A": {"a": 0, "b": -4}}}}')
+    (tmp_path / "coef.json").write_text('{"G":\n {"85": {"R2A": {"a": 1, "b": -2.5}}, "-30": {"R2A": {"a": 0, "b": -4}}}}')
     got = [tuple(r) for r in tables.read_calibration(spark, str(tmp_path / "coef.json")).orderBy("ord").collect()]
     assert got == [("G", 85.0, 0, "R2A", 1.0, -2.5), ("G", -30.0, 1, "R2A", 0.0, -4.0)]
 
@@ -107,6 +107,11 @@ def test_archives(spark, tmp_path):
     assert {r["file"] for r in lines.collect()} == {"FBC.csv"}
     got = {tuple(r) for r in tables.measurement_of_lines(lines, "FBC", ["Board", "WL"]).collect()}
     assert got == {(f"exp/Step1/Loop01#000{i}", 0, 3, 7.0) for i in (1, 2)}
+    (d / "result.0001" / "FBC.csv").write_text("Board,FBC\n5,5\n")
+    (d / "result.0001" / "KLD.csv").write_text("Board,KLD\n1,\n\n2,4\n")
+    both = tables.merged_lines(lines, tables.loose_lines(spark, f"file://{d}/result.*/*.csv"))
+    assert {tuple(r)[1:] for r in tables.measurement_of_lines(both, "KLD", ["Board"]).collect()} == {(1, None), (2, 4.0)}
+    assert tables.measurement_of_lines(both, "FBC", ["Board"]).where("value = 5").count() == 0
 
 
 def test_stream_gives_the_batch_scores(spark, tmp_path):
@@ -118,6 +123,6 @@ def test_stream_gives_the_batch_scores(spark, tmp_path):
     split = lambda df: Catalog({t: df.where(F.col("type") == t).drop("type") for t in ("A", "B")})
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in" / "*"))
     score_stream(stream, split, file, str(tmp_path / "out"), str(tmp_path / "ck"), ("A", "B")).awaitTermination()
-    got = {r["Epoch"]: r["Score"] for r in spark.read.parquet(str(tmp_path / "out" / "scores")).collect()}
+    got = {r["Epoch"]: r["Score"] for r in current(spark, str(tmp_path / "out"))[0].collect()}
     want = {r["Epoch"]: r["Score"] for r in compute_scores(split(spark.createDataFrame(rows, schema)), file).scores.collect()}
     assert got == want and set(got) == {"e0", "e1", "e2"}
