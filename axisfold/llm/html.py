@@ -1,10 +1,14 @@
 """Main text of web pages: flat blocks and a decision tree.
 
 A page is cut into flat text blocks.  Each block is described by its own words and
-link density and those of its neighbours, and by whether an enclosing element
-names itself as the article or as something beside it.  A decision tree, trained
-on a small labelled table (``html_labelled``), tells which blocks are main text;
-it is applied as a Spark conditional expression.
+link density, those of its two neighbours on either side, and two marks: how strongly
+enclosing elements name themselves as beside the text (0 to 3), and as the article (0
+to 2).  A decision tree, trained on a small labelled table (``html_labelled``), tells
+which blocks are main text; it is applied as a Spark conditional expression.
+
+A mark of 1 is weak (a list of links, a form; for the article a name), so the tree
+goes by words and links there.  An article or main element ends the marks of what it
+lies in, but for comments, related pages and the like.
 
 Defined cases: a null, empty or text-free page gives an empty text; pages that end
 early or leave elements open are read as far as they go; script and style end at
@@ -35,40 +39,51 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 SKIPPED = frozenset("head noscript template svg math iframe object select button textarea canvas audio video datalist".split())
-BESIDE = frozenset("nav footer aside form menu dialog".split())
-BESIDE_NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog "
-    "disclaimer disqus footer gdpr legal login menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo "
-    "promotion recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+#: What elements and names say of being beside the text: weak, plain, and whatever lies inside.
+BESIDE = dict.fromkeys("form menu".split(), 1) | dict.fromkeys("nav footer aside dialog".split(), 3)
+BESIDE_NAMES = (
+    dict.fromkeys("breadcrumb breadcrumbs login menu menubar nav navbar navigation pager pagination search share sharing social toolbar".split(), 1)
+    | dict.fromkeys(
+        "ad ads advert advertisement advertising adverts alert banner complementary consent contentinfo cookie cookies copyright dialog disclaimer "
+        "footer gdpr legal modal newsletter notice notification popup promo promotion sidebar signup sponsor sponsored subscribe subscription widget".split(),
+        2,
+    )
+    | dict.fromkeys("comment comments disqus recommended related reply replies".split(), 3)
 )
 TOP_NAMES = frozenset("header masthead topbar".split())
 ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
+#: Words that make a name one of a page's layout or state, such as "content-sidebar-wrap" or "has-menu".
+LAYOUT_NAMES = frozenset("content main page primary layout has no with is open enabled".split())
 BLOCK = "array<struct<text:string,words:int,link_words:int,beside:int,article:int>>"
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "beside", "article"]
+NEIGHBOURS = {"before": -1, "after": 1, "before2": -2, "after2": 2}
+FEATURES = ["words", "link_density", *[f"{kind}_{at}" for at in NEIGHBOURS for kind in ("words", "density")], "beside", "article"]
 
 
-def _marks(tag: str, attrs: str, article: bool) -> tuple[bool, bool]:
-    """Whether an element names itself as beside the text, or as the article."""
-    beside, own = tag in BESIDE or (tag == "header" and not article), tag in ARTICLE
+def _marks(tag: str, attrs: str, article: int) -> tuple[int, int]:
+    """How strongly an element names itself as beside the text, and as the article."""
+    beside, own = BESIDE.get(tag, 2 if tag == "header" and not article else 0), 2 if tag in ARTICLE else 0
     if attrs and tag not in ("html", "body"):
         for name, a, b, c, bare in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if bare or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                beside = True
+                beside = 3
             elif name in ("class", "id", "role"):
-                # an article's own states, such as "comments-open", don't put it beside itself
-                found = set(value.split() if tag in ARTICLE else _NAME.findall(value))
-                beside = beside or bool(found & BESIDE_NAMES) or (not article and bool(found & TOP_NAMES))
-                own = own or bool(found & ARTICLE_NAMES)
-    return beside, own and not beside
+                for token in value.split():
+                    parts = set(_NAME.findall(token))
+                    told = max([BESIDE_NAMES.get(x, 0) for x in parts] + [2 * (not article and bool(parts & TOP_NAMES))])
+                    if not told:
+                        own = max(own, int(bool(parts & ARTICLE_NAMES)))
+                    elif len(parts) == 1 or not parts & LAYOUT_NAMES:
+                        beside = max(beside, told)
+    return beside, 0 if beside > 1 else own
 
 
 def page_blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, beside, article) of each block, in page order."""
     page, out = page or "", []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, beside, article, skipped
+    stack: list[tuple[str, int, int, bool]] = []  # name, beside, article, skipped
     link = 0
 
     def flush() -> None:
@@ -76,9 +91,9 @@ def page_blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = sum(len(t.split()) for t, inside in parts if inside)
-                top = stack[-1] if stack else ("", False, False, False)
+                top = stack[-1] if stack else ("", 0, 0, False)
                 n = text.count(" ") + 1
-                out.append((text, n, min(linked, n), int(top[1]), int(top[2])))
+                out.append((text, n, min(linked, n), top[1], top[2]))
             parts.clear()
 
     at, size, last = 0, len(page), page.rfind(">")
@@ -120,10 +135,12 @@ def page_blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
             if tag == "body" or tag == "html":
                 while stack and stack[-1][0] == "head":
                     stack.pop()
-            _, beside, article, skipped = stack[-1] if stack else ("", False, False, False)
+            _, beside, article, skipped = stack[-1] if stack else ("", 0, 0, False)
             if not (m[3] or m[6] or "").rstrip().endswith("/") or tag in INLINE:
                 new_beside, new_article = _marks(tag, m[3] or m[6] or "", article)
-                stack.append((tag, beside or new_beside, (article or new_article) and not new_beside, skipped or tag in SKIPPED))
+                if tag == "main" or tag == "article" and beside < 3:
+                    beside = 0
+                stack.append((tag, max(beside, new_beside), 0 if new_beside > 1 else max(article, new_article), skipped or tag in SKIPPED))
         link = sum(x[0] == "a" for x in stack)
     flush()
     return out
@@ -144,19 +161,15 @@ def described(b: Column) -> Column:
     density = lambda x: F.when(num(x, "words") > 0, num(x, "link_words") / num(x, "words")).otherwise(0.0)
 
     def features(x: Column, i: Column) -> Column:
-        before, after = F.get(b, i - 1), F.get(b, i + 1)
-        values = [num(x, "words"), density(x), num(before, "words"), density(before), num(after, "words"), density(after), num(x, "beside"), num(x, "article")]
+        around = [F.get(b, i + step) for step in NEIGHBOURS.values()]
+        values = [num(x, "words"), density(x), *[f for y in around for f in (num(y, "words"), density(y))], num(x, "beside"), num(x, "article")]
         return F.struct(x["text"].alias("text"), *[v.alias(n) for v, n in zip(values, FEATURES, strict=True)])
 
     return F.transform(b, features)
 
 
 def labelled_table() -> list[tuple[float, ...]]:
-    """(label, features...) of every labelled block.
-
-    Each block stands there also as if it were in an article, and as if it were
-    beside one: these marks decide whatever the words and the neighbours are.
-    """
+    """(label, features...) of every labelled block."""
     rows, pages = [], []
     for page in PAGES:
         own = []
@@ -166,14 +179,11 @@ def labelled_table() -> list[tuple[float, ...]]:
         pages.append(own)
     for line in BLOCKS:
         cells = [b.split() for b in line.split(", ")]
-        pages.append([(label == "+", int(n), int(linked) / int(n), int(beside), int(article)) for label, n, linked, beside, article in cells])
+        pages.append([(label == "+", int(n), int(linked) / int(n), 2 * int(beside), 2 * int(article)) for label, n, linked, beside, article in cells])
     for own in pages:
         for i, (label, n, d, beside, article) in enumerate(own):
-            _, nb, db, *_ = own[i - 1] if i else (0, 0, 0.0)
-            _, na, da, *_ = own[i + 1] if i + 1 < len(own) else (0, 0, 0.0)
-            shape = (float(n), d, float(nb), db, float(na), da)
-            rows.append((float(label), *shape, float(beside), float(article)))
-            rows += [(1.0, *shape, 0.0, 1.0), (0.0, *shape, 1.0, 0.0), (0.0, *shape, 1.0, 1.0)]
+            around = [own[i + step][1:3] if 0 <= i + step < len(own) else (0, 0.0) for step in NEIGHBOURS.values()]
+            rows.append((float(label), float(n), d, *[float(f) for pair in around for f in pair], float(beside), float(article)))
     return rows
 
 

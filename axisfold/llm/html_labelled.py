@@ -62,6 +62,39 @@ PAGES = [
     <div class="alert notice">-This site will be closed for repair on Sunday from two to four in the morning, we ask for your patience.</div>
     <article><h1>+Bread</h1><p>+Flour, water, salt.</p><p>+That is all.</p><p>+Time does the rest, and the less you do the better it gets, up to a point that you will find by going past it once or twice.</p></article>
     <div class="sponsored"><p>-Our partner mill sells flour by the sack, fresh each week and sent to your door at no cost to you.</p></div>""",
+    # layout names around an article, a form around the page
+    """<div class="content-sidebar-wrap has-sidebar"><div class="nav-menu"><a>-Home</a> <a>-Shop</a></div><h1>+The ferry at night</h1>
+    <p>+It leaves at ten and takes two hours, and in all that time there is nothing to see but the lamp at the bow.</p><p>+Few people mind.</p>
+    <p>+They sleep on the benches, with their coats over their faces, until the engine slows and somebody calls out the name of the town.</p></div>""",
+    """<form id="aspnet"><ul><li><a>-Start</a></li><li><a>-Contact</a></li></ul><h2>+What the miller said about the two dry summers of his youth</h2>
+    <p>+He said that the wheel stood still from June to the end of September, and that flour had to be fetched with carts from three valleys away.</p>
+    <p>+After the second of these summers the village built a dam, which is the reason why there is a lake now where the old maps show a field.</p>
+    <p>-Your name</p><p>-Your mail</p><p>-Send</p></form>""",
+    """<form><p>-Search</p><p>-Go</p></form><form><p>-Name</p><p>-Town</p><p>-I agree to the terms</p><p>-Send it</p></form>
+    <p>+The council met on Tuesday to talk about the bridge, which has been closed since the flood took two of its piers away.</p>
+    <p>+No date was set for the repair, as the cost is not known before the water is low enough to look at the ground below.</p>""",
+    # a menu that is text, and lists of links in what is named as a post
+    """<article><h1>+Dinner at the inn</h1><div class="menu"><p>+We began with a clear soup of beans and leeks, then came trout from the stream with butter and new potatoes.</p>
+    <p>+For the end there was a cake of walnuts, cut thin, and a glass of the dark wine that the house makes from its own plums.</p></div>
+    <p>+The bill was small.</p><div class="menu"><a>-Order</a> <a>-Book</a></div></article>""",
+    """<div class="post"><h2>+Letters from the north</h2><p>+The days are short now, and the post comes twice a week if the road is open, which it was not for most of the month.</p>
+    <ul><li><a>-Older letters</a></li><li><a>-Letters of last year</a></li><li><a>-All letters by place</a></li></ul></div>
+    <div class="entry"><p>+I have read all the books that I brought and have begun to read them again, more slowly, from the last one back to the first.</p>
+    <p><a>-Read on</a></p></div><div class="post"><a>-Next</a> <a>-Previous</a></div>""",
+    # notices and comments without names of their own
+    """<div>-We use cookies to make this site better. You can read more on our page about them.</div><div><a>-Accept</a></div><div><a>-More choices</a></div>
+    <div><a>-Home</a></div><div>+How the clock was mended</div><div>+The clock had stood at ten past four for so long that people set their watches to it twice a day out of kindness.</div>
+    <div>+Then a boy climbed up with a can of oil, and in the morning all the village was woken by a sound that only the oldest still knew.</div>
+    <div>-Two comments</div><div>-Anna, Monday</div><div>-I remember that sound from when I was small, thank you for this.</div><div><a>-Reply</a></div><div>-Karl, Friday</div>
+    <div>-My father wound that clock for thirty years and never told us how.</div><div><a>-Reply</a></div><div>-Imprint</div>""",
+    """<p>-This site uses cookies. By going on you agree to that.</p><p><a>-Agree</a></p><p><a>-Settings</a></p><h1>+Bees in the wall</h1>
+    <p>+They came in spring through a gap no wider than a pencil, and by the time we heard them there were forty thousand behind the plaster.</p>
+    <p>+The man who took them out used a cloth, a box and a very soft brush, and he was not stung once in the whole of that long day.</p>
+    <p>-3 replies</p><p>-Eva</p><p>-We had the same in our roof two years ago, it took a week to get them out.</p><p><a>-Answer</a></p>
+    <p>-Tom</p><p>-Lovely story!</p><p><a>-Answer</a></p><p>-Ida</p><p>-Where can one find a man like that? Ours said he would have to smoke them out.</p><p><a>-Answer</a></p>""",
+    """<div><h1>+The last lamp lighter</h1><div>+He walked the same eleven streets each evening for forty years, with a pole on his shoulder and a dog that knew the way.</div>
+    <div>+When the wires came he was given a watch and a chair at the works, where he sat by the window and named the streets as they lit up.</div></div>
+    <div><div>-Comments (2)</div><div>-Rosa</div><div>-He lived next to us and the dog was called Lamp, of course.</div><div><a>-Reply</a></div><div>-Ben</div><div>-Thanks for writing this down before it is all forgotten.</div><div><a>-Reply</a></div></div>""",
 ]
 
 #: More pages, as their blocks in order: label, words, words in links, beside, article.
@@ -100,4 +133,15 @@ BLOCKS = [
     "+ 2 0 0 0, + 31 0 0 0, + 26 2 0 0, - 3 3 0 0, - 2 0 0 0",
     "+ 5 0 0 0, + 18 0 0 0, + 40 0 0 0",
     "+ 1 0 0 0, + 50 0 0 0, + 60 0 0 0, - 1 1 0 0",
+    # links right before a short article, and right after it
+    "- 1 1 1 0, - 1 1 1 0, + 6 0 0 1, + 1 0 0 1",
+    "- 2 2 1 0, + 5 0 0 1, + 20 0 0 1, - 3 0 1 0",
+    "- 1 1 1 0, + 4 0 0 1, + 9 0 0 1, + 1 0 0 1, - 2 2 1 0",
+    "- 1 1 0 0, - 3 3 0 0, + 7 0 0 1, + 30 0 0 1",
+    "- 3 3 0 0, + 8 0 0 1, + 1 0 0 1, + 1 0 0 1, - 4 0 0 0",
+    "- 2 2 1 0, + 3 0 0 1, + 2 2 0 1, + 12 0 0 1, + 1 0 0 1, - 1 1 1 0",
+    "- 1 1 1 0, + 11 0 0 1, - 5 5 1 0, - 1 1 1 0",
+    "- 1 1 1 0, + 5 0 0 1, + 4 4 0 1, + 6 0 0 1, + 2 0 0 1, - 7 1 1 0",
+    "- 4 4 0 0, + 3 0 0 1, - 1 1 0 0, - 1 1 0 0",
+    "- 1 1 1 0, - 8 0 1 0, + 9 0 0 1, + 44 0 0 1, + 1 1 0 1, + 1 0 0 1, + 38 0 0 1, - 6 0 1 0",
 ]

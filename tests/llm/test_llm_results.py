@@ -171,6 +171,18 @@ LAYOUTS = [
 '''<html><body><nav>-Menu</nav><div class="notice">-Notice: this site is moving soon.</div><article><h1>+Head line</h1><p>+First.<p>+Second.<div class="ad">-Buy</div><p>+Third</article><div class="sidebar">-Side words in a long list that goes on for quite some time, you see.</div><div class="comments"><h3>-Comments</h3><p>-I agree with it all, thanks for it.</p></div><form><label>-Name</label><input><button>-Send</button></form><footer>-foot</footer></body></html>''',
 ]
 
+LAYOUTS += [
+'''<body class="has-sidebar"><div id="page" class="content-sidebar-wrap"><form action="/"><article><h1>+Head</h1><p>+A text of some words.</p></article></form></div><div class="sidebar">-Side</div>''',
+'''<article><h1>+Out to eat</h1><div class="menu"><p>+They served a soup of green peas with mint, then lamb with beans from the garden behind the house, and we ate all of it.</p></div></article>''',
+'''<div class="post"><h1>+On walls</h1><p>+A wall of dry stone needs no mortar, only time and the patience to turn each stone until it lies as if it had grown there.</p><ul><li><a href="a">-Older posts</a></li><li><a href="b">-Newer posts by month</a></li></ul></div>''',
+'''<div class="x1">-This site uses cookies to count its visitors. By reading on you agree.</div><div><a href="a">-Agree</a></div><div><a href="b">-Settings</a></div><div class="x2"><h1>+The well</h1><p>+The well had been dug by hand through forty feet of clay, and the water in it was so cold that it hurt to drink.</p><p>+Nobody has used it since the pipes came, but the lid is still lifted once a year to see whether the water is there.</p></div><div class="x3"><p>-2 comments</p><p>-Ole</p><p>-We had one just like it at home, with a bucket on a chain.</p><p><a href="r">-Reply</a></p><p>-Ann</p><p>-Thank you, that was a nice thing to read.</p><p><a href="r">-Reply</a></p></div>''',
+]
+
+
+def test_clashing_columns_of_pages(spark):
+    rows = spark.createDataFrame([(1, "<article><p>Text</p></article>", "own")], "page_id long, html string, words string")
+    assert html.main_text(rows).select("words", "main_blocks").first() == ("own", ["Text"])
+
 
 def test_layouts(spark):
     rows = spark.createDataFrame(list(enumerate(LAYOUTS)), "page_id long, html string")
@@ -201,6 +213,8 @@ def test_tree_fits_its_table(spark):
 
     table = html.labelled_table()
     assert np.mean([walk(tree, r[1:]) == r[0] for r in table]) > 0.97 and len(table) > 300
+    used = re.findall(r"'(\w+)'", repr(tree))
+    assert {"words", "beside", "article"} <= set(used) and any(f.startswith(("words_", "density_", "link_")) for f in used)
 
 
 def naive_components(fps, radius=3):
