@@ -449,6 +449,51 @@ def test_language_of_labelled_rows(spark):
     assert pages.agg(F.avg((F.col("lang") == F.col("declared")).cast("int"))).first()[0] > 0.99
 
 
+def test_language_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "RUN_BYTES", 64)
+    docs = [(i, t, l, s) for i, (t, l, s) in enumerate([("the old man and the sea", "en", "a"), ("der alte Mann und das Meer", "de", "b"), ("the house, the hill", "en", "b"), ("das Haus und der Berg " * 9, "de", "a"), ("", "de", "a"), (None, None, "b"), ("42", "en", None)])]
+    pages = [(1, "http://x.example.de/1", "<html lang=de><p>das Meer"), (2, "http://y.example.de/1", "<p>the hill"), (3, None, "<p>und"), (4, "http://x.example.de/2", None)]
+    langs = ["de", "en"]
+
+    def slots(text):
+        line = " " + " ".join(re.sub("[^a-z]", " ", (text or "").lower()).split()) + " "
+        return [(a << 16 | b << 8 | c) * 2654435761 % 2**32 >> 18 for a, b, c in zip(line.encode(), line.encode()[1:], line.encode()[2:])]
+
+    model = {}
+    for lang in langs:
+        n = collections.Counter(x for _, t, l, _ in docs if l == lang for x in slots(t))
+        total = sum(n.values()) + 0.5 * language.SLOTS
+        model[lang] = lambda x, n=n, total=total: math.log((n[x] + 0.5) / total)
+
+    def posterior(text):
+        own = slots(text)
+        z = [sum(map(model[l], own)) * min(1, language.EFFECTIVE / max(len(own), 1)) for l in langs]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    rows = [("d", i, posterior(t), None, None, s and f"source:{s}", s and f"source:{s}") for i, t, _, s in docs]
+    for i, url, h in pages:
+        host = url and url.split("/")[2]
+        rows.append(("p", i, posterior(re.sub("<[^>]*>", " ", h or "")), "de" if "lang=de" in (h or "") else None, host and "de", host and "example.de", host))
+    whole = [sum(r[2][k] for r in rows) for k in (0, 1)]
+    want = {}
+    for r in rows:
+        others = lambda at, k: max(sum(q[2][k] for q in rows if q[at] == r[at]) - r[2][k], 0)  # noqa: B023, E731
+        prior = [(whole[k] - r[2][k] + 1) / (sum(whole) - 1 + 2) for k in (0, 1)]
+        for at in (5, 6):
+            if r[at]:
+                prior = [(others(at, k) + 5 * prior[k]) / (others(at, 0) + others(at, 1) + 5) for k in (0, 1)]
+        z = [math.log(r[2][k]) + math.log(prior[k]) for k in (0, 1)]
+        for at in (3, 4):
+            if r[at]:
+                share = (others(at, 0) + others(at, 1) + 0.5) / (sum(whole) + 1)
+                z = [z[k] + math.log((others(at, k) + 5 * share) / (max(whole[k] - r[2][k], 0) + 5)) for k in (0, 1)]
+        p = 1 / sum(math.exp(x - max(z)) for x in z)
+        want[r[0], r[1]] = (langs[z.index(max(z))], pytest.approx(p, abs=1e-4))
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    assert {("d", r["doc_id"]) if r["page_id"] is None else ("p", r["page_id"]): (r["lang"], r["probability"]) for r in got.collect()} == want
+
+
 def test_host_prior_decides_short_pages(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     long_de = docs.where("lang = 'de'").limit(30).select(F.col("doc_id").alias("page_id"), F.lit("http://a.example.de/1").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"))
