@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import is_bad
-from ..plans.part import base_frame, steps
-from ..plans.spec import AGGREGATES, GroupDef, ScoreFile, ScorePart, axes_of
-from .fold import VALUE, matches
+from ..plans.part import base_frame, virtual_step
+from ..plans.spec import AGGREGATES, CALIBRATE_STEP, RELATIVE_STEP, GroupDef, ScoreFile, ScorePart, axes_of, is_virtual
+from ..sources.shared import staged
+from .fold import VALUE, apply_step, matches
 from .lookup import unmatched_calibration
 from .relative import fan_out
 from .resolve import SIDE_KEYS, Catalog
@@ -25,10 +26,24 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def step_metrics(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
-    """(Epoch, at, step, rows, bad) after every step; steps that leave an epoch no row have rows 0."""
+    """(Epoch, at, step, rows, bad) after every step; steps that leave an epoch no row have rows 0.
+
+    The resolved rows, and what each fold or pairing leaves of them, are written to the
+    shared folder, so that no step runs the steps before it again.  Filters and
+    row-wise steps are read off the last table written.
+    """
     epochs = catalog.epoch_table().select("Epoch").distinct()
-    parts = []
-    for at, (name, df) in enumerate(steps(catalog, part, groups or {})):
+    order, df, parts = ["", *part.effective_order()], None, []
+    for at, name in enumerate(order):
+        if not name:
+            df = base_frame(catalog, part, groups or {})
+        elif is_virtual(name):
+            df = virtual_step(df, catalog, part, name)
+        else:
+            df = apply_step(df, name, part.steps[name])
+        light = is_virtual(name) and name not in (RELATIVE_STEP, CALIBRATE_STEP) or bool(name) and not is_virtual(name) and part.steps[name].op == "filter"
+        if not light and at + 1 < len(order):
+            df = staged(df)
         got = df.groupBy("Epoch").agg(F.count("*").alias("rows"), F.count_if(is_bad(F.col(VALUE))).alias("bad"))
         got = epochs.join(got, "Epoch", "left")
         parts.append(got.select("Epoch", F.lit(at).alias("at"), F.lit(name or "resolved").alias("step"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad")))

@@ -45,11 +45,18 @@ def join_side(df: DataFrame, side: DataFrame, take: Iterable[str], identity: tup
 
 
 def join_map(df: DataFrame, axis: str, codes: DataFrame) -> DataFrame:
-    """An axis code replaced by its text; codes without text become null."""
-    named = codes.select(F.col("code").alias("_code"), F.col("text").alias("_text"))
+    """An axis code replaced by its text; codes without text become null.
+
+    Codes with an Epoch hold for that epoch only.
+    """
+    own = [c for c in ("Epoch",) if c in codes.columns and c in df.columns]
+    named = codes.select(*[F.col(c).alias(f"_of_{c}") for c in own], F.col("code").alias("_code"), F.col("text").alias("_text"))
     text = as_override(F.col("_text")) if axis.endswith(OVERRIDE) else F.col("_text")
     columns = df.columns
-    got = df.join(named, F.col(axis) == F.col("_code"), "left")
+    same = F.col(axis) == F.col("_code")
+    for c in own:
+        same = same & (F.col(c) == F.col(f"_of_{c}"))
+    got = df.join(named, same, "left")
     return got.select(*[text.alias(c) if c == axis else F.col(c) for c in columns])
 
 
@@ -58,7 +65,7 @@ class Catalog:
     """The tables of some epochs.
 
     measurements: by type, (Epoch, axes..., value).  labels and names: by type, side
-    tables with the side keys.  maps: by name, (code, text).  temperatures: (Epoch,)
+    tables with the side keys.  maps: by name, (Epoch,) code, text.  temperatures: (Epoch,)
     Board, temp.  calibration: generation, temp_key, ord, state, a, b.  epochs: Epoch,
     History, EpochNo.  counts: declared numbers of axis values.
     """

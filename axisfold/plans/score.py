@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from ..functions.expressions import names_in, to_column
 from ..functions.semantics import is_bad
 from ..operators.resolve import Catalog
 from ..operators.synth import dummy_part, fill_missing
+from ..operators.transforms import resolve_groups
+from ..sources.shared import staged
 from .part import score_part
 from .spec import ScoreFile, SpecError
 
@@ -28,6 +30,12 @@ class Scores:
     scores: DataFrame
     failed: DataFrame
     dummy_used: DataFrame
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Free the part values that ``persist`` keeps."""
+        if self.held is not None:
+            self.held.unpersist()
 
     def require_any(self) -> Scores:
         """Raise if every epoch failed, naming the first."""
@@ -36,8 +44,35 @@ class Scores:
         return self
 
 
-def part_values(catalog: Catalog, file: ScoreFile) -> tuple[DataFrame, DataFrame | None]:
+def staged_catalogs(catalog: Catalog, file: ScoreFile) -> dict[str, Catalog]:
+    """By part, a catalog whose table is resolved already and written to the shared folder.
+
+    Parts that read the same type through the same side tables share one table of all
+    their axes, so that its source is parsed and joined once; each part's scan of it
+    reads its own columns only and takes its filters.
+    """
+    shared: dict[tuple, list] = {}
+    for part in file.resolved_parts():
+        if part.function or part.source_type not in catalog.measurements:
+            continue
+        axes = part.required_axes(part.used_groups(file.groups))
+        lacking = axes - set(catalog.measurements[part.source_type].columns)
+        sides = bool(lacking - {"DataName"}), "DataName" in lacking
+        shared.setdefault((part.source_type, *sides), []).append((part.name, axes))
+    out = {}
+    for (type_, *_), users in shared.items():
+        if len(users) > 1:
+            table = staged(catalog.resolve(type_, set().union(*[axes for _, axes in users])))
+            own = replace(catalog, measurements={**catalog.measurements, type_: table}, labels={}, names={}, maps={})
+            out |= {name: own for name, _ in users}
+    return out
+
+
+def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(Epoch, part, value, reason) of all parts, and (Epoch, part) where a dummy stands in."""
+    if stage:
+        file = replace(file, groups=resolve_groups(file.groups, list(catalog.measurements.values()), catalog.counts))
+    tables = staged_catalogs(catalog, file) if stage else {}
     spark = next(iter(catalog.measurements.values())).sparkSession
     out = used = None
     for part in file.resolved_parts():
@@ -50,7 +85,7 @@ def part_values(catalog: Catalog, file: ScoreFile) -> tuple[DataFrame, DataFrame
                 got = epochs.crossJoin(F.broadcast(dummy_part(spark, catalog, part, dummy, file).select("value"))).withColumn("reason", F.lit(None).cast("string"))
                 lacking = epochs
             else:
-                got, lacking = score_part(catalog, part, file.groups), None
+                got, lacking = score_part(tables.get(part.name, catalog), part, file.groups), None
                 if dummy is not None:
                     # only epochs without the table; an epoch whose rows fail stays failed
                     has = catalog.measurements[part.source_type].select("Epoch").distinct()
@@ -66,16 +101,18 @@ def part_values(catalog: Catalog, file: ScoreFile) -> tuple[DataFrame, DataFrame
     return out, used
 
 
-def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, persist: bool = False) -> Scores:
+def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, persist: bool = False, stage: bool = False) -> Scores:
     """Every epoch of the catalog, with all parts good in scores, else in failed.
 
-    ``persist`` keeps the part values (one row for an epoch and part) in memory for
-    the frames that are made of them.  ``strict`` raises if an epoch fails.
+    ``persist`` keeps the part values (one row for an epoch and part) for the frames
+    that are made of them, until ``release``.  ``stage`` writes the resolved rows of
+    types that several parts read to the shared folder once, which pays where sources
+    are slow to parse or join.  ``strict`` raises if an epoch fails.
     """
     names = [p.name for p in file.parts]
     if file.expression and (unknown := names_in(file.expression) - set(names)):
         raise SpecError(f"the expression names unknown parts: {sorted(unknown)}")
-    values, used = part_values(catalog, file)
+    values, used = part_values(catalog, file, stage)
     if persist:
         values = values.persist()
     epochs = catalog.epoch_table().select("Epoch", "History", "EpochNo").dropDuplicates(["Epoch"])
@@ -93,7 +130,7 @@ def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, pers
         used = epochs.limit(0).select("Epoch", F.lit("").alias("part"))
     if strict and (first := failed.orderBy("Epoch").first()):
         raise ScoreError(f"{first['Epoch']}: {first['reason']}")
-    return Scores(good, failed, used)
+    return Scores(good, failed, used, values if persist else None)
 
 
 def score_table(catalog: Catalog, file: ScoreFile, by: Sequence[str] = ("History", "EpochNo", "Epoch")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -12,8 +14,11 @@ TRANSFORMS = ("add", "sub", "mul", "div", "abs", "log")
 RELATIVE_STEP = "__relative__"
 CALIBRATE_STEP = "__dvtbudget__"
 CALIBRATED_TYPE = "dVtBudget"
+CUSTOM_TYPE = "custom"
 #: Types that read another type's table.
 SOURCE_TYPES = {CALIBRATED_TYPE: "FBC"}
+#: Where a run configuration names the dummy of a type.
+DUMMY_KEYS = {"KLD": "dummyKLDValue", "dVthSGWLD": "dummyDVthValue"}
 
 
 class SpecError(ValueError):
@@ -205,16 +210,63 @@ def step_from(x: Mapping[str, Any]) -> Step:
 
 def part_from(x: Mapping[str, Any]) -> ScorePart:
     """A part from plain JSON: name, type, order, aggregations, relative, function, params."""
+    own = x.get("type") == CUSTOM_TYPE
+    if own and (x.get("order") or x.get("aggregations") or x.get("relative")):
+        raise SpecError(f"{x['name']}: a part of type {CUSTOM_TYPE} has no order, aggregations or relative")
     r = x.get("relative")
     relative = None
     if r and r.get("enabled", True):
+        if r.get("numerator_when") is None or r.get("denominator_when") is None:
+            raise SpecError(f"{x['name']}: relative needs numerator_when and denominator_when")
         pre = tuple((p["axis"], step_from(p)) for p in r.get("denominator_pre_aggregation", ()))
         relative = Relative(r["split_axis"], r["numerator_when"], r["denominator_when"], r.get("mode", "ratio"), float(r.get("denominator_offset", 0.0)), pre)
     steps = {a: step_from(s) for a, s in x.get("aggregations", {}).items()}
-    return ScorePart(x["name"], x["type"], tuple(x.get("order", ())), steps, relative, x.get("function"), x.get("params", {}))
+    return ScorePart(x["name"], x["type"], tuple(x.get("order", ())), steps, relative, x.get("function") or (x["name"] if own else None), x.get("params") or {})
+
+
+def _flag(x: Any, where: str) -> bool:
+    """A boolean, which may be written as text."""
+    if isinstance(x, bool):
+        return x
+    if str(x).strip().lower() in ("true", "false"):
+        return str(x).strip().lower() == "true"
+    raise SpecError(f"{where} must be true or false, not {x!r}")
+
+
+def _number(x: Any) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool)
 
 
 def file_from(x: Mapping[str, Any]) -> ScoreFile:
-    """A score file from plain JSON."""
-    groups = {n: GroupDef(g["axis"], {k: tuple(v) for k, v in g["groups"].items()}, bool(g.get("definedInLogical", True))) for n, g in x.get("groups", {}).items()}
-    return ScoreFile(tuple(map(part_from, x.get("parts", ()))), x.get("expression"), groups, x.get("selectionSets", {}), x.get("weightSets", {}), x.get("dummies", {}), x.get("thresholds", {}))
+    """A score file from plain JSON: a run configuration, its ``optimization`` block, or a block of shorter keys.
+
+    ``WLgroup`` is a group of the axis WL and ``WLgroupWeight`` a weight set, both of
+    their own name; groups and weight sets of the same name win over them.
+    """
+    x = x.get("optimization", x)
+    defs = dict(x.get("groupDefs") or x.get("groups") or {})
+    if x.get("WLgroup"):
+        defs.setdefault("WLgroup", {"axis": "WL", "groups": x["WLgroup"], "definedInLogical": x.get("WLgroupDefinLogical", True)})
+    groups = {n: GroupDef(g["axis"], {k: tuple(v) for k, v in g["groups"].items()}, _flag(g.get("definedInLogical", True), f"{n}: definedInLogical")) for n, g in defs.items()}
+    weights = dict(x.get("weightSets") or {})
+    if x.get("WLgroupWeight") is not None:
+        weights.setdefault("WLgroupWeight", x["WLgroupWeight"])
+    for name, w in weights.items():
+        if not (_number(w) or isinstance(w, Mapping) and w and all(map(_number, w.values()))):
+            raise SpecError(f"weight set {name} must be a number or numbers by axis value")
+    skip = x.get("vthSkip") or {}
+    dummies = {t: float(skip[k]) for t, k in DUMMY_KEYS.items() if skip.get(k) is not None} | dict(x.get("dummies") or {})
+    parts = x.get("score_parts") or x.get("parts") or ()
+    thresholds = x.get("constraintThreshold") or x.get("thresholds") or {}
+    return ScoreFile(tuple(map(part_from, parts)), x.get("expression") or None, groups, x.get("selectionSets") or {}, weights, dummies, thresholds)
+
+
+_COMMENT = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', re.DOTALL)
+_LAST_COMMA = re.compile(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])')
+
+
+def json_with_comments(text: str) -> Any:
+    """JSON that may hold // and /* */ comments and a comma after the last entry."""
+    for pattern in (_COMMENT, _LAST_COMMA):
+        text = pattern.sub(lambda m: m.group(1) or " ", text)
+    return json.loads(text)

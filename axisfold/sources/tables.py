@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,35 +85,38 @@ def headers(spark: SparkSession, paths: str | Sequence[str], column: str) -> Dat
     return lines.select("path", _cells(F.col("value")).alias("cells")).where(F.array_contains("cells", column)).distinct()
 
 
-def read_measurement(spark: SparkSession, paths: str | Sequence[str], type_: str) -> DataFrame:
+def read_measurement(spark: SparkSession, paths: str | Sequence[str], type_: str, epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, axes..., value) of {type}.csv files, plain or gzipped.
 
-    Every axis is a LONG, the value a DOUBLE.  Columns are found by name: each
-    header layout is read with its own schema and lacking axes become null.
+    Every axis is a LONG, the value a DOUBLE.  Columns are found by name, and a file
+    that lacks an axis of others has null there.  ``epoch`` makes the Epoch of a path.
     """
-    return _by_layout(spark, paths, type_, {type_: VALUE}, {type_: "double"})
+    return _by_layout(spark, paths, type_, {type_: VALUE}, {type_: "double"}, epoch)
 
 
-def _by_layout(spark: SparkSession, paths, column: str, rename: dict[str, str], kinds: dict[str, str]) -> DataFrame:
-    layouts = headers(spark, paths, column).groupBy("cells").agg(F.collect_list("path").alias("paths"), F.count("*").alias("n")).collect()
+def _by_layout(spark: SparkSession, paths, column: str, rename: dict[str, str], kinds: dict[str, str], epoch: Callable[[Column], Column]) -> DataFrame:
+    """One header layout is read as CSV; of several, each line is read by its own file's header.
+
+    The driver learns the layouts, never the paths.
+    """
+    heads = headers(spark, paths, column)
+    layouts = [r["cells"] for r in heads.select("cells").distinct().collect()]
     if not layouts:
         raise ValueError(f"no table with a column {column}")
-    parts = []
-    for r in layouts:
-        schema = ", ".join(f"`{c}` {kinds.get(c, 'long')}" for c in r["cells"])
-        own = paths if len(layouts) == 1 else list(r["paths"])
-        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(own)
-        epoch = epoch_of(F.col("_metadata.file_path"))
-        parts.append(df.select(epoch.alias("Epoch"), *[F.col(f"`{c}`").alias(rename.get(c, c)) for c in r["cells"]]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
-def read_side(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    named = [c for i, cells in enumerate(layouts) for c in cells if all(c not in x for x in layouts[:i])]
+    if len(layouts) == 1:
+        schema = ", ".join(f"`{c}` {kinds.get(c, 'long')}" for c in named)
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
+        return df.select(epoch(F.col("_metadata.file_path")).alias("Epoch"), *[F.col(f"`{c}`").alias(rename.get(c, c)) for c in named])
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), _cells(F.col("value")).alias("cells"))
+    rows = lines.join(heads.select("path", F.col("cells").alias("head")), "path").where((F.col("cells") != F.col("head")) & (F.array_join("cells", "") != ""))
+    cell = lambda c: F.get("cells", (F.nullif(F.array_position("head", c), F.lit(0)) - 1).cast("int")).try_cast(kinds.get(c, "long"))
+    return rows.select(epoch(F.col("path")).alias("Epoch"), *[cell(c).alias(rename.get(c, c)) for c in named])
+
+
+def read_side(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, side keys, codes...) of label or name tables; rows without keys are left out."""
-    df = _by_layout(spark, paths, SIDE_KEYS[0], {}, {})
+    df = _by_layout(spark, paths, SIDE_KEYS[0], {}, {}, epoch)
     return df.where(F.coalesce(*[F.col(k) for k in SIDE_KEYS if k in df.columns]).isNotNull())
 
 
@@ -122,14 +125,15 @@ def read_map(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.schema("code long, text string").csv(paths)
 
 
-def read_maps(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(map_name, code, text) of many map_*.csv files, each code once."""
+def read_maps(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(map_name, code, text) of many map_*.csv files, each code once; with ``epoch`` by Epoch too."""
     df = spark.read.schema("code long, text string").csv(paths)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/map_([^/]+?)\.csv(?:\.gz)?$", 1)
-    return df.select(name.alias("map_name"), "code", "text").distinct()
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(path, r"/map_([^/]+?)\.csv(?:\.gz)?$", 1)
+    return df.select(*([epoch(path).alias("Epoch")] if epoch else []), name.alias("map_name"), "code", "text").distinct()
 
 
-def read_temperatures(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_temperatures(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, Board, temp) of temperature files with a header (any column order) or without."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), _cells(F.col("value")).alias("cells"))
     lines = lines.where(F.size(F.filter("cells", lambda c: c != "")) > 0)
@@ -140,7 +144,7 @@ def read_temperatures(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     cell = lambda i: F.get("cells", (i - 1).cast("int"))
     board = F.when(F.col("head").isNull(), F.get("cells", F.lit(0))).otherwise(cell(at("Board")))
     temp = F.when(F.col("head").isNull(), F.get("cells", F.lit(1))).otherwise(cell(temp_at))
-    return rows.select(epoch_of(F.col("path")).alias("Epoch"), board.try_cast("double").cast("long").alias("Board"), temp.try_cast("double").alias("temp")).distinct()
+    return rows.select(epoch(F.col("path")).alias("Epoch"), board.try_cast("double").cast("long").alias("Board"), temp.try_cast("double").alias("temp")).distinct()
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
@@ -149,7 +153,8 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
 
     kind = "map<string,map<string,map<string,struct<a:double,b:double>>>>"
     text = spark.read.text(path, wholetext=True)
-    return explode_calibration(text.select(F.from_json("value", kind).alias("coef")))
+    # comments are left to the reader of JSON
+    return explode_calibration(text.select(F.from_json("value", kind, {"allowComments": "true"}).alias("coef")))
 
 
 def detect_types(files: DataFrame, heads: DataFrame) -> DataFrame:

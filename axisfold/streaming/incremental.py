@@ -43,9 +43,10 @@ def score_stream(rows: DataFrame, catalog_of: Callable[[DataFrame], Catalog], fi
         if not held:
             return
         rows_ = spark.read.schema(batch.schema).parquet(*[f"{store}/batch={b}" for b in sorted(held)])
-        result = compute_scores(catalog_of(rows_.join(ready, "Epoch", "left_semi")), file)
+        result = compute_scores(catalog_of(rows_.join(ready, "Epoch", "left_semi")), file, persist=True)
         result.scores.write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
         result.failed.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
+        result.release()
 
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
