@@ -25,28 +25,45 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _counted(epochs: DataFrame, df: DataFrame, steps: Sequence[tuple[int, str, str, str]]) -> DataFrame:
+    """(Epoch, at, step, rows, bad) of some steps, whose rows and bad rows two flags mark, in one pass."""
+    counts = [F.struct(F.lit(at).alias("at"), F.lit(name).alias("step"), F.count_if(F.col(alive)).alias("rows"), F.count_if(F.col(alive) & F.col(bad)).alias("bad")) for at, name, alive, bad in steps]
+    got = df.groupBy("Epoch").agg(F.array(*counts).alias("_made"))
+    none = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(name).alias("step"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("bad")) for at, name, *_ in steps])
+    return epochs.join(got, "Epoch", "left").select("Epoch", F.inline(F.coalesce("_made", none)))
+
+
 def step_metrics(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
     """(Epoch, at, step, rows, bad) after every step; steps that leave an epoch no row have rows 0.
 
-    The resolved rows, and what each fold or pairing leaves of them, are written to the
-    shared folder, so that no step runs the steps before it again.  Filters and
-    row-wise steps are read off the last table written.
+    Filters and row-wise steps in a row are counted in one pass, by flags.  What a fold
+    or a pairing leaves is written to the shared folder, so that no step runs the steps
+    before it again.
     """
     epochs = catalog.epoch_table().select("Epoch").distinct()
-    order, df, parts = ["", *part.effective_order()], None, []
-    for at, name in enumerate(order):
-        if not name:
-            df = base_frame(catalog, part, groups or {})
-        elif is_virtual(name):
-            df = virtual_step(df, catalog, part, name)
-        else:
+    order, parts = part.effective_order(), []
+    df = flagged = base_frame(catalog, part, groups or {})
+    steps: list[tuple[int, str, str, str]] = []
+
+    def put(at: int, name: str, alive: Column) -> DataFrame:
+        steps.append((at, name, f"_alive{at}", f"_bad{at}"))
+        return flagged.withColumn(f"_alive{at}", alive).withColumn(f"_bad{at}", is_bad(F.col(VALUE)))
+
+    flagged = put(0, "resolved", F.lit(True))
+    for at, name in enumerate(order, 1):
+        before = F.col(steps[-1][2])
+        if is_virtual(name) and name not in (RELATIVE_STEP, CALIBRATE_STEP):
+            df, flagged = virtual_step(df, catalog, part, name), virtual_step(flagged, catalog, part, name)
+            flagged = put(at, name, before)
+        elif not is_virtual(name) and "&" not in name and part.steps[name].op == "filter":
+            flagged = put(at, name, before & F.coalesce(matches(df, name, part.steps[name].value), F.lit(False)))
             df = apply_step(df, name, part.steps[name])
-        light = is_virtual(name) and name not in (RELATIVE_STEP, CALIBRATE_STEP) or bool(name) and not is_virtual(name) and part.steps[name].op == "filter"
-        if not light and at + 1 < len(order):
-            df = staged(df)
-        got = df.groupBy("Epoch").agg(F.count("*").alias("rows"), F.count_if(is_bad(F.col(VALUE))).alias("bad"))
-        got = epochs.join(got, "Epoch", "left")
-        parts.append(got.select("Epoch", F.lit(at).alias("at"), F.lit(name or "resolved").alias("step"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad")))
+        else:
+            parts.append(_counted(epochs, flagged, steps))
+            df = staged(virtual_step(df, catalog, part, name) if is_virtual(name) else apply_step(df, name, part.steps[name]))
+            flagged, steps = df, []
+            flagged = put(at, name, F.lit(True))
+    parts.append(_counted(epochs, flagged, steps))
     return union(parts)
 
 
