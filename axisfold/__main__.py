@@ -14,6 +14,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .functions.custom import register
+from .operators.quality import failed_causes
 from .plans.score import ScoreError, compute_scores
 from .plans.spec import CALIBRATED_TYPE, file_from, json_with_comments
 from .sources.history import open_catalog
@@ -61,6 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("--initial-temperature", help="board temperatures for all epochs")
     parser.add_argument("--custom-parts", help="Python file of functions (catalog, params) -> DataFrame(Epoch, value)")
     parser.add_argument("--generation-info", help="JSON with the numbers of axis values")
+    parser.add_argument("--explain", action="store_true", help="write the first step that went wrong to {out}.causes")
     parser.add_argument("--strict", action="store_true", help="stop if an epoch fails")
     args = parser.parse_args(argv)
     if args.history and not args.out:
@@ -96,6 +98,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             write_scores(got.scores, args.out, args.format)
             if not got.failed.isEmpty():
                 write_failed(got.failed, f"{args.out}.failed")
+                if args.explain:
+                    write_failed(failed_causes(catalog, file, got.failed), f"{args.out}.causes")
         for r in got.dummy_used.orderBy("Epoch", "part").limit(20).collect():
             print(f"note: {r['Epoch']}: {r['part']} has a dummy value, no table was there", file=sys.stderr)
         got.release()

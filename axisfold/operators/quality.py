@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .fold import VALUE, apply_step, matches
 from .lookup import unmatched_calibration
 from .relative import fan_out
 from .resolve import SIDE_KEYS, Catalog
-from .transforms import group_label
+from .transforms import group_label, resolve_groups
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -76,6 +77,23 @@ def first_offence(metrics: DataFrame) -> DataFrame:
     return x.groupBy("Epoch").agg(F.min_by(F.struct("step", "what"), "at").alias("_f")).select("Epoch", "_f.step", "_f.what")
 
 
+def failed_causes(catalog: Catalog, file: ScoreFile, failed: DataFrame) -> DataFrame:
+    """(Epoch, part, step, what): where the parts of failed epochs first lost all rows or met null or NaN.
+
+    Only rows of the failed epochs are run again.  User-defined parts have no steps.
+    """
+    lost = failed.select("Epoch").distinct()
+    groups = resolve_groups(file.groups, list(catalog.measurements.values()), catalog.counts)
+    own = {t: m.join(lost, "Epoch", "left_semi") for t, m in catalog.measurements.items()}
+    own = replace(catalog, measurements=own, epochs=catalog.epoch_table().join(lost, "Epoch", "left_semi"))
+    found = []
+    for part in file.resolved_parts():
+        if not part.function and part.source_type in own.measurements:
+            first = first_offence(step_metrics(own, part, part.used_groups(groups)))
+            found.append(first.select("Epoch", F.lit(part.name).alias("part"), "step", "what"))
+    return union(found) if found else lost.limit(0).select("Epoch", *[F.lit("").alias(c) for c in ("part", "step", "what")])
+
+
 def relative_causes(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
     """(Epoch, numerator_rows, denominator_rows, cause) of a part with a pairing."""
     df, cfg = base_frame(catalog, part, groups or {}), part.relative

@@ -20,8 +20,9 @@ from .operators.resolve import Catalog
 from .plans import presets
 from .plans.part import score_part
 from .plans.score import compute_scores
-from .plans.spec import GroupDef, Relative, ScoreFile, ScorePart, Step
+from .plans.spec import GroupDef, Relative, ScoreFile, ScorePart, Step, file_from, json_with_comments
 from .sources import tables
+from .sources.history import open_catalog
 from .sources.shared import shared_dir
 from .streaming.incremental import current, score_stream
 
@@ -466,13 +467,52 @@ def score_table(spark, sf_dir):
     return got.select(F.col("Epoch").alias("epoch"), six("Score").alias("score"), six("ratio").alias("ratio"), six("level").alias("level"), six("span").alias("span")).orderBy("epoch")
 
 
-@query(", e AS (SELECT DISTINCT epoch FROM b), p AS (SELECT DISTINCT epoch FROM b WHERE epoch >= 1998 AND flag = 'R') SELECT epoch, 'late: no rows' AS reason FROM e WHERE epoch NOT IN (SELECT epoch FROM p)")
-def score_failed(spark, sf_dir):
+CONFIG = """{
+  "Generation": "G",  // as a run configuration writes it
+  "optimization": {
+    "groupDefs": {"LineGroup": {"axis": "Line", "groups": {"G1": [1, 3], "G2": [4, 7]}}},
+    "selectionSets": {"chosen": [2, 3, 5]},
+    "score_parts": [
+      {"name": "level", "type": "QTY", "order": ["Line", "Flag"], "aggregations": {"Line": {"op": "mean"}, "Flag": {"op": "mean"}}},
+      {"name": "top", "type": "QTY", "order": ["State", "Line", "LineGroup"],
+       "aggregations": {"State": {"op": "filter", "value": "F"}, "Line": {"op": "sum"}, "LineGroup": {"op": "max"}}},
+      /* selected by name */
+      {"name": "chosen", "type": "QTY", "order": ["Line"], "aggregations": {"Line": {"op": "mean", "ref": "chosen"}}},
+    ],
+    "expression": "level + chosen - top / 1000",
+  }
+}"""
+
+
+@query(
+    ", p1 AS (SELECT epoch, avg(v) AS level FROM (SELECT epoch, flag, avg(v) AS v FROM b GROUP BY ALL) GROUP BY epoch)"
+    ", p2 AS (SELECT epoch, max(v) AS top FROM (SELECT epoch, line <= 3 AS g, sum(v) AS v FROM b WHERE state = 'F' GROUP BY ALL) GROUP BY epoch)"
+    ", p3 AS (SELECT epoch, avg(v) AS chosen FROM b WHERE line IN (2, 3, 5) GROUP BY epoch)"
+    " SELECT epoch, round(level + chosen - top / 1000, 6) AS score, round(level, 6) AS level, round(top, 6) AS top, round(chosen, 6) AS chosen FROM p1 JOIN p2 USING (epoch) JOIN p3 USING (epoch)"
+)
+def score_config(spark, sf_dir):
+    """A run configuration with comments, whose parts share one written table of resolved rows."""
+    got = compute_scores(catalog(spark, sf_dir), file_from(json_with_comments(CONFIG)), stage=True).scores
+    return got.select(F.col("Epoch").alias("epoch"), *[six(c).alias(c.lower()) for c in ("Score", "level", "top", "chosen")])
+
+
+def _late(spark, sf_dir) -> tuple[Catalog, ScoreFile]:
     cat = catalog(spark, sf_dir)
     late = cat.measurements["QTY"].where("Epoch >= 1998")
     cat = Catalog({"QTY": cat.measurements["QTY"], "LATE": late})
     file = ScoreFile((ScorePart("all", "QTY", ("Line",), {"Line": MEAN}), ScorePart("late", "LATE", ("Flag", "Line"), {"Flag": Step("filter", "R"), "Line": MEAN})))
-    return compute_scores(cat, file).failed.select(F.col("Epoch").alias("epoch"), "reason")
+    return cat, file
+
+
+@query(", e AS (SELECT DISTINCT epoch FROM b), p AS (SELECT DISTINCT epoch FROM b WHERE epoch >= 1998 AND flag = 'R') SELECT epoch, 'late: no rows' AS reason FROM e WHERE epoch NOT IN (SELECT epoch FROM p)")
+def score_failed(spark, sf_dir):
+    return compute_scores(*_late(spark, sf_dir)).failed.select(F.col("Epoch").alias("epoch"), "reason")
+
+
+@query(", e AS (SELECT DISTINCT epoch FROM b), p AS (SELECT DISTINCT epoch FROM b WHERE epoch >= 1998 AND flag = 'R') SELECT epoch, 'late' AS part, CASE WHEN epoch < 1998 THEN 'resolved' ELSE 'Flag' END AS step, 'no rows left' AS what FROM e WHERE epoch NOT IN (SELECT epoch FROM p)")
+def failed_causes(spark, sf_dir):
+    cat, file = _late(spark, sf_dir)
+    return quality.failed_causes(cat, file, compute_scores(cat, file).failed).withColumnRenamed("Epoch", "epoch")
 
 
 @query("SELECT round(sum(2.0::DOUBLE) * 0.1, 6) AS value FROM nation", base=False)
@@ -780,6 +820,22 @@ def source_calibration(spark, sf_dir):
     return tables.read_calibration(spark, path).select("generation", "temp_key", "ord", "state", six("b").alias("b"))
 
 
+@query("SELECT 'exp/Step1/Loop01#' || epoch AS epoch, 'exp/Step1/Loop01' AS history, CAST(epoch AS BIGINT) AS epoch_no, round(avg(v), 6) AS score FROM b WHERE state = 'F' GROUP BY epoch")
+def history_scores(spark, sf_dir):
+    """A history of epoch directories, each with its own code map, opened and scored in one go."""
+    rows, base = catalog(spark, sf_dir).measurements["QTY"], shared_dir(spark)
+    for no in _years(rows):
+        first = "O" if no % 2 else "F"
+        code = F.when(F.col("State") == first, 0).otherwise(1)
+        own = rows.where(F.col("Epoch") == no).select(F.lit(0).alias("InBatchEpoch"), "Board", "Line", code.alias("State"), F.col("value").alias("QTY"))
+        own.write.option("header", True).csv(f"{_epoch_dir(base, no)}/QTY.csv")
+        codes = rows.select("State").distinct().select(F.when(F.col("State") == first, 0).otherwise(1), "State")
+        codes.write.csv(f"{_epoch_dir(base, no)}/map_State.csv")
+    cat = open_catalog(spark, [_epoch_dir(base, 0)[: -len("/result.0000")]], types=["QTY"])
+    got = compute_scores(cat, ScoreFile((ScorePart("level", "QTY", ("State", "Line"), {"State": Step("filter", "F"), "Line": MEAN}),), "level")).scores
+    return got.select(F.col("Epoch").alias("epoch"), F.col("History").alias("history"), F.col("EpochNo").alias("epoch_no"), six("Score").alias("score"))
+
+
 def _levels(spark, sf_dir):
     file = ScoreFile((ScorePart("level", "QTY", ("Line", "Flag"), {"Line": MEAN, "Flag": MEAN}),), "level * 2")
     return compute_scores(catalog(spark, sf_dir), file)

@@ -12,6 +12,8 @@ from ..operators.resolve import Catalog
 from . import tables
 
 _NO = r"result\.(\d+)/"
+#: A table is a file, or a folder that Spark wrote.
+_TABLE = r"/([^/]+?)\.csv(?:\.gz)?(?:/[^/]*)?$"
 
 
 def _labelled(label: str) -> Callable[[Column], Column]:
@@ -82,7 +84,7 @@ def open_catalog(
             epochs.append(files.select(own.alias("Epoch"), history.alias("History"), F.regexp_extract("path", _NO, 1).cast("long").alias("EpochNo")).distinct())
         else:
             epochs.append(files.select(own.alias("Epoch"), F.lit(None).cast("string").alias("History"), F.lit(None).cast("long").alias("EpochNo")).distinct())
-        names = {r["name"] for r in files.select(F.regexp_extract("path", tables.TABLE_FILE, 1).alias("name")).distinct().collect()}
+        names = {r["name"] for r in files.select(F.regexp_extract("path", _TABLE, 1).alias("name")).distinct().collect()}
         at = lambda n, folder=folder: f"{folder}/{n}.csv*"
         for t in _type_names(names) if types is None else [t for t in types if t in names]:
             try:
