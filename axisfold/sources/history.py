@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators.resolve import Catalog
 from . import tables
+from .shared import staged
 
 _NO = r"result\.(\d+)/"
+_ARCHIVE = r"\.(?:zip|tar|tgz|tar\.gz)$"
 #: A table is a file, or a folder that Spark wrote.
 _TABLE = r"/([^/]+?)\.csv(?:\.gz)?(?:/[^/]*)?$"
 
@@ -45,6 +47,27 @@ def _type_names(names: Iterable[str]) -> list[str]:
     return sorted(n for n in names if n and not n.startswith(("map_", "parameterLabel_", "dataName_")) and n not in tables.RESERVED)
 
 
+def _read_packed(spark, folder, files, epoch, types, own_temperatures, read, temps) -> None:
+    """The tables of a folder with archives, by the lines of their members and of loose files beside them."""
+    lines = tables.archive_lines(spark, folder + "/*.{zip,tar,tgz,tar.gz}", epoch)
+    if not files.where(F.col("path").rlike(r"\.csv(\.gz)?$")).isEmpty():
+        lines = tables.merged_lines(lines, tables.loose_lines(spark, f"{folder}/*.csv*", epoch))
+    lines = staged(lines)
+    names = {r["file"].removesuffix(".csv") for r in lines.select("file").distinct().collect() if r["file"].endswith(".csv")}
+    for t in _type_names(names) if types is None else [t for t in types if t in names]:
+        columns = tables.columns_of_lines(lines, f"{t}.csv")
+        if t not in columns:
+            continue
+        read["measure"].setdefault(t, []).append(tables.measurement_of_lines(lines, t, [c for c in columns if c != t]))
+        for kind, n in (("label", f"parameterLabel_{t}"), ("name", f"dataName_{t}")):
+            if n in names:
+                read[kind].setdefault(t, []).append(tables.side_of_lines(lines, f"{n}.csv"))
+    for m in sorted(n for n in names if n.startswith("map_")):
+        read["map"].setdefault(m.removeprefix("map_"), []).append(tables.map_of_lines(lines, f"{m}.csv"))
+    if own_temperatures and "initial_temperature" in names:
+        temps.append(tables.temperatures_of_lines(lines, "initial_temperature.csv"))
+
+
 def open_catalog(
     spark: SparkSession,
     histories: Sequence[str] | Mapping[str, str] = (),
@@ -59,7 +82,8 @@ def open_catalog(
 
     A history is named by its path exp/StepN/LoopNN, or by the label it is given.
     ``types`` are the measurement types to read, all that are there by default; types
-    without a file are left out.  Code maps and temperatures hold for their own epoch;
+    without a file are left out.  An epoch may be an archive, with or without loose files
+    beside it.  Code maps and temperatures hold for their own epoch;
     ``temperatures`` is one file for all epochs.  The driver lists the names of
     tables, of which there are few, and never the files.
     """
@@ -84,6 +108,9 @@ def open_catalog(
             epochs.append(files.select(own.alias("Epoch"), history.alias("History"), F.regexp_extract("path", _NO, 1).cast("long").alias("EpochNo")).distinct())
         else:
             epochs.append(files.select(own.alias("Epoch"), F.lit(None).cast("string").alias("History"), F.lit(None).cast("long").alias("EpochNo")).distinct())
+        if not files.where(F.col("path").rlike(_ARCHIVE)).isEmpty():
+            _read_packed(spark, folder, files, epoch, types, temperatures is None, read, temps)
+            continue
         names = {r["name"] for r in files.select(F.regexp_extract("path", _TABLE, 1).alias("name")).distinct().collect()}
         at = lambda n, folder=folder: f"{folder}/{n}.csv*"
         for t in _type_names(names) if types is None else [t for t in types if t in names]:

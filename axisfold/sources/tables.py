@@ -136,6 +136,11 @@ def read_maps(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[
 def read_temperatures(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, Board, temp) of temperature files with a header (any column order) or without."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), _cells(F.col("value")).alias("cells"))
+    return _temperatures(lines).select(epoch(F.col("path")).alias("Epoch"), "Board", "temp").distinct()
+
+
+def _temperatures(lines: DataFrame) -> DataFrame:
+    """(path, Board, temp) of (path, cells)."""
     lines = lines.where(F.size(F.filter("cells", lambda c: c != "")) > 0)
     head = lines.where(F.array_contains("cells", "Board")).select("path", F.col("cells").alias("head"))
     rows = lines.where(~F.array_contains("cells", "Board")).join(head, "path", "left")
@@ -144,7 +149,7 @@ def read_temperatures(spark: SparkSession, paths: str | Sequence[str], epoch: Ca
     cell = lambda i: F.get("cells", (i - 1).cast("int"))
     board = F.when(F.col("head").isNull(), F.get("cells", F.lit(0))).otherwise(cell(at("Board")))
     temp = F.when(F.col("head").isNull(), F.get("cells", F.lit(1))).otherwise(cell(temp_at))
-    return rows.select(epoch(F.col("path")).alias("Epoch"), board.try_cast("double").cast("long").alias("Board"), temp.try_cast("double").alias("temp")).distinct()
+    return rows.select("path", board.try_cast("double").cast("long").alias("Board"), temp.try_cast("double").alias("temp"))
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
@@ -174,12 +179,12 @@ def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return lines.where(~F.exists("cells", lambda c: c.rlike(r"^[-+]?[0-9.]") | (c == "")))
 
 
-def archive_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def archive_lines(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, file, pos, line) of the members of tar and zip epoch archives.
 
     Members with unsafe names are left out; a single wrapping directory goes.
     """
-    packed = spark.read.format("binaryFile").load(paths).select(F.coalesce(epoch_of(F.col("path")), F.col("path")).alias("Epoch"), "content")
+    packed = spark.read.format("binaryFile").load(paths).select(F.coalesce(epoch(F.col("path")), F.col("path")).alias("Epoch"), "content")
 
     def members(data: bytes) -> Iterator[tuple[str, bytes]]:
         if zipfile.is_zipfile(io.BytesIO(data)):
@@ -209,18 +214,46 @@ def measurement_of_lines(lines: DataFrame, type_: str, axes: Sequence[str]) -> D
     own = lines.where(F.col("file").isin(f"{type_}.csv")).select("Epoch", "pos", _cells(F.col("line")).alias("cells"))
     head = own.where("pos = 0").select("Epoch", F.col("cells").alias("head"))
     rows = own.where("pos > 0").join(head, "Epoch")
-    cell = lambda c: F.get("cells", (F.array_position("head", c) - 1).cast("int"))
+    cell = lambda c: F.get("cells", (F.nullif(F.array_position("head", c), F.lit(0)) - 1).cast("int"))
     rows = rows.where(F.exists("cells", lambda c: c != ""))
     return rows.select("Epoch", *[cell(a).try_cast("long").alias(a) for a in axes], cell(type_).try_cast("double").alias(VALUE))
 
 
-def loose_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def columns_of_lines(lines: DataFrame, file: str) -> list[str]:
+    """The columns that the headers of a member name, over all epochs."""
+    heads = lines.where((F.col("file") == file) & (F.col("pos") == 0)).select(_cells(F.col("line")).alias("cells")).distinct().collect()
+    return list(dict.fromkeys(c for r in sorted(heads, key=lambda r: r["cells"]) for c in r["cells"]))
+
+
+def side_of_lines(lines: DataFrame, file: str) -> DataFrame:
+    """(Epoch, side keys, codes...) of a label or name table among the members; rows without keys are left out."""
+    named = columns_of_lines(lines, file)
+    own = lines.where(F.col("file") == file).select("Epoch", "pos", _cells(F.col("line")).alias("cells"))
+    rows = own.where("pos > 0").join(own.where("pos = 0").select("Epoch", F.col("cells").alias("head")), "Epoch")
+    cell = lambda c: F.get("cells", (F.nullif(F.array_position("head", c), F.lit(0)) - 1).cast("int")).try_cast("long")
+    rows = rows.select("Epoch", *[cell(c).alias(c) for c in named])
+    return rows.where(F.coalesce(*[F.col(k) for k in SIDE_KEYS if k in named]).isNotNull())
+
+
+def map_of_lines(lines: DataFrame, file: str) -> DataFrame:
+    """(Epoch, code, text) of a header-less map among the members."""
+    own = lines.where((F.col("file") == file) & (F.btrim("line") != "")).select("Epoch", F.split(F.regexp_replace("line", "\r$", ""), ",", 2).alias("cells"))
+    return own.select("Epoch", F.get("cells", F.lit(0)).try_cast("long").alias("code"), F.get("cells", F.lit(1)).alias("text")).distinct()
+
+
+def temperatures_of_lines(lines: DataFrame, file: str) -> DataFrame:
+    """(Epoch, Board, temp) of a temperature table among the members."""
+    own = lines.where(F.col("file") == file).select(F.col("Epoch").alias("path"), _cells(F.col("line")).alias("cells"))
+    return _temperatures(own).withColumnRenamed("path", "Epoch").distinct()
+
+
+def loose_lines(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, file, pos, line) of files that lie unpacked in an epoch's directory."""
     whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     name = F.regexp_replace(F.regexp_extract("path", r"/([^/]+)$", 1), r"\.gz$", "")
     lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
     numbered = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("line")))
-    return whole.select(epoch_of(F.col("path")).alias("Epoch"), name.alias("file"), F.inline(numbered))
+    return whole.select(epoch(F.col("path")).alias("Epoch"), name.alias("file"), F.inline(numbered))
 
 
 def merged_lines(archived: DataFrame, loose: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 import random
+import shutil
+import tarfile
 from statistics import mean
 
 import pytest
@@ -83,6 +85,25 @@ def test_histories_are_scored_as_configured(spark, made, stage):
     got.release()
 
 
+def test_packed_epochs_score_like_loose_ones(spark, made, tmp_path):
+    """The tables of one epoch in an archive, but for one that lies beside it; the other epoch all loose."""
+    _, root, rows = made
+    packed = tmp_path / "exp" / "Step1" / "Loop01" / "result_history"
+    shutil.copytree(root, packed)
+    first = packed / "result.0001"
+    with tarfile.open(first / "all.tar.gz", "w:gz") as t:
+        for f in sorted(first.glob("*.csv")):
+            if f.name != "KLD.csv":
+                t.add(f, f"wrapped/{f.name}")
+                f.unlink()
+    got = compute_scores(open_catalog(spark, {"x": f"file://{packed}"}), file_from(json_with_comments(CONFIG)), persist=True)
+    by = {r["EpochNo"]: r for r in got.scores.collect()}
+    for no, code, kld in ((1, 1, 6.0), (2, 0, 0.5)):
+        ratio, top = expected(rows[no], code)
+        assert (by[no]["Epoch"], by[no]["ratio"], by[no]["top"], by[no]["kld"]) == (f"x#000{no}", pytest.approx(ratio), top, kld)
+    got.release()
+
+
 def test_command_line(spark, made, capsys, tmp_path):
     base, root, rows = made
     main(["--config", f"file://{base}/run.jsonc", "--data-dir", f"file://{root}/result.0001"], spark)
