@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, language, lm_score, mixing, quality, sharding, simhash, spans, toxicity
+from . import chat, decontamination, html, language, lm_score, mixing, negatives, periodic, quality, sharding, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op10_language_id": language.op10_language_id,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_chat_format": chat.op12_chat_format,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "op2_lm_scoring": lm_score.op2_lm_scoring,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
