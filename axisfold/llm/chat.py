@@ -41,7 +41,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: So many characters of a conversation are rendered and encoded at a time.
 GIANT = 1_000_000
 #: So many characters, about, are encoded in one call.
-BATCH = 4_000_000
+BATCH = 400_000
 
 
 @dataclass(frozen=True)
@@ -186,47 +186,59 @@ def format_chats(rows: DataFrame, template: Template | None = None, tokenizer: s
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_READ = "conv_id long, piece long, whole boolean, n_turns long, loss_chars long, formatted_chars long, turns string, learned string"
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """What the formatted conversations hold: turns, and the text under the loss mask, as counts and digests."""
+    """What the formatted conversations hold: turns, and the text under the loss mask, as counts and digests.
+
+    Whole conversations are digested where they lie.  Pieces are brought together, in
+    order, as the texts that they hold, and stream through one digest.
+    """
     template = template or Template()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            turns, learned = [], []
-            for text, starts, ends, loss in zip(*[b.column(i) for i in range(4, 8)], strict=True):
+            out = []
+            for whole, text, starts, ends, loss in zip(*[b.column(i) for i in (2, 4, 5, 6, 7)], strict=True):
                 text, mask = text.as_py(), np.asarray(loss.values.to_numpy(zero_copy_only=False), dtype=bool)
-                turns.append("".join(f"{role}\n{said}\n" for role, said in template.turns(text)))
+                turns = "".join(f"{role}\n{said}\n" for role, said in template.turns(text))
                 stretches = covered(starts.values.to_numpy()[mask], ends.values.to_numpy()[mask])
-                learned.append("".join(template.unescaped(text[a:z]) for a, z in stretches))
-            sizes = pa.array([len(t.as_py()) for t in b.column(4)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(turns), pa.array(learned), sizes], names=["conv_id", "piece", "whole", "n_turns", "turns", "learned", "formatted_chars"])
-
-    read = formatted.select("conv_id", "piece", "whole", "n_turns", "formatted", "starts", "ends", "loss")
-    got = read.mapInArrow(parts, "conv_id long, piece long, whole boolean, n_turns long, turns string, learned string, formatted_chars long")
+                learned = "".join(template.unescaped(text[a:z]) for a, z in stretches)
+                out.append((len(learned), len(text), *((sha(turns), sha(learned)) if whole.as_py() else (turns, learned))))
+            arrays = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], *arrays], names=["conv_id", "piece", "whole", "n_turns", "loss_chars", "formatted_chars", "turns", "learned"])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"conv_id": now, "n_turns": n, "turns_sha256": said.hexdigest(), "loss_chars": chars, "loss_sha256": learned.hexdigest(), "formatted_chars": size}], schema=kind)
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kind = pa.schema([(n, pa.string() if "sha" in n else pa.int64()) for n in names])
+        now, said, learned = None, None, None
+
+        def ended() -> dict:
+            return now | {"turns_sha256": said.hexdigest(), "loss_sha256": learned.hexdigest()}
 
-        kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-        begun = False
         for b in batches:
+            done = []
             for r in b.to_pylist():
-                if not begun or r["conv_id"] != now:
-                    if begun:
-                        yield row()
-                    begun, now, n, chars, size, said, learned = True, r["conv_id"], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                n, chars, size = n + r["n_turns"], chars + len(r["learned"]), size + r["formatted_chars"]
+                counts = {k: r[k] for k in ("conv_id", "n_turns", "loss_chars", "formatted_chars")}
+                if r["whole"]:
+                    done.append(counts | {"turns_sha256": r["turns"], "loss_sha256": r["learned"]})
+                    continue
+                if now is None or now["conv_id"] != r["conv_id"]:
+                    if now is not None:
+                        done.append(ended())
+                    now, said, learned = counts, hashlib.sha256(), hashlib.sha256()
+                else:
+                    now |= {k: now[k] + v for k, v in counts.items() if k != "conv_id"}
                 said.update(r["turns"].encode())
                 learned.update(r["learned"].encode())
-        if begun:
-            yield row()
+            yield pa.RecordBatch.from_pylist(done, schema=kind)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([ended()], schema=kind)
 
-    plain = got.where("whole").select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
-    pieces = got.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "piece").drop("piece", "whole")
-    return plain.unionByName(pieces.mapInArrow(digests, DIGEST))
+    read = formatted.select("conv_id", "piece", "whole", "n_turns", "formatted", "starts", "ends", "loss").mapInArrow(parts, _READ)
+    return read.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(digests, DIGEST)
 
 
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
