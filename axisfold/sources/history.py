@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators.resolve import Catalog
 from . import tables
+from .headers import header_index
 from .shared import staged
 
 _NO = r"result\.(\d+)/"
 _ARCHIVE = r"\.(?:zip|tar|tgz|tar\.gz)$"
-#: A table is a file, or a folder that Spark wrote.
-_TABLE = r"/([^/]+?)\.csv(?:\.gz)?(?:/[^/]*)?$"
 
 
 def _labelled(label: str) -> Callable[[Column], Column]:
@@ -47,10 +46,10 @@ def _type_names(names: Iterable[str]) -> list[str]:
     return sorted(n for n in names if n and not n.startswith(("map_", "parameterLabel_", "dataName_")) and n not in tables.RESERVED)
 
 
-def _read_packed(spark, folder, files, epoch, types, own_temperatures, read, temps) -> None:
+def _read_packed(spark, folder, loose, epoch, types, own_temperatures, read, temps) -> None:
     """The tables of a folder with archives, by the lines of their members and of loose files beside them."""
     lines = tables.archive_lines(spark, folder + "/*.{zip,tar,tgz,tar.gz}", epoch)
-    if not files.where(F.col("path").rlike(r"\.csv(\.gz)?$")).isEmpty():
+    if loose:
         lines = tables.merged_lines(lines, tables.loose_lines(spark, f"{folder}/*.csv*", epoch))
     lines = staged(lines)
     names = {r["file"].removesuffix(".csv") for r in lines.select("file").distinct().collect() if r["file"].endswith(".csv")}
@@ -84,8 +83,9 @@ def open_catalog(
     ``types`` are the measurement types to read, all that are there by default; types
     without a file are left out.  An epoch may be an archive, with or without loose files
     beside it.  Code maps and temperatures hold for their own epoch;
-    ``temperatures`` is one file for all epochs.  The driver lists the names of
-    tables, of which there are few, and never the files.
+    ``temperatures`` is one file for all epochs.  Two jobs tell which tables there are
+    and how their columns stand, whatever the number of types and histories: one over
+    the names of files, one over their first bytes.
     """
     if data_dir is not None:
         name = data_dir.rstrip("/").rpartition("/")[2]
@@ -99,31 +99,37 @@ def open_catalog(
     if not found:
         raise ValueError("no history and no epoch directory")
     read: dict[str, dict[str, list[DataFrame]]] = {k: {} for k in ("measure", "label", "name", "map")}
-    temps, epochs = [], []
-    for folder, epoch in found:
+    temps, epochs, listed, heads = [], [], None, None
+    for i, (folder, epoch) in enumerate(found):
         files = spark.read.format("binaryFile").load(f"{folder}/*").select("path")
         own = epoch(F.col("path"))
+        history, no = F.lit(None).cast("string"), F.lit(None).cast("long")
         if data_dir is None:
-            history = F.regexp_replace(own, "#[0-9]+$", "")
-            epochs.append(files.select(own.alias("Epoch"), history.alias("History"), F.regexp_extract("path", _NO, 1).cast("long").alias("EpochNo")).distinct())
-        else:
-            epochs.append(files.select(own.alias("Epoch"), F.lit(None).cast("string").alias("History"), F.lit(None).cast("long").alias("EpochNo")).distinct())
-        if not files.where(F.col("path").rlike(_ARCHIVE)).isEmpty():
-            _read_packed(spark, folder, files, epoch, types, temperatures is None, read, temps)
+            history, no = F.regexp_replace(own, "#[0-9]+$", ""), F.regexp_extract("path", _NO, 1).cast("long")
+        epochs.append(files.select(own.alias("Epoch"), history.alias("History"), no.alias("EpochNo")).distinct())
+        kind = F.when(F.col("path").rlike(_ARCHIVE), "archive").when(F.col("path").rlike(r"\.csv(\.gz)?$|\.csv/"), "table")
+        part = files.select(F.lit(i).alias("i"), kind.alias("kind"))
+        listed = part if listed is None else listed.unionByName(part)
+    kinds = {(r["i"], r["kind"]) for r in listed.distinct().collect()}
+    for i, (folder, _) in enumerate(found):
+        if (i, "archive") not in kinds and (i, "table") in kinds:
+            part = header_index(spark, f"{folder}/*.csv*").select(F.lit(i).alias("i"), F.regexp_extract("path", tables.TABLE, 1).alias("name"), "cells")
+            heads = part if heads is None else heads.unionByName(part)
+    layouts: dict[int, dict[str, list[list[str]]]] = {}
+    for r in heads.distinct().collect() if heads is not None else ():
+        layouts.setdefault(r["i"], {}).setdefault(r["name"], []).append(r["cells"])
+    for i, (folder, epoch) in enumerate(found):
+        if (i, "archive") in kinds:
+            _read_packed(spark, folder, (i, "table") in kinds, epoch, types, temperatures is None, read, temps)
             continue
-        names = {r["name"] for r in files.select(F.regexp_extract("path", _TABLE, 1).alias("name")).distinct().collect()}
+        names = layouts.get(i, {})
         at = lambda n, folder=folder: f"{folder}/{n}.csv*"
-        for t in _type_names(names) if types is None else [t for t in types if t in names]:
-            try:
-                read["measure"].setdefault(t, []).append(tables.read_measurement(spark, at(t), t, epoch))
-            except ValueError:
-                if types is not None:
-                    raise
-                continue  # a table without a column of its own name is no measurement
-            if f"parameterLabel_{t}" in names:
-                read["label"].setdefault(t, []).append(tables.read_side(spark, at(f"parameterLabel_{t}"), epoch))
-            if f"dataName_{t}" in names:
-                read["name"].setdefault(t, []).append(tables.read_side(spark, at(f"dataName_{t}"), epoch))
+        # a table without a column of its own name is no measurement
+        for t in [n for n in _type_names(names) if any(n in c for c in names[n])] if types is None else [t for t in types if t in names]:
+            read["measure"].setdefault(t, []).append(tables.read_measurement(spark, at(t), t, epoch, names[t]))
+            for kind, n in (("label", f"parameterLabel_{t}"), ("name", f"dataName_{t}")):
+                if n in names:
+                    read[kind].setdefault(t, []).append(tables.read_side(spark, at(n), epoch, names[n]))
         for m in sorted(n for n in names if n.startswith("map_")):
             read["map"].setdefault(m.removeprefix("map_"), []).append(tables.read_maps(spark, at(m), epoch).drop("map_name"))
         if "initial_temperature" in names and temperatures is None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.fold import VALUE
 from ..operators.lookup import temperature_conflicts as temperature_conflicts
 from ..operators.resolve import SIDE_KEYS
+from .headers import header_index
 
 #: exp/StepN/LoopNN/result_history/result.NNNN/file
 EPOCH_PATH = r"([^/]+/Step[^/]+/Loop[^/]+)/result_history/result\.(\d+)/"
@@ -80,43 +81,48 @@ def _cells(line: Column) -> Column:
 
 
 def headers(spark: SparkSession, paths: str | Sequence[str], column: str) -> DataFrame:
-    """(path, cells) of each file's header, the line that names ``column``."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
-    return lines.select("path", _cells(F.col("value")).alias("cells")).where(F.array_contains("cells", column)).distinct()
+    """(path, cells) of the files whose header names ``column``."""
+    return header_index(spark, paths).where(F.array_contains("cells", column))
 
 
-def read_measurement(spark: SparkSession, paths: str | Sequence[str], type_: str, epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
+def read_measurement(spark: SparkSession, paths: str | Sequence[str], type_: str, epoch: Callable[[Column], Column] = epoch_of, layouts: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """(Epoch, axes..., value) of {type}.csv files, plain or gzipped.
 
     Every axis is a LONG, the value a DOUBLE.  Columns are found by name, and a file
-    that lacks an axis of others has null there.  ``epoch`` makes the Epoch of a path.
+    that lacks an axis of others has null there.  ``epoch`` makes the Epoch of a path;
+    ``layouts`` are the files' headers, where they are known.
     """
-    return _by_layout(spark, paths, type_, {type_: VALUE}, {type_: "double"}, epoch)
+    return _by_layout(spark, paths, type_, {type_: VALUE}, {type_: "double"}, epoch, layouts)
 
 
-def _by_layout(spark: SparkSession, paths, column: str, rename: dict[str, str], kinds: dict[str, str], epoch: Callable[[Column], Column]) -> DataFrame:
-    """One header layout is read as CSV; of several, each line is read by its own file's header.
+def _by_layout(spark: SparkSession, paths, column: str, rename: dict[str, str], kinds: dict[str, str], epoch: Callable[[Column], Column], layouts=None) -> DataFrame:
+    """Files of one header are read as typed CSV; of several, all are read once by position, and each row by its own file's header.
 
-    The driver learns the layouts, never the paths.
+    Only the first bytes of each file are read to learn its header.
     """
-    heads = headers(spark, paths, column)
-    layouts = [r["cells"] for r in heads.select("cells").distinct().collect()]
-    if not layouts:
+    heads = header_index(spark, paths)
+    if layouts is None:
+        layouts = [r["cells"] for r in heads.select("cells").distinct().collect()]
+    own = sorted(list(x) for x in layouts if column in x)
+    if not own:
         raise ValueError(f"no table with a column {column}")
-    named = [c for i, cells in enumerate(layouts) for c in cells if all(c not in x for x in layouts[:i])]
+    named = list(dict.fromkeys(c for cells in own for c in cells))
     if len(layouts) == 1:
         schema = ", ".join(f"`{c}` {kinds.get(c, 'long')}" for c in named)
         df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
         return df.select(epoch(F.col("_metadata.file_path")).alias("Epoch"), *[F.col(f"`{c}`").alias(rename.get(c, c)) for c in named])
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), _cells(F.col("value")).alias("cells"))
-    rows = lines.join(heads.select("path", F.col("cells").alias("head")), "path").where((F.col("cells") != F.col("head")) & (F.array_join("cells", "") != ""))
+    width = max(map(len, own))
+    cells = F.array(*[F.coalesce(F.btrim(f"_{i}"), F.lit("")) for i in range(width)])
+    lines = spark.read.schema(", ".join(f"_{i} string" for i in range(width))).csv(paths).select(F.col("_metadata.file_path").alias("path"), cells.alias("cells"))
+    lines = lines.join(heads.where(F.array_contains("cells", column)).withColumnRenamed("cells", "head"), "path")
+    rows = lines.where((F.slice("cells", F.lit(1), F.size("head")) != F.col("head")) & (F.array_join("cells", "") != ""))
     cell = lambda c: F.get("cells", (F.nullif(F.array_position("head", c), F.lit(0)) - 1).cast("int")).try_cast(kinds.get(c, "long"))
     return rows.select(epoch(F.col("path")).alias("Epoch"), *[cell(c).alias(rename.get(c, c)) for c in named])
 
 
-def read_side(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
+def read_side(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of, layouts: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """(Epoch, side keys, codes...) of label or name tables; rows without keys are left out."""
-    df = _by_layout(spark, paths, SIDE_KEYS[0], {}, {}, epoch)
+    df = _by_layout(spark, paths, SIDE_KEYS[0], {}, {}, epoch, layouts)
     return df.where(F.coalesce(*[F.col(k) for k in SIDE_KEYS if k in df.columns]).isNotNull())
 
 
@@ -162,21 +168,19 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return explode_calibration(text.select(F.from_json("value", kind, {"allowComments": "true"}).alias("coef")))
 
 
-def detect_types(files: DataFrame, heads: DataFrame) -> DataFrame:
-    """(type): suffixes of side tables, and tables that have a column of their own name.
+#: The name of a table, which is a file or a folder that Spark wrote.
+TABLE = r"/([^/]+?)\.csv(?:\.gz)?(?:/[^/]*)?$"
 
-    ``heads``: (path, cells), a header row of each file.
-    """
-    side = files.select(F.regexp_extract("name", r"^(?:parameterLabel|dataName)_(.+)$", 1).alias("type"))
-    own = files.join(heads, "path").where(F.array_contains("cells", F.col("name"))).select(F.col("name").alias("type"))
-    found = side.unionByName(own).where(F.col("type") != "")
-    return found.where(~F.col("type").rlike(r"^(map_.*|parameterLabel_.*|dataName_.*)$") & ~F.col("type").isin(*RESERVED)).distinct()
 
+def detect_types(heads: DataFrame) -> DataFrame:
+    """(type): suffixes of side tables, and tables that have a column of their own name.
 
-def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, cells): the lines that hold no number, which headers are."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), _cells(F.col("value")).alias("cells"))
-    return lines.where(~F.exists("cells", lambda c: c.rlike(r"^[-+]?[0-9.]") | (c == "")))
+    ``heads``: (path, cells), the header of each file.
+    """
+    named = heads.select(F.regexp_extract("path", TABLE, 1).alias("name"), "cells")
+    side = F.regexp_extract("name", r"^(?:parameterLabel|dataName)_(.+)$", 1)
+    own = F.array_contains("cells", F.col("name")) & ~F.col("name").startswith("map_") & ~F.col("name").isin(*RESERVED)
+    return named.select(F.when(side != "", side).when(own, F.col("name")).alias("type")).where("type IS NOT NULL").distinct()
 
 
 def archive_lines(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:

@@ -10,6 +10,7 @@ from axisfold.operators.resolve import Catalog
 from axisfold.plans.score import compute_scores
 from axisfold.plans.spec import ScoreFile, ScorePart, Step
 from axisfold.sources import tables
+from axisfold.sources.headers import first_cells, header_index
 from axisfold.streaming.incremental import current, score_stream
 
 HEAD = "InBatchEpoch,Board,Chip,Block,Measure,WL,FBC"
@@ -53,8 +54,43 @@ def test_listing_and_validation(spark, history):
         tables.check_histories(epochs, ["exp/Step1/Loop01", "other"])
     lost = {r["Epoch"]: r["reason"] for r in tables.missing_files(epochs, files, ["FBC", "KLD"], temperatures=True).collect()}
     assert lost == {"exp/Step1/Loop01#0002": "missing: KLD"}
-    heads = tables.first_lines(spark, f"{history}/result.*/*.csv*")
-    assert {r["type"] for r in tables.detect_types(files, heads).collect()} == {"FBC", "KLD"}
+    heads = header_index(spark, f"{history}/result.*/*.csv*")
+    assert {r["type"] for r in tables.detect_types(heads).collect()} == {"FBC", "KLD"}
+
+
+def bytes_read(spark, job) -> int:
+    """Input bytes of all stages that a job ran, by Spark's own count."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def total() -> int:
+        none = jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+    before = total()
+    job()
+    return total() - before
+
+
+def test_quoted_cells_in_several_layouts_and_one_pass(spark, tmp_path):
+    base = tmp_path / "exp" / "Step1" / "Loop01" / "result_history"
+    size = 0
+    for no, head in ((1, '"Board","WL",X'), (2, 'X,"WL",Board'), (3, "\n\nBoard,X")):
+        (base / f"result.{no:04d}").mkdir(parents=True)
+        rows = "".join({1: f'"{i}","{i % 7}",0.5\r\n', 2: f'"1.5",{i % 7},{i}\r\n', 3: f"{i},2\n"}[no] for i in range(20_000))
+        (base / f"result.{no:04d}" / "X.csv").write_text(head + "\n" + rows, newline="")
+        size += (base / f"result.{no:04d}" / "X.csv").stat().st_size
+    (base / "result.0003" / "X.csv.gz").write_bytes(b"")
+    (base / "result.0003" / "X.csv.gz").unlink()
+    read = lambda: tables.read_measurement(spark, f"file://{base}/result.*/X.csv", "X").groupBy("Epoch").agg(F.sum("value").alias("v"), F.sum("Board").alias("b"), F.sum("WL").alias("w"))
+    n, b, w = 20_000, 20_000 * 19_999 / 2, sum(i % 7 for i in range(20_000))
+    assert {tuple(r)[1:] for r in read().collect()} == {(0.5 * n, b, w), (1.5 * n, b, w), (2.0 * n, b, None)}
+    assert bytes_read(spark, lambda: read().collect()) < 1.2 * size
+
+
+def test_first_cells_of_awkward_files():
+    assert first_cells(iter([b"\xef\xbb\xbf\r\n  \n a ,", b'"b,\nc"', b",d\r\n1,2,3\n"])) == ["a", "b,\nc", "d"]
+    assert first_cells(iter([])) == [] and first_cells(iter([b"a,b"])) == ["a", "b"]
 
 
 def test_temperatures(spark, history):
