@@ -22,6 +22,7 @@ from .plans.part import score_part
 from .plans.score import compute_scores
 from .plans.spec import GroupDef, Relative, ScoreFile, ScorePart, Step, file_from, json_with_comments
 from .sources import tables
+from .sources.headers import header_index
 from .sources.history import open_catalog
 from .sources.shared import shared_dir
 from .streaming.incremental import current, score_stream
@@ -768,6 +769,72 @@ def source_measurements(spark, sf_dir):
     return got.groupBy(F.col("Epoch").alias("epoch"), F.col("Line").alias("line")).agg(F.count("*").alias("n"), six(F.sum("value")).alias("total"))
 
 
+def _write_archives(rows: DataFrame, base: str) -> None:
+    """One zip for each epoch, its table in a wrapping directory; rows stream into it in epoch order."""
+    import io
+
+    def run(batches):
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import csv
+        from pyarrow.fs import FileSystem
+
+        now, packed, member, done = None, None, None, 0
+        for b in batches:
+            epochs = b.column(0).to_numpy()
+            cuts = [0, *[i for i in range(1, len(epochs)) if epochs[i] != epochs[i - 1]], len(epochs)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if epochs[lo] != now:
+                    if member is not None:
+                        member.close(), packed.close(), out.close()  # noqa: F821
+                    now, done = epochs[lo], done + 1
+                    system, path = FileSystem.from_uri(f"{_epoch_dir(base, now)}/all.zip")
+                    system.create_dir(path.rsplit("/", 1)[0])
+                    out = system.open_output_stream(path)
+                    packed = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    member = packed.open("wrapped/QTY.csv", "w")
+                    member.write(b"Line,Board,QTY\n")
+                text = io.BytesIO()
+                csv.write_csv(pa.Table.from_batches([b.slice(lo, hi - lo).select([1, 2, 3])]), text, csv.WriteOptions(include_header=False))
+                member.write(text.getvalue())
+        if member is not None:
+            member.close(), packed.close(), out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    rows.repartition("Epoch").sortWithinPartitions("Epoch").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+@query("SELECT 'exp/Step1/Loop01#' || epoch AS epoch, line, count(*) AS n, round(sum(v), 6) AS total FROM b GROUP BY epoch, line")
+def source_archives(spark, sf_dir):
+    """Epochs as archives, and one as a loose gzipped table beside an archive that lacks it."""
+    rows = catalog(spark, sf_dir).measurements["QTY"].select("Epoch", "Line", "Board", F.col("value").alias("QTY"))
+    base = shared_dir(spark)
+    base = base if "://" in base else "file://" + base.removeprefix("file:")
+    _write_archives(rows.where("Epoch <> 1996"), base)
+    rows.where("Epoch = 1996").drop("Epoch").write.option("header", True).option("compression", "gzip").csv(f"{_epoch_dir(base, 1996)}/loose")
+    lines = tables.archive_lines(spark, f"{_epoch_dir(base, 0)[:-5]}.*/all.zip")
+    loose = tables.loose_lines(spark, f"{_epoch_dir(base, 1996)}/loose/*.csv.gz").where("pos > 0")
+    got = tables.measurement_of_lines(lines, "QTY", ["Line"]).select("Epoch", "Line", "value")
+    cells = F.split("line", ",")
+    got = got.unionByName(loose.select("Epoch", cells[0].cast("long").alias("Line"), cells[2].cast("double").alias("value")))
+    return got.groupBy(F.col("Epoch").alias("epoch"), F.col("Line").alias("line")).agg(F.count("*").alias("n"), six(F.sum("value")).alias("total"))
+
+
+@query("SELECT DISTINCT l_returnflag AS type FROM lineitem WHERE l_returnflag <> 'N' UNION SELECT DISTINCT l_linestatus FROM lineitem", base=False)
+def detected_types(spark, sf_dir):
+    """Tables with and without a column of their own name, and side tables, told apart by their first bytes."""
+    line, base = read(spark, sf_dir, "lineitem"), shared_dir(spark)
+    for flag in [r[0] for r in line.select("l_returnflag").distinct().collect()]:
+        named = flag if flag != "N" else "other"
+        line.where(F.col("l_returnflag") == flag).select(F.col("l_linenumber").alias("Line"), F.col("l_quantity").alias(named)).write.option("header", True).csv(f"{_epoch_dir(base, 1)}/{flag}.csv")
+    for state in [r[0] for r in line.select("l_linestatus").distinct().collect()]:
+        line.where(F.col("l_linestatus") == state).select(F.lit(0).alias("InBatchEpoch"), F.col("l_orderkey").alias("Measure")).distinct().write.option("header", True).csv(f"{_epoch_dir(base, 1)}/dataName_{state}.csv")
+    return tables.detect_types(header_index(spark, f"{_epoch_dir(base, 1)}/*.csv"))
+
+
 def _side(spark, sf_dir, file: str, column: str, code: Column) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     rows = orders.select(F.lit(0).alias("InBatchEpoch"), F.lit(0).alias("Board"), F.col("o_orderkey").alias("Measure"), code.alias(column))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fold import VALUE
 from ..operators.lookup import temperature_conflicts as temperature_conflicts
 from ..operators.resolve import SIDE_KEYS
+from .archives import lines_of
 from .headers import header_index
 
 #: exp/StepN/LoopNN/result_history/result.NNNN/file
@@ -184,33 +181,11 @@ def detect_types(heads: DataFrame) -> DataFrame:
 
 
 def archive_lines(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
-    """(Epoch, file, pos, line) of the members of tar and zip epoch archives.
+    """(Epoch, file, pos, line) of the tables in tar and zip epoch archives.
 
     Members with unsafe names are left out; a single wrapping directory goes.
     """
-    packed = spark.read.format("binaryFile").load(paths).select(F.coalesce(epoch(F.col("path")), F.col("path")).alias("Epoch"), "content")
-
-    def members(data: bytes) -> Iterator[tuple[str, bytes]]:
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
-        else:
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                yield from ((m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile())
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for epoch, data in zip(part["Epoch"], part["content"], strict=True):
-                own = [(n.removeprefix("./"), d) for n, d in members(data)]
-                own = [(n, d) for n, d in own if not n.startswith("/") and ".." not in n.split("/")]
-                tops = {n.split("/")[0] for n, _ in own}
-                if len(tops) == 1 and all("/" in n for n, _ in own):
-                    own = [(n.split("/", 1)[1], d) for n, d in own]
-                for name, d in own:
-                    lines = d.decode("utf-8", "replace").splitlines()
-                    yield pd.DataFrame({"Epoch": epoch, "file": name, "pos": range(len(lines)), "line": lines})
-
-    return packed.mapInPandas(run, "Epoch string, file string, pos long, line string")
+    return lines_of(spark, paths, epoch)
 
 
 def measurement_of_lines(lines: DataFrame, type_: str, axes: Sequence[str]) -> DataFrame:
@@ -253,11 +228,7 @@ def temperatures_of_lines(lines: DataFrame, file: str) -> DataFrame:
 
 def loose_lines(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of) -> DataFrame:
     """(Epoch, file, pos, line) of files that lie unpacked in an epoch's directory."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    name = F.regexp_replace(F.regexp_extract("path", r"/([^/]+)$", 1), r"\.gz$", "")
-    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("line")))
-    return whole.select(epoch(F.col("path")).alias("Epoch"), name.alias("file"), F.inline(numbered))
+    return lines_of(spark, paths, epoch)
 
 
 def merged_lines(archived: DataFrame, loose: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from axisfold.operators.resolve import Catalog
 from axisfold.plans.score import compute_scores
 from axisfold.plans.spec import ScoreFile, ScorePart, Step
-from axisfold.sources import tables
+from axisfold.sources import archives, tables
 from axisfold.sources.headers import first_cells, header_index
 from axisfold.streaming.incremental import current, score_stream
 
@@ -150,6 +150,34 @@ def test_archives(spark, tmp_path):
     assert tables.measurement_of_lines(both, "FBC", ["Board"]).where("value = 5").count() == 0
 
 
+def test_archives_of_any_size_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """A tar beyond 2 GB, most of it a hole in a member that is no table; members behind it are found by seeking."""
+    d = tmp_path / "exp" / "Step1" / "Loop01" / "result_history" / "result.0001"
+    d.mkdir(parents=True)
+    text = ("Board,X\n" + "".join(f"{i},{i}\n" for i in range(50_000))).encode()
+    with open(d / "all.tar", "wb") as f:
+        hole = tarfile.TarInfo("wrapped/raw.bin")
+        hole.size = 5 << 29
+        f.write(hole.tobuf())
+        f.seek(hole.size, 1)
+        for name, data in (("wrapped/X.csv", text), ("wrapped/Y.csv.gz", gzip.compress(text))):
+            m = tarfile.TarInfo(name)
+            m.size = len(data)
+            f.write(m.tobuf())
+            f.write(data + bytes(-len(data) % 512))
+        f.write(bytes(1024))
+    monkeypatch.setattr(archives, "PIECE", 10_000)
+    lines = tables.archive_lines(spark, f"file://{d}/all.tar")
+    got = {r["file"]: tuple(r)[1:] for r in lines.groupBy("file").agg(F.count("*"), F.max("pos"), F.count_distinct("pos"), F.min_by("line", "pos"), F.max_by("line", "pos")).collect()}
+    assert got == {n: (50_001, 50_000, 50_001, "Board,X", "49999,49999") for n in ("X.csv", "Y.csv")}
+    assert tables.measurement_of_lines(lines, "X", ["Board"]).agg(F.sum("value")).first()[0] == sum(range(50_000))
+
+
+def test_members_and_their_names():
+    assert archives.safe_names(["./w/a.csv", "w/b.csv.gz", "w/c.txt"]) == {"./w/a.csv": "a.csv", "w/b.csv.gz": "b.csv"}
+    assert archives.safe_names(["a.csv", "w/b.csv", "/c.csv", "w/../../d.csv"]) == {"a.csv": "a.csv", "w/b.csv": "w/b.csv"}
+
+
 def test_stream_gives_the_batch_scores(spark, tmp_path):
     rows = [(f"e{e}", t, b, float(10 * e + b + (t == "B"))) for e in range(4) for t in ("A", "B") for b in (0, 1) if (e, t) != (3, "B")]
     schema = "Epoch string, type string, Board long, value double"
