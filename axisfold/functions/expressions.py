@@ -1,8 +1,9 @@
 """Score expressions: Python expression text turned into a Spark column.
 
-Names are part values; in an ``expr`` fold ``values`` is the list of the group's
-values and ``by[key]`` the value at one axis value.  ``log`` is the decadic
-logarithm, ``ln`` the natural one.
+Names are part values; in an ``expr`` fold ``values`` are the group's values, of which
+the minimum, maximum, mean and sum can be taken, and ``by[key]`` is the value at one
+axis value.  These become aggregates that merge, so that no group is ever a list.
+``log`` is the decadic logarithm, ``ln`` the natural one.
 """
 
 from __future__ import annotations
@@ -64,8 +65,11 @@ _BINARY = {
 _COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 
 
-def to_column(text: str, names: Mapping[str, Column], values: Column | None = None, by: Column | None = None) -> Column:
-    """The expression as a column; null where a name is null or a key of ``by`` is missing."""
+def to_column(text: str, names: Mapping[str, Column], values: Mapping[str, Column] | None = None, by: Callable[[str], Column] | None = None) -> Column:
+    """The expression as a column; null where a name is null or a key of ``by`` is missing.
+
+    ``values`` has the column of each function of all values, ``by`` makes that of a key.
+    """
     try:
         tree = ast.parse(text.strip(), mode="eval").body
     except SyntaxError as e:
@@ -77,14 +81,12 @@ def to_column(text: str, names: Mapping[str, Column], values: Column | None = No
         if isinstance(node, ast.Constant) and isinstance(node.value, int | float):
             return F.lit(float(node.value))
         if isinstance(node, ast.Name):
-            if node.id == "values" and values is not None:
-                return _List(values)
             if node.id in names:
                 return names[node.id]
             raise ExpressionError(f"unknown name {node.id!r} in {text!r}")
         if isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name) and node.value.id == "by" and by is not None and isinstance(node.slice, ast.Constant):
             key = node.slice.value
-            return F.try_element_at(by, F.lit(str(key).lower() if isinstance(key, bool) else str(key)))
+            return by(str(key).lower() if isinstance(key, bool) else str(key))
         if isinstance(node, ast.List | ast.Tuple):
             return _List(F.array(*[of(x) for x in node.elts]))
         if isinstance(node, ast.UnaryOp):
@@ -107,6 +109,10 @@ def to_column(text: str, names: Mapping[str, Column], values: Column | None = No
             return out
         if isinstance(node, ast.IfExp):
             return F.when(of(node.test), of(node.body)).otherwise(of(node.orelse))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and values is not None and [getattr(x, "id", None) for x in node.args] == ["values"]:
+            if node.func.id not in values:
+                raise ExpressionError(f"not a function of all values: {node.func.id!r}")
+            return values[node.func.id]
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in FUNCTIONS and not node.keywords:
             return FUNCTIONS[node.func.id](*[of(x) for x in node.args])
         raise ExpressionError(f"not allowed in an expression: {ast.unparse(node)!r}")

@@ -16,6 +16,8 @@ from ..functions.semantics import NAN, is_bad, nan_min, or_nan
 from ..plans.spec import AGGREGATES, SpecError, Step, axes_of
 
 VALUE = "value"
+#: So many parts of a left side that has no key to meet the right side by.
+SPREAD = 64
 AGGREGATE = {"mean": F.avg, "sum": F.sum, "min": nan_min, "max": F.max}
 
 
@@ -109,24 +111,37 @@ def diff_axis(df: DataFrame, axis: str, minuend, subtrahend, value: str = VALUE,
     return paired(left, right, keys).select(*keys, or_nan(F.col(value) - F.col("_other")).alias(value))
 
 
-def paired(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on the keys; every row with every row where there are none."""
+def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], one: bool = False) -> DataFrame:
+    """Left join on the keys; every row with every row where there are none.
+
+    Without keys a right side of ``one`` row goes to every task; any other is copied
+    once for each of ``SPREAD`` parts of the left, so that no task has all pairs.
+    """
     if keys:
         return left.join(right, list(keys), "left")
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(left).join(one(right), "_one", "left").drop("_one")
+    if one:
+        return left.crossJoin(F.broadcast(right))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SPREAD)).cast("int"))
+    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), "_part", "left").drop("_part")
+
 
+def expr_axis(df: DataFrame, axis: str, expr: str, value: str = VALUE, unique: bool = False) -> DataFrame:
+    """An expression over the group's values; NaN if an axis value repeats or a key is missing.
 
-def expr_axis(df: DataFrame, axis: str, expr: str, value: str = VALUE) -> DataFrame:
-    """An expression over the group's values; NaN if an axis value repeats or a key is missing."""
+    What it asks of the values are aggregates that merge.  Axis values that may repeat
+    are counted by a grouping of their own first, unless they are ``unique``.
+    """
     keys = rest(df, axis, value)
-    got = _grouped(df, keys, F.sort_array(F.collect_list(F.struct(F.col(axis).alias("a"), F.col(value).cast("double").alias("v")))).alias("_rows"))
-    names = F.transform("_rows", lambda r: r["a"].cast("string"))
-    repeats = F.size(F.array_distinct(names)) < F.size(names)
-    known = F.filter("_rows", lambda r: r["a"].isNotNull())
-    by = F.when(~repeats, F.map_from_entries(F.transform(known, lambda r: F.struct(r["a"].cast("string").alias("k"), r["v"].alias("v")))))
-    out = to_column(expr, {}, values=F.transform("_rows", lambda r: or_nan(r["v"])), by=by)
-    got = got.select(*keys, F.when(~repeats & (F.size("_rows") > 0), or_nan(out)).otherwise(F.lit(NAN)).alias(value), F.size("_rows").alias("_n"))
+    v = F.col(value).cast("double")
+    if not unique:
+        df = df.groupBy(*keys, axis).agg(F.first(v).alias(value), (F.count("*") > 1).alias("_again"))
+    known = or_nan(v)
+    values = {"sum": F.sum(known), "mean": F.avg(known), "min": nan_min(known), "max": F.max(known)}
+    by = lambda key: F.max(F.when(F.col(f"`{axis}`").cast("string") == key, v))
+    out = or_nan(to_column(expr, {}, values, by))
+    if not unique:
+        out = F.when(F.max("_again"), F.lit(NAN)).otherwise(out)
+    got = df.groupBy(*keys).agg(out.alias(value), F.count("*").alias("_n")) if keys else df.agg(out.alias(value), F.count("*").alias("_n"))
     return got.where("_n > 0").drop("_n")
 
 
@@ -180,7 +195,8 @@ def apply_step(df: DataFrame, entry: str, step: Step, value: str = VALUE, unique
     if step.op == "diff":
         return diff_axis(df, entry, *wanted, value=value, unique=unique)
     if step.op == "expr":
-        return expr_axis(df, entry, step.expr, value)
+        # fused texts may coincide where their parts differ
+        return expr_axis(df, entry, step.expr, value, unique and "&" not in entry)
     return aggregate_axis(df, entry, step.op, wanted, step.weight, value)
 
 
@@ -189,9 +205,12 @@ def can_fuse(a: Step, b: Step) -> bool:
     return a.op == b.op and a.op in ("sum", "min", "max") and b.value is None and b.weight is None
 
 
-def fold_all(df: DataFrame, order: Sequence[str], steps: Mapping[str, Step], value: str = VALUE) -> DataFrame:
-    """An ordered fold; neighbours of the same sum, min or max share one grouping."""
-    i, folded = 0, False
+def fold_all(df: DataFrame, order: Sequence[str], steps: Mapping[str, Step], value: str = VALUE, unique: bool = False) -> DataFrame:
+    """An ordered fold; neighbours of the same sum, min or max share one grouping.
+
+    ``unique``: no two rows of ``df`` have the same keys, as after a fold.
+    """
+    i, folded = 0, unique
     while i < len(order):
         entry, step = order[i], steps[order[i]]
         j = i + 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fold import apply_step, collapse, fold_all
 from ..operators.lookup import apply_calibration, conflict_failures
-from ..operators.relative import apply_relative
+from ..operators.relative import apply_relative, relative_folded
 from ..operators.resolve import Catalog
 from ..operators.transforms import coverage_failures, resolve_groups, transform, with_groups
 from .spec import CALIBRATE_STEP, CALIBRATED_TYPE, RELATIVE_STEP, GroupDef, ScorePart, SpecError, is_virtual
@@ -32,17 +32,34 @@ def virtual_step(df: DataFrame, catalog: Catalog, part: ScorePart, step: str) ->
     return transform(df, part.steps[step])
 
 
+def pairing_fold(order: list[str], i: int, part: ScorePart) -> int | None:
+    """Where the sum or mean stands that ends what begins at ``i`` with a pairing and filters; None for anything else."""
+    if order[i] != RELATIVE_STEP:
+        return None
+    for j in range(i + 1, len(order)):
+        if is_virtual(order[j]) or "&" in order[j]:
+            return None
+        if part.steps[order[j]].op != "filter":
+            return j if part.steps[order[j]].op in ("sum", "mean") else None
+    return None
+
+
 def folded(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef]) -> DataFrame:
-    """The frame after all steps; folds in a row are planned together."""
-    df, order, i = base_frame(catalog, part, groups), part.effective_order(), 0
+    """The frame after all steps; folds in a row are planned together, a pairing with the sum or mean behind it."""
+    df, order, i, unique = base_frame(catalog, part, groups), part.effective_order(), 0, False
     while i < len(order):
+        at = pairing_fold(order, i, part)
+        if at is not None:
+            filters = [(a, part.steps[a]) for a in order[i + 1 : at]]
+            df, i, unique = relative_folded(df, part.relative, filters, order[at], part.steps[order[at]]), at + 1, True
+            continue
         if is_virtual(order[i]):
-            df, i = virtual_step(df, catalog, part, order[i]), i + 1
+            df, i, unique = virtual_step(df, catalog, part, order[i]), i + 1, False
             continue
         j = i
         while j < len(order) and not is_virtual(order[j]):
             j += 1
-        df, i = fold_all(df, order[i:j], part.steps), j
+        df, i = fold_all(df, order[i:j], part.steps, unique=unique), j
     return df
 
 

@@ -401,6 +401,15 @@ def relative_fan_out(spark, sf_dir):
     return relative.fan_out(df, _pair("ratio")).withColumnRenamed("Epoch", "epoch")
 
 
+@query("""
+SELECT n.epoch, round(avg((n.v + 1) / (d.v + 1)), 6) AS value FROM (SELECT * FROM b WHERE flag = 'R' AND state = 'F') n
+LEFT JOIN (SELECT * FROM b WHERE flag = 'A') d ON n.epoch = d.epoch AND n.line = d.line AND n.state = d.state GROUP BY n.epoch HAVING NOT bool_or(d.v IS NULL)
+""")
+def relative_many_to_many(spark, sf_dir):
+    """Every numerator row meets hundreds of denominator rows; the pairs are never made."""
+    return run(spark, sf_dir, part(("State", Step("filter", "F")), ("Line", MEAN), relative=_pair("ratio", 1.0)))
+
+
 # --- calibration -----------------------------------------------------------------
 
 _KEYS = "SELECT s_suppkey AS board, s_acctbal / 100 AS temp, (SELECT arg_min(n_nationkey, struct_pack(d := abs(n_nationkey * 4.0 - s_acctbal / 100), o := n_nationkey)) FROM nation) AS o FROM supplier"

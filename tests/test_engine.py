@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from axisfold.functions import custom
+from axisfold.functions.expressions import ExpressionError
 from axisfold.operators import fold as fo
 from axisfold.operators import lookup, quality, relative, synth, transforms
 from axisfold.operators.resolve import Catalog
@@ -12,7 +14,7 @@ from axisfold.plans.part import folded, score_part
 from axisfold.plans.score import ScoreError, compute_scores
 from axisfold.plans.spec import GroupDef, Relative, ScoreFile, ScorePart, SpecError, Step, file_from
 
-MEAN, SUM = Step("mean"), Step("sum")
+MEAN, SUM, MAX = Step("mean"), Step("sum"), Step("max")
 NAN = math.nan
 
 
@@ -79,6 +81,63 @@ def test_expr_by_and_values(spark):
     assert got[1] == 12.0 and math.isnan(got[2]) and math.isnan(got[3])
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expr_asks_for_aggregates_only(spark):
+    text = "max(values) - min(values) + sum(values) / mean(values) + by['A'] * (1 if by[1] > 2 else -1)"
+    df = frame(spark, [(1, "A", 2.0), (1, "1", 3.0), (1, None, 5.0), (2, "A", None), (2, "1", 1.0), (3, None, 1.0), (3, None, 1.0), (4, "A", float("nan")), (4, "1", 1.0)], "Epoch int, ax string, value double")
+    for unique in (False, True):
+        made = fo.expr_axis(df.where("Epoch <> 3") if unique else df, "ax", text, unique=unique)
+        assert "collect_list" not in plan_of(made)
+        got = values(made, "Epoch")
+        assert got.pop(1) == 3.0 + 10 / (10 / 3) + 2.0 and all(math.isnan(x) for x in got.values()) and len(got) == 3 - unique
+    with pytest.raises(ExpressionError):
+        fo.expr_axis(df, "ax", "log(values)")
+    with pytest.raises(ExpressionError):
+        fo.expr_axis(df, "ax", "values")
+    total = fo.expr_axis(df.where("Epoch = 1").drop("Epoch"), "ax", "sum(values)")
+    assert total.first()["value"] == 10.0 and fo.expr_axis(df.where("Epoch = 9").drop("Epoch"), "ax", "sum(values)").count() == 0
+
+
+@pytest.mark.parametrize("mode", ["ratio", "diff"])
+@pytest.mark.parametrize("pre", [(), (("b", MEAN),)])
+@pytest.mark.parametrize("step", [MEAN, SUM, Step("mean", [0, 1], weight={"0": 2.0, "1": 0.5})])
+def test_sums_over_pairs_equal_the_pairs(spark, mode, pre, step):
+    """Many partners, none, zeros in the denominator of either sign of numerator, nulls and NaN."""
+    draw = random.Random(7)
+    rows = [(e, draw.choice("nd"), draw.randrange(3), draw.randrange(2), draw.randrange(2), float(draw.randrange(-3, 4))) for e in range(12) for _ in range(draw.randrange(2, 25))]
+    rows += [(20, "n", 0, 0, 0, None), (20, "d", 0, 0, 0, 1.0), (21, "n", 0, 0, 0, 1.0), (21, "d", 0, 0, 0, None), (22, "n", 0, 0, 0, float("nan")), (22, "d", 0, 0, 0, -1.0), (23, "n", 1, 0, 0, 1.0)]
+    df = frame(spark, rows, "Epoch int, side string, a int, b int, c int, value double")
+    cfg = Relative("side", "n", "d", mode, 1.0, pre)
+    filters = [("c", Step("filter", 0))]
+    want = fo.fold_all(relative.apply_relative(df, cfg), ["c", "a", "b"], {"c": filters[0][1], "a": step, "b": MAX})
+    got = fo.fold_all(relative.relative_folded(df, cfg, filters, "a", step), ["b"], {"b": MAX}, unique=True)
+    want, got = values(want, "Epoch"), values(got, "Epoch")
+    assert set(want) == set(got) and any(map(math.isfinite, want.values())) and any(map(math.isnan, want.values()))
+    for e, x in want.items():
+        assert got[e] == pytest.approx(x, nan_ok=True), e
+
+
+def test_pairs_without_a_key(spark):
+    df = frame(spark, [("n", 1.0), ("n", 3.0), ("d", 1.0), ("d", 3.0), ("d", 0.0)], "side string, value double")
+    many = relative.apply_relative(df, Relative("side", "n", "d", "ratio", 1.0))
+    assert sorted(r["value"] for r in many.collect()) == sorted((n + 1) / (d + 1) for n in (1, 3) for d in (1, 3, 0))
+    df = df.withColumn("a", F.lit(0))
+    one = relative.apply_relative(df, Relative("side", "n", "d", "diff", 0.0, (("a", SUM),)))
+    assert sorted(r["value"] for r in one.collect()) == [-3.0, -1.0] and "CartesianProduct" not in plan_of(one)
+    assert relative.relative_folded(df.drop("a").withColumn("k", F.lit(1)), Relative("side", "n", "d", "diff", 0.0, (("k", SUM),)), [], "k", MEAN).first()["value"] == -2.0
+
+
+def test_a_part_with_many_partners_makes_no_pairs(spark):
+    rows = [(1, "n", i % 2, float(i)) for i in range(400)] + [(1, "d", i % 2, float(i)) for i in range(400)]
+    cat = Catalog({"T": frame(spark, rows, "Epoch int, side string, a int, value double")})
+    p = ScorePart("p", "T", ("a",), {"a": MEAN}, Relative("side", "n", "d", "ratio", 1.0)).resolved({}, {})
+    got = values(score_part(cat, p), "Epoch")[1]
+    assert got == pytest.approx(sum((i + 1) / (j + 1) for i in range(400) for j in range(400) if i % 2 == j % 2) / 80_000)
+
+
 def test_weights_are_not_normalised_and_uncovered_is_nan(spark):
     df = frame(spark, [(1, "A", 2.0), (1, "B", 4.0), (2, "C", 1.0)], "Epoch int, ax string, value double")
     got = values(fo.aggregate_axis(df, "ax", "mean", weight={"A": 1, "B": 0.5}), "Epoch")
