@@ -88,7 +88,7 @@ class Catalog:
         if self.epochs is not None:
             return self.epochs
         out = None
-        for m in self.measurements.values():
+        for m in {id(m): m for m in self.measurements.values()}.values():  # a table may have several names
             part = m.select("Epoch")
             out = part if out is None else out.unionByName(part)
         return out.distinct().select("Epoch", F.lit(None).cast("string").alias("History"), F.lit(None).cast("long").alias("EpochNo"))

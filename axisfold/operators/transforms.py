@@ -14,19 +14,24 @@ from .fold import VALUE, weight_of
 _CONSTANT = {"add": lambda v, c: v + c, "sub": lambda v, c: v - c, "mul": lambda v, c: v * c, "div": guarded_div}
 
 
-def transform(df: DataFrame, step: Step, value: str = VALUE) -> DataFrame:
-    """Add, subtract, multiply or divide by a constant (one for all, or one for each
-    value of ``by``; rows of other values become NaN), abs, or floored logarithm."""
-    v = F.col(value).cast("double")
+def transformed(df: DataFrame, v: Column, step: Step) -> Column:
+    """The value ``v`` of a row of ``df`` after a row-wise step."""
+    v = v.cast("double")
     if step.op == "abs":
-        return df.withColumn(value, F.abs(v))
+        return F.abs(v)
     if step.op == "log":
-        return df.withColumn(value, floored_ln(v, step.floor))
+        return floored_ln(v, step.floor)
     if isinstance(step.value, Mapping):
         if step.by not in df.columns:
             raise SpecError(f"axis {step.by} is not there, or already gone")
-        return df.withColumn(value, _CONSTANT[step.op](v, weight_of(df, step.by, step.value)))
-    return df.withColumn(value, _CONSTANT[step.op](v, F.lit(float(step.value))))
+        return _CONSTANT[step.op](v, weight_of(df, step.by, step.value))
+    return _CONSTANT[step.op](v, F.lit(float(step.value)))
+
+
+def transform(df: DataFrame, step: Step, value: str = VALUE) -> DataFrame:
+    """Add, subtract, multiply or divide by a constant (one for all, or one for each
+    value of ``by``; rows of other values become NaN), abs, or floored logarithm."""
+    return df.withColumn(value, transformed(df, F.col(value), step))
 
 
 def uncovered(df: DataFrame, axis: str, keys, identity: list[str] | None = None) -> DataFrame:

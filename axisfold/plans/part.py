@@ -44,9 +44,13 @@ def pairing_fold(order: list[str], i: int, part: ScorePart) -> int | None:
     return None
 
 
-def folded(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef]) -> DataFrame:
-    """The frame after all steps; folds in a row are planned together, a pairing with the sum or mean behind it."""
-    df, order, i, unique = base_frame(catalog, part, groups), part.effective_order(), 0, False
+def folded(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef], start: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """The frame after all steps; folds in a row are planned together, a pairing with the sum or mean behind it.
+
+    ``start`` is the frame behind the first steps, a fold among them, and their number.
+    """
+    df, i = start or (base_frame(catalog, part, groups), 0)
+    order, unique = part.effective_order(), start is not None
     while i < len(order):
         at = pairing_fold(order, i, part)
         if at is not None:

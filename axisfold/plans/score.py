@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.custom import custom_part
 from ..functions.expressions import names_in, to_column
 from ..functions.semantics import is_bad
+from ..operators.fold import collapse
+from ..operators.lookup import conflict_failures
 from ..operators.resolve import Catalog
 from ..operators.synth import dummy_part, fill_missing
-from ..operators.transforms import resolve_groups
+from ..operators.transforms import coverage_failures, resolve_groups
 from ..sources.shared import staged
-from .part import score_part
-from .spec import ScoreFile, SpecError
+from .part import folded
+from .shared import Shared, shared_starts
+from .spec import CALIBRATED_TYPE, ScoreFile, SpecError
 
 
 class ScoreError(RuntimeError):
@@ -68,11 +71,37 @@ def staged_catalogs(catalog: Catalog, file: ScoreFile) -> dict[str, Catalog]:
     return out
 
 
-def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(Epoch, part, value, reason) of all parts, and (Epoch, part) where a dummy stands in."""
-    if stage:
-        file = replace(file, groups=resolve_groups(file.groups, list(catalog.measurements.values()), catalog.counts))
+def refused(catalog: Catalog, file: ScoreFile, known: Shared) -> DataFrame | None:
+    """(Epoch, part, reason) of what must not be scored whatever value comes out: each group and type is looked at once."""
+    out = None
+    asked: dict[tuple[str, str], list[str]] = {}
+    for part in file.resolved_parts():
+        if part.function or part.source_type not in catalog.measurements:
+            continue
+        for name in part.used_groups(file.groups):
+            asked.setdefault((part.source_type, name), []).append(part.name)
+        if part.type == CALIBRATED_TYPE and catalog.temperatures is not None:
+            asked.setdefault((part.source_type, ""), []).append(part.name)
+    for (type_, name), parts in asked.items():
+        if name:
+            g = file.groups[name]
+            rows = known.axes[type_, g.axis] if (type_, g.axis) in known.axes else catalog.resolve(type_, {g.axis})
+            lost = coverage_failures(rows, name, g)
+        else:
+            epochs = known.epochs[type_] if type_ in known.epochs else catalog.measurements[type_].select("Epoch").distinct()
+            lost = conflict_failures(epochs, catalog.temperatures)
+        lost = lost.select("Epoch", F.explode(F.array(*map(F.lit, parts))).alias("part"), F.lit(not name).alias("last"), "reason")
+        out = lost if out is None else out.unionByName(lost)
+    return None if out is None else out.groupBy("Epoch", "part").agg(F.max_by("reason", F.struct("last", "reason")).alias("_refused"))
+
+
+def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False, share: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(Epoch, part, value, reason) of all parts, (Epoch, part) where a dummy stands in, and all epochs where they are known."""
+    parts = file.resolved_parts()
+    used_groups = {n: g for n, g in file.groups.items() if any(n in p.used_groups(file.groups) for p in parts)}
+    file = replace(file, groups=resolve_groups(used_groups, list(catalog.measurements.values()), catalog.counts))
     tables = staged_catalogs(catalog, file) if stage else {}
+    known = shared_starts(catalog, file) if share and not stage else Shared({}, {}, {})
     spark = next(iter(catalog.measurements.values())).sparkSession
     out = used = None
     for part in file.resolved_parts():
@@ -85,10 +114,10 @@ def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False) -> tuple
                 got = epochs.crossJoin(F.broadcast(dummy_part(spark, catalog, part, dummy, file).select("value"))).withColumn("reason", F.lit(None).cast("string"))
                 lacking = epochs
             else:
-                got, lacking = score_part(tables.get(part.name, catalog), part, file.groups), None
+                got, lacking = collapse(folded(tables.get(part.name, catalog), part, part.used_groups(file.groups), known.starts.get(part.name))), None
                 if dummy is not None:
                     # only epochs without the table; an epoch whose rows fail stays failed
-                    has = catalog.measurements[part.source_type].select("Epoch").distinct()
+                    has = known.epochs[part.source_type] if part.source_type in known.epochs else catalog.measurements[part.source_type].select("Epoch").distinct()
                     absent = catalog.epoch_table().select("Epoch").join(has, "Epoch", "left_anti")
                     got, lacking = fill_missing(got, absent, dummy_part(spark, catalog, part, dummy, file))
             if lacking is not None:
@@ -98,24 +127,42 @@ def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False) -> tuple
         out = got if out is None else out.unionByName(got)
     if out is None:
         raise SpecError("a score file needs a part")
-    return out, used
+    lost = refused(catalog, file, known)
+    if lost is not None:
+        out = out.join(lost, ["Epoch", "part"], "full")
+        out = out.select("Epoch", "part", F.when(F.col("_refused").isNull(), F.col("value")).alias("value"), F.coalesce("_refused", "reason").alias("reason"))
+    return out, used, _all_epochs(catalog, known)
+
+
+def _all_epochs(catalog: Catalog, known: Shared) -> DataFrame | None:
+    """The epochs of all tables, if the shared passes have seen them all."""
+    seen = {id(catalog.measurements[t]): e for t, e in known.epochs.items()}
+    if catalog.epochs is not None or any(id(m) not in seen for m in catalog.measurements.values()):
+        return None
+    out = None
+    for e in seen.values():
+        out = e if out is None else out.unionByName(e)
+    return out.distinct().select("Epoch", F.lit(None).cast("string").alias("History"), F.lit(None).cast("long").alias("EpochNo"))
 
 
-def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, persist: bool = False, stage: bool = False) -> Scores:
+def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, persist: bool = False, stage: bool = False, share: bool = True) -> Scores:
     """Every epoch of the catalog, with all parts good in scores, else in failed.
 
     ``persist`` keeps the part values (one row for an epoch and part) for the frames
-    that are made of them, until ``release``.  ``stage`` writes the resolved rows of
-    types that several parts read to the shared folder once, which pays where sources
-    are slow to parse or join.  ``strict`` raises if an epoch fails.
+    that are made of them, until ``release``.  ``share`` runs the first steps of all
+    parts of a type in one pass (``shared``) and writes what they leave, a job of its
+    own.  ``stage`` writes the resolved rows of types that several parts read instead,
+    which pays where sources are slow to parse or join and parts pair rows before they
+    fold.  ``strict`` raises if an epoch fails.
     """
     names = [p.name for p in file.parts]
     if file.expression and (unknown := names_in(file.expression) - set(names)):
         raise SpecError(f"the expression names unknown parts: {sorted(unknown)}")
-    values, used = part_values(catalog, file, stage)
+    values, used, epochs = part_values(catalog, file, stage, share)
     if persist:
         values = values.persist()
-    epochs = catalog.epoch_table().select("Epoch", "History", "EpochNo").dropDuplicates(["Epoch"])
+    epochs = epochs or catalog.epoch_table()
+    epochs = epochs.select("Epoch", "History", "EpochNo").dropDuplicates(["Epoch"])
     by_part = values.groupBy("Epoch").pivot("part", names)
     wide = by_part.agg(F.first("value").alias("v"), F.first("reason").alias("r"))
     wide = epochs.join(wide, "Epoch", "left")
