@@ -95,7 +95,7 @@ def refused(catalog: Catalog, file: ScoreFile, known: Shared) -> DataFrame | Non
     return None if out is None else out.groupBy("Epoch", "part").agg(F.max_by("reason", F.struct("last", "reason")).alias("_refused"))
 
 
-def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False, share: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False, share: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(Epoch, part, value, reason) of all parts, (Epoch, part) where a dummy stands in, and all epochs where they are known."""
     parts = file.resolved_parts()
     used_groups = {n: g for n, g in file.groups.items() if any(n in p.used_groups(file.groups) for p in parts)}
@@ -145,15 +145,15 @@ def _all_epochs(catalog: Catalog, known: Shared) -> DataFrame | None:
     return out.distinct().select("Epoch", F.lit(None).cast("string").alias("History"), F.lit(None).cast("long").alias("EpochNo"))
 
 
-def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, persist: bool = False, stage: bool = False, share: bool = True) -> Scores:
+def compute_scores(catalog: Catalog, file: ScoreFile, strict: bool = False, persist: bool = False, stage: bool = False, share: bool = False) -> Scores:
     """Every epoch of the catalog, with all parts good in scores, else in failed.
 
     ``persist`` keeps the part values (one row for an epoch and part) for the frames
-    that are made of them, until ``release``.  ``share`` runs the first steps of all
-    parts of a type in one pass (``shared``) and writes what they leave, a job of its
-    own.  ``stage`` writes the resolved rows of types that several parts read instead,
-    which pays where sources are slow to parse or join and parts pair rows before they
-    fold.  ``strict`` raises if an epoch fails.
+    that are made of them, until ``release``.  Where sources are slow to parse or join,
+    ``share`` runs the first steps of all parts of a type in one pass (``shared``) and
+    writes what they leave, and ``stage`` writes the resolved rows of types that several
+    parts read.  Over Parquet a scan for each part is faster, since Spark filters and
+    aggregates it in one narrow loop.  ``strict`` raises if an epoch fails.
     """
     names = [p.name for p in file.parts]
     if file.expression and (unknown := names_in(file.expression) - set(names)):

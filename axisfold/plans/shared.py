@@ -110,12 +110,11 @@ def _grouped(df: DataFrame, prefixes: Sequence[Prefix], at: int) -> DataFrame:
 
 def run_together(df: DataFrame, prefixes: Sequence[Prefix]) -> DataFrame:
     """(_tag, Epoch, axes..., value): what every prefix leaves, told apart by its position."""
-    dealt = []
-    for t, p in enumerate(prefixes):
-        kept, v = _level_rows(df, p.levels[0]) if p.levels else (F.lit(True), F.lit(0.0))
-        dealt.append(F.when(kept, F.struct(F.lit(t).alias("_tag"), v.alias(VALUE))))
-    columns = sorted({c for p in prefixes for c in p.alive(1)})
-    got = df.select("Epoch", *columns, F.explode(F.array_compact(F.array(*dealt))).alias("_row")).select("Epoch", *columns, "_row.*")
+    first = [_level_rows(df, p.levels[0]) if p.levels else (F.lit(True), F.col(VALUE)) for p in prefixes]
+    tags = [F.when(kept, F.lit(t)).alias(f"_tag{t}") for t, (kept, _) in enumerate(first)]
+    # one row for each tag that isn't null
+    got = df.select("*", *tags).unpivot(df.columns, [f"_tag{t}" for t in range(len(prefixes))], "_name", "_tag").drop("_name").where("_tag IS NOT NULL")
+    got = got.withColumn(VALUE, _by_tag({t: v for t, (_, v) in enumerate(first)}, F.col(VALUE)))
     got = _grouped(got, prefixes, 1)
     for at in range(2, max(len(p.levels) for p in prefixes) + 1):
         now = {t: _level_rows(got, p.levels[at - 1]) for t, p in enumerate(prefixes) if len(p.levels) >= at}

@@ -506,6 +506,13 @@ def score_config(spark, sf_dir):
     return got.select(F.col("Epoch").alias("epoch"), *[six(c).alias(c.lower()) for c in ("Score", "level", "top", "chosen")])
 
 
+@query(ORACLE_SQL["score_table"], base=False)
+def score_table_shared(spark, sf_dir):
+    """The same scores, the first steps of the parts in one pass."""
+    got = compute_scores(catalog(spark, sf_dir), score_file(), share=True).scores
+    return got.select(F.col("Epoch").alias("epoch"), six("Score").alias("score"), six("ratio").alias("ratio"), six("level").alias("level"), six("span").alias("span"))
+
+
 def _late(spark, sf_dir) -> tuple[Catalog, ScoreFile]:
     cat = catalog(spark, sf_dir)
     late = cat.measurements["QTY"].where("Epoch >= 1998")

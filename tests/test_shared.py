@@ -82,6 +82,6 @@ def test_equal_prefixes_run_once(catalog):
 
 def test_scans_of_a_score_table(spark):
     """Beside the pass that two parts share, only the part that pairs rows reads the table: its two sides."""
-    got = compute_scores(queries.catalog(spark, "/root/testdata/sf0.001"), queries.score_file())
+    got = compute_scores(queries.catalog(spark, "/root/testdata/sf0.001"), queries.score_file(), share=True)
     plan = got.scores._jdf.queryExecution().executedPlan().toString()
     assert sum("lineitem.parquet" in x for x in plan.split("FileScan")[1:]) == 2
