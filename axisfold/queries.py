@@ -9,6 +9,7 @@ board temperatures.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from .sources import tables
 from .sources.headers import header_index
 from .sources.history import open_catalog
 from .sources.shared import shared_dir
-from .streaming.incremental import current, score_stream
+from .streaming.incremental import closed_epochs, current, late_rows, score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -761,6 +762,43 @@ def stream_two_batches(spark, sf_dir):
     return current(spark, out)[0].select(F.col("Epoch").alias("epoch"), six("Score").alias("score"))
 
 
+_DAYS = "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS epoch, date_trunc('day', ts) AS d, event_type, value, user_id % 10 % 2 AS half FROM events), w AS (SELECT max(d) FILTER (WHERE half = 0) - INTERVAL 10 DAY AS w FROM e)"
+
+
+def _closing_stream(spark, sf_dir) -> str:
+    """Three batches: early days, ten later days by which the early ones close, and the other half of all days."""
+    events = read(spark, sf_dir, "events")
+    day = F.date_trunc("day", "ts")
+    rows = events.select(F.date_format("ts", "yyyy-MM-dd").alias("Epoch"), F.col("event_type").alias("type"), (F.col("user_id") % 10).alias("User"), "value", day.alias("day"))
+    reached = rows.where("User % 2 = 0").agg(F.expr("max(day) - INTERVAL 10 DAY").alias("w"))
+    dealt = rows.crossJoin(F.broadcast(reached)).withColumn("part", F.when(F.col("User") % 2 == 1, 2).when(F.col("day") < F.col("w"), 0).otherwise(1)).drop("w")  # one row
+    out = shared_dir(spark)
+    for i in range(3):
+        dealt.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{out}/in/part={i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/part=*")
+    names = ("purchase", "click")
+    file = ScoreFile(tuple(ScorePart(n, n, ("User",), {"User": SUM}) for n in names), "purchase + click")
+
+    def split(df: DataFrame) -> Catalog:
+        return Catalog({n: df.where(F.col("type") == n).select("Epoch", "User", "value") for n in names})
+
+    score_stream(stream, split, file, out, f"{out}/checkpoint", names, "day", timedelta(days=10)).awaitTermination()
+    return out
+
+
+@query(_DAYS + ", k AS (SELECT e.*, d < w AS closed FROM e, w WHERE half = 0 OR d >= w) SELECT epoch, round(sum(value) FILTER (WHERE event_type = 'purchase') + sum(value) FILTER (WHERE event_type = 'click'), 6) AS score, closed FROM k GROUP BY epoch, closed HAVING score IS NOT NULL", base=False)
+def stream_closing(spark, sf_dir):
+    """Scores of open and closed days; what came after a day closed doesn't count."""
+    out = _closing_stream(spark, sf_dir)
+    done = closed_epochs(spark, out).withColumn("closed", F.lit(True))
+    return current(spark, out)[0].join(done, "Epoch", "left").select(F.col("Epoch").alias("epoch"), six("Score").alias("score"), F.coalesce("closed", F.lit(False)).alias("closed"))
+
+
+@query(_DAYS + ' SELECT epoch, count(*) AS "rows" FROM e, w WHERE half = 1 AND d < w GROUP BY epoch', base=False)
+def stream_late_rows(spark, sf_dir):
+    return late_rows(spark, _closing_stream(spark, sf_dir)).withColumnRenamed("Epoch", "epoch")
+
+
 # --- sources and sinks: tables written as the sources expect them, and read back --------
 
 

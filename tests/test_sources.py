@@ -2,6 +2,7 @@ import gzip
 import io
 import tarfile
 import zipfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from axisfold.plans.score import compute_scores
 from axisfold.plans.spec import ScoreFile, ScorePart, Step
 from axisfold.sources import archives, tables
 from axisfold.sources.headers import first_cells, header_index
-from axisfold.streaming.incremental import current, score_stream
+from axisfold.streaming.incremental import current, final, late_rows, score_stream
 
 HEAD = "InBatchEpoch,Board,Chip,Block,Measure,WL,FBC"
 
@@ -178,6 +179,32 @@ def test_members_and_their_names():
     assert archives.safe_names(["a.csv", "w/b.csv", "/c.csv", "w/../../d.csv"]) == {"a.csv": "a.csv", "w/b.csv": "w/b.csv"}
 
 
+def test_epochs_close_and_leave_the_state(spark, tmp_path):
+    """A closes complete, B without a table, C stays open; rows for A and an unseen early epoch come late."""
+    at = lambda day: datetime(2024, 1, day)
+    batches = [
+        [("a", "A", 0, 1.0, at(1)), ("a", "B", 0, 2.0, at(1)), ("b", "A", 0, 5.0, at(2))],
+        [("c", "A", 0, 3.0, at(9)), ("a", "A", 1, 3.0, at(2))],
+        [("a", "A", 0, 100.0, at(1)), ("z", "A", 0, 1.0, at(3)), ("c", "B", 0, 4.0, at(5)), ("d", "B", 0, 4.0, at(9))],
+        [("d", "A", 0, 6.0, at(9))],
+    ]
+    schema = "Epoch string, type string, Board long, value double, day timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    file = ScoreFile(tuple(ScorePart(t, t, ("Board",), {"Board": Step("sum")}) for t in ("A", "B")), "A + B")
+    split = lambda df: Catalog({t: df.where(F.col("type") == t).select("Epoch", "Board", "value") for t in ("A", "B")})
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = str(tmp_path / "out")
+    score_stream(stream, split, file, out, str(tmp_path / "ck"), ("A", "B"), "day", timedelta(days=3)).awaitTermination()
+    scores, failed = current(spark, out)
+    assert {r["Epoch"]: r["Score"] for r in scores.collect()} == {"a": 6.0, "c": 7.0, "d": 10.0}
+    assert {r["Epoch"]: r["reason"] for r in failed.collect()} == {"b": "closed without B"}
+    assert {r["Epoch"]: r["rows"] for r in late_rows(spark, out).collect()} == {"a": 1, "z": 1}
+    assert [r["Epoch"] for r in final(spark, out)[0].collect()] == ["a"] and final(spark, out)[1].count() == 1
+    states = [{r["Epoch"]: r["batches"] for r in spark.read.parquet(f"{out}/state/batch={i}").collect()} for i in range(4)]
+    assert states == [{"a": [0], "b": [0]}, {"c": [1]}, {"c": [1, 2], "d": [2]}, {"c": [1, 2], "d": [2, 3]}]
+
+
 def test_stream_gives_the_batch_scores(spark, tmp_path):
     rows = [(f"e{e}", t, b, float(10 * e + b + (t == "B"))) for e in range(4) for t in ("A", "B") for b in (0, 1) if (e, t) != (3, "B")]
     schema = "Epoch string, type string, Board long, value double"
