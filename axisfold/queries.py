@@ -8,6 +8,7 @@ board temperatures.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -705,6 +706,45 @@ def custom_by_epoch(spark, sf_dir):
     return got.select(F.col("Epoch").alias("epoch"), six().alias("value"), F.col("reason").isNotNull().alias("failed"))
 
 
+class Quantile(custom.Aggregate):
+    """A quantile of whole numbers from counts by value, as a sketch whose states merge."""
+
+    def rows(self, catalog, params):
+        return catalog.measurements[params["type"]].select("Epoch", "value")
+
+    def zero(self, params):
+        return {"at": params["at"], "broken": params.get("broken"), "counts": {}}
+
+    def update(self, state, rows):
+        if rows["Epoch"].iloc[0] == state["broken"]:
+            raise ValueError("broken")
+        for v, n in rows["value"].value_counts().items():
+            state["counts"][v] = state["counts"].get(v, 0) + n
+        return state
+
+    def merge(self, state, other):
+        for v, n in other["counts"].items():
+            state["counts"][v] = state["counts"].get(v, 0) + n
+        return state
+
+    def finish(self, state):
+        left = math.ceil(state["at"] * sum(state["counts"].values()))
+        for v, n in sorted(state["counts"].items()):
+            left -= n
+            if left <= 0:
+                return float(v)
+
+
+custom.register("quantile", Quantile())
+
+
+@query("SELECT epoch, CASE WHEN epoch <> 1996 THEN quantile_disc(v, 0.9) END AS value, epoch = 1996 AS failed FROM b GROUP BY epoch")
+def custom_mergeable(spark, sf_dir):
+    """A user's sketch over whole epochs, of which no task sees more than its own rows."""
+    got = custom.custom_part("quantile", catalog(spark, sf_dir), {"type": "QTY", "at": 0.9, "broken": 1996})
+    return got.select(F.col("Epoch").alias("epoch"), "value", F.col("reason").isNotNull().alias("failed"))
+
+
 _PATHS = "SELECT '/data/exp/Step' || (o_custkey % 3) || '/Loop0' || (o_custkey % 2) || '/result_history/result.' || lpad(CAST(o_custkey % 50 AS VARCHAR), 4, '0') || '/' || o_orderstatus || '.csv' AS path FROM orders"
 
 

@@ -375,3 +375,63 @@ def test_spec_checks(spark, fbc):
         folded(Catalog({"FBC": fbc}), part(["WL", "WL"], {"WL": MEAN}), {})
     read = file_from({"parts": [{"name": "a", "type": "FBC", "order": ["WL"], "aggregations": {"WL": {"op": "mean"}}, "relative": {"split_axis": "s", "numerator_when": True, "denominator_when": False, "denominator_offset": 1, "denominator_pre_aggregation": [{"axis": "WL", "op": "mean"}]}}], "groups": {"G": {"axis": "WL", "groups": {"a": [0, 1]}}}, "expression": "a"})
     assert read.parts[0].relative.denominator_pre_aggregation == (("WL", MEAN),) and read.groups["G"].groups == {"a": (0, 1)}
+
+
+def mean_of_rows(what):
+    # a local class, so that it travels to the tasks by value
+    class Mean(custom.Aggregate):
+        """Sum and number; an epoch whose rows are all below 0 can't be merged."""
+
+        def zero(self, params):
+            return [0.0, 0, 0]
+
+        def update(self, state, rows):
+            return [state[0] + rows["value"].sum(), state[1] + len(rows), max(state[2], len(rows))]
+
+        def merge(self, a, b):
+            if a[0] < 0:
+                raise ValueError("below 0")
+            return [a[0] + b[0], a[1] + b[1], max(a[2], b[2])]
+
+        def finish(self, state):
+            return {"most": state[2]}.get(self.what, state[0] / state[1])
+
+    Mean.what = what
+    return Mean()
+
+
+def test_mergeable_aggregates_see_no_whole_epoch(spark):
+    rows = [("hot", float(i)) for i in range(6000)] + [(f"e{i % 50}", float(i)) for i in range(500)] + [("low", -1.0)] * 40 + [(None, 2.0)] * 3 + [("inf", math.inf)]
+    df = spark.createDataFrame(rows, "Epoch string, value double").repartition(8)
+    got = {r["Epoch"]: (r["value"], r["reason"]) for r in custom.merged_by_epoch(df, mean_of_rows("mean"), {}).collect()}
+    assert len(got) == 54 and got["hot"] == (2999.5, None) and got["e7"] == (232.0, None) and got[None] == (2.0, None)
+    assert got["low"] == (None, "ValueError: below 0") and got["inf"][1].startswith("not a finite number")
+    most = mean_of_rows("most")
+    assert {r["Epoch"]: r["value"] for r in custom.merged_by_epoch(df, most, {}).collect()}["hot"] < 1000
+    assert custom.merged_by_epoch(df.limit(0), most, {}).count() == 0
+
+
+def test_dummies_by_numbers_equal_a_grid(spark):
+    draw, ops = random.Random(4), ("mean", "sum", "min", "max")
+    maps = {a: frame(spark, [(e, i, f"{a}{i}") for e in (1, 2) for i in range(n)], "Epoch int, code int, text string") for a, n in (("a", 3), ("b", 4), ("c", 1))}
+    cat = Catalog({"X": frame(spark, [(1, 5, 1.0), (1, 6, 1.0)], "Epoch int, d int, value double")}, maps=maps)
+    for dummy in (2.5, -2.5) * 6:
+        order, steps = draw.sample("abcd", 4), {}
+        for axis in order:
+            some = [5, 6] if axis == "d" else [f"{axis}{i}" for i in draw.sample(range(4), draw.randrange(1, 4))]
+            op = draw.choice(("filter", *ops))
+            weight = draw.choice([None, 0.5, {str(v): draw.choice([2.0, -1.0]) for v in some}])
+            steps[axis] = Step(op, some if op == "filter" or draw.random() < 0.5 else None, weight=None if op == "filter" else weight)
+        steps[order[-1]] = Step("sum")
+        p = part(order, steps, "Y")
+        got, want = (x.first()["value"] for x in (synth.constant_folded(spark, cat, p, dummy), synth.grid_folded(spark, cat, p, dummy, {})))
+        assert got == pytest.approx(want, nan_ok=True) or got is want is None, p
+
+
+def test_dummies_over_large_axes(spark):
+    big = spark.range(1_000_000).select(F.col("id").alias("code"), F.concat(F.lit("t"), "id").alias("text"))
+    cat = Catalog({"X": frame(spark, [(1, 1.0)], "Epoch int, value double")}, maps={"a": big, "b": big})
+    p = part(["a", "b"], {"a": Step("mean", weight=0.5), "b": SUM}, "Y")
+    assert synth.dummy_part(spark, cat, p, 2.0).first()["value"] == 1e6
+    with pytest.raises(SpecError, match="grid"):
+        synth.dummy_part(spark, cat, part(["a&b"], {"a&b": MEAN}, "Y"), 2.0)
