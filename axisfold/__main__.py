@@ -11,6 +11,7 @@ import importlib.util
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from .functions.custom import register
@@ -18,7 +19,7 @@ from .operators.quality import failed_causes
 from .plans.score import ScoreError, compute_scores
 from .plans.spec import CALIBRATED_TYPE, file_from, json_with_comments
 from .sources.history import open_catalog
-from .sources.tables import write_failed, write_scores
+from .sources.tables import replace_epochs, write_failed, write_scores
 
 #: The axis counts that a generation file declares.
 COUNT_KEYS = {"WL": "numWLs", "STR": "numStrings"}
@@ -29,6 +30,16 @@ def read_json(spark: SparkSession, path: str):
     return json_with_comments(spark.read.text(path, wholetext=True).first()[0])
 
 
+def generation_info(spark: SparkSession, data_dir: str | None, generation: str | None) -> dict:
+    """What {generation}.json in the epoch's directory declares, if it is there."""
+    if data_dir is None or not generation:
+        return {}
+    try:
+        return read_json(spark, f"{data_dir.rstrip('/')}/{generation}.json")
+    except AnalysisException:  # no such file
+        return {}
+
+
 def load_functions(path: str) -> None:
     """Register the public functions (catalog, params) of a Python file."""
     spec = importlib.util.spec_from_file_location("user_parts", path)
@@ -56,8 +67,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     where = parser.add_mutually_exclusive_group(required=True)
     where.add_argument("--data-dir", help="the directory of one epoch")
     where.add_argument("--history", action="append", help="a result_history directory, or label=path; may be repeated")
-    parser.add_argument("--out", help="folder for the scores of histories; failed epochs go to {out}.failed")
+    parser.add_argument("--out", help="folder for the scores of histories; failed epochs go to {out}.failed, dummies to {out}.dummy")
     parser.add_argument("--format", default="csv", choices=["csv", "parquet", "json"])
+    parser.add_argument("--by-epoch", action="store_true", help="write Parquet by epoch; a run again replaces its own epochs")
     parser.add_argument("--dvtbudget-coef", help="calibration coefficients, JSON")
     parser.add_argument("--initial-temperature", help="board temperatures for all epochs")
     parser.add_argument("--custom-parts", help="Python file of functions (catalog, params) -> DataFrame(Epoch, value)")
@@ -74,7 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         parser.error(f"parts of type {CALIBRATED_TYPE} need --dvtbudget-coef")
     if args.custom_parts:
         load_functions(args.custom_parts)
-    info = read_json(spark, args.generation_info) if args.generation_info else {}
+    info = read_json(spark, args.generation_info) if args.generation_info else generation_info(spark, args.data_dir, config.get("Generation"))
     counts = {a: int(info[k]) for a, k in COUNT_KEYS.items() if k in info}
     for key in sorted(set(file.thresholds) - {p.name for p in file.parts}):
         print(f"warning: the threshold {key} matches no part", file=sys.stderr)
@@ -94,14 +106,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if args.data_dir is not None:
             row = got.scores.drop("Epoch", "History", "EpochNo").first()
             print(json.dumps(row.asDict()))
+            for r in got.dummy_used.orderBy("part").collect():  # of one epoch
+                print(f"note: {r['part']} has a dummy value, no table was there", file=sys.stderr)
         else:
-            write_scores(got.scores, args.out, args.format)
+            if args.by_epoch:
+                replace_epochs(got.scores, args.out)
+            else:
+                write_scores(got.scores, args.out, args.format)
+            if not got.dummy_used.isEmpty():
+                write_failed(got.dummy_used, f"{args.out}.dummy")
             if not got.failed.isEmpty():
                 write_failed(got.failed, f"{args.out}.failed")
                 if args.explain:
                     write_failed(failed_causes(catalog, file, got.failed), f"{args.out}.causes")
-        for r in got.dummy_used.orderBy("Epoch", "part").limit(20).collect():
-            print(f"note: {r['Epoch']}: {r['part']} has a dummy value, no table was there", file=sys.stderr)
         got.release()
     except ScoreError as e:
         raise SystemExit(f"error: {e}") from e

@@ -1021,6 +1021,17 @@ def sink_scores_json(spark, sf_dir):
     return got.select(F.col("r.Epoch").alias("epoch"), six("r.Score").alias("score"), six("r.level").alias("level"))
 
 
+@query("SELECT epoch, round(avg(CASE WHEN epoch = 1996 THEN v + 1 ELSE v END), 6) AS level FROM b GROUP BY epoch")
+def sink_by_epoch(spark, sf_dir):
+    """All epochs written, then one of them again with other values: it is replaced, the others stay."""
+    cat, path = catalog(spark, sf_dir), shared_dir(spark)
+    rows = cat.measurements["QTY"]
+    file = ScoreFile((ScorePart("level", "QTY", ("Line",), {"Line": MEAN}),))
+    tables.replace_epochs(compute_scores(Catalog({"QTY": rows}), file).scores, path)
+    tables.replace_epochs(compute_scores(Catalog({"QTY": rows.where("Epoch = 1996").withColumn("value", F.col("value") + 1)}), file).scores, path)
+    return spark.read.parquet(path).select(F.col("Epoch").cast("int").alias("epoch"), six("level").alias("level"))
+
+
 @query("SELECT DISTINCT epoch, 'p: no rows' AS reason FROM b")
 def sink_failed(spark, sf_dir):
     p, path = ScorePart("p", "QTY", ("Flag", "Line"), {"Flag": Step("filter", "X"), "Line": MEAN}), shared_dir(spark)

@@ -242,6 +242,14 @@ def write_scores(scores: DataFrame, path: str, format_: str = "csv", mode: str =
     ordered.write.mode(mode).format(format_).option("header", True).save(path)
 
 
+def replace_epochs(results: DataFrame, path: str) -> None:
+    """Results by epoch, as Parquet; a run again replaces the epochs that it has, and no others.
+
+    An epoch is replaced as a whole, so what is read back has each epoch once.
+    """
+    results.write.partitionBy("Epoch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def write_failed(failed: DataFrame, path: str, mode: str = "errorifexists") -> None:
     failed.orderBy("Epoch").write.mode(mode).option("header", True).csv(path)
 

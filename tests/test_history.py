@@ -8,7 +8,7 @@ from statistics import mean
 
 import pytest
 
-from axisfold.__main__ import histories_of, main
+from axisfold.__main__ import generation_info, histories_of, main
 from axisfold.plans.score import compute_scores
 from axisfold.plans.spec import SpecError, file_from, json_with_comments
 from axisfold.sources.history import open_catalog
@@ -114,6 +114,14 @@ def test_command_line(spark, made, capsys, tmp_path):
     main(["--config", f"file://{base}/run.jsonc", "--history", f"mine=file://{root}", "--out", f"file://{tmp_path}/scores"], spark)
     got = spark.read.option("header", True).csv(f"file://{tmp_path}/scores").collect()
     assert [r["Epoch"] for r in sorted(got, key=lambda r: r["Epoch"])] == ["mine#0001", "mine#0002"]
+    dummies = spark.read.option("header", True).csv(f"file://{tmp_path}/scores.dummy").collect()
+    assert [tuple(r) for r in dummies] == [("mine#0002", "kld")]
+    for _ in (1, 2):
+        main(["--config", f"file://{base}/run.jsonc", "--history", f"mine=file://{root}", "--out", f"file://{tmp_path}/again{_}", "--by-epoch"], spark)
+    assert spark.read.parquet(f"file://{tmp_path}/again1").count() == 2
+    (root / "result.0001" / "B9LS.json").write_text('{"numWLs": 4}')
+    assert generation_info(spark, f"file://{root}/result.0001", "B9LS") == {"numWLs": 4} and generation_info(spark, f"file://{root}", "B9LS") == {}
+    (root / "result.0001" / "B9LS.json").unlink()
     with pytest.raises(SystemExit):
         histories_of(["a=x", "y"])
     with pytest.raises(SystemExit):
