@@ -1,9 +1,16 @@
 """Toxicity by nearest labelled examples with exact TF-IDF cosine.
 
-A bounded sample of labelled documents is turned into TF-IDF vectors over all words
-that at least ``MIN_EXAMPLES`` of them hold; a word's IDF is multiplied by how many
-standard deviations its toxic examples are away from those that chance would give
-it, so that what tells the labels apart weighs more.  The vectors form an inverted
+A bounded sample of labelled documents is dealt into three folds by a hash of the text,
+and there is one model for each fold, which scores the texts of that fold and never
+saw their labels: the next fold tells how much words weigh, that and the one after it
+are the examples, and the votes among the last one's texts fit the curve.  So a text's
+own label is no part of its score in any way, and the curve is fitted to texts whose
+labels are no part of the weights either.
+
+The examples of a model are TF-IDF vectors over all words that at least
+``MIN_EXAMPLES`` of them hold; a word's IDF is multiplied by how many standard
+deviations its toxic examples in the fold of weights are away from those that chance
+would give it, so that what tells the labels apart weighs more.  The vectors form an inverted
 index whose postings lie in blocks of examples; for every word and block it keeps
 the largest weight.  A document sums these maxima into a bound for each block, looks
 into the blocks of the highest bounds, and then into every other block whose bound
@@ -11,18 +18,15 @@ reaches the k-th best cosine so far, so the neighbours are exact.  Neighbours vo
 their cosine; a logistic curve turns the vote into a probability.  The neighbours'
 ids are the evidence.
 
-An example whose text is the document's own is no neighbour of it, so a labelled
-document's own label is never part of its score; the curve is fitted to the votes
-that the examples get in the same way.
-
 Words are runs of letters, digits and non-ASCII characters; A-Z count as a-z.
 Words that no two examples hold are left out of all vectors and their lengths.
 
 Defined cases: a null, empty or wordless text has no neighbours and gets the
 calibrated score of an undecided vote, the share of toxic examples; labels that
 repeat, or stand with several documents of one text, count as toxic if any says so;
-ties among neighbours go by a hash of the text; without examples every score is 0;
-repeated rows are scored alike; a null doc_id is never an example and counts as not
+many texts under one doc_id are examples of their own, those of least hash up to the
+bound; ties among neighbours go by a hash of the text; a model without examples gives
+0; repeated rows are scored alike; a null doc_id is never an example and counts as not
 held out; extra columns are ignored.
 """
 
@@ -42,7 +46,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 #: At most so many labelled documents become examples, those of lowest hash.
-MAX_EXAMPLES = 4_000
+MAX_EXAMPLES = 6_000
+FOLDS = 3
 MIN_EXAMPLES = 2
 NEIGHBOURS = 15
 BLOCK = 32
@@ -162,13 +167,29 @@ def vector(text: str | None, vocabulary: dict[bytes, int], weight: np.ndarray) -
     return at, w / math.sqrt(float(w @ w))
 
 
-def word_weights(n: int, positive: int, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """IDF times the distance of the toxic examples from their expected number, in its standard deviations."""
+def word_weights(n: int, df: np.ndarray, told: tuple[int, int], told_df: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """IDF in n examples, times the distance of the toxic ones from their expected number, in its standard deviations.
+
+    ``told``, the number of examples and of toxic ones, ``told_df`` and ``hits`` are of the fold of weights.
+    """
     idf = np.log(1 + n / df)
-    if positive in (0, n):
+    if told[1] in (0, told[0]):
         return idf
-    expected = df * (positive / n)
-    return idf * np.maximum(np.abs(hits - expected) / np.sqrt(expected), 1e-3)
+    expected = told_df * (told[1] / told[0])
+    return idf * np.maximum(np.abs(hits - expected) / np.sqrt(np.maximum(expected, 1e-9)), 1e-3)
+
+
+@dataclass
+class Models:
+    """One index for each fold of texts."""
+
+    of_fold: list[Index]
+
+    def of(self, text: str | None) -> Index:
+        return self.of_fold[body_of(text) % FOLDS]
+
+    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        return self.of(text).score(text)
 
 
 def built(vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> Index:
@@ -188,49 +209,73 @@ def built(vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple
     return Index(vocabulary, weight, ids, bodies, labels, of_word, block[begins], block_max, np.append(begins, len(words)), example, value)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """The index of a bounded sample of labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Models:
+    """The models of a bounded sample of labelled documents outside the held-out fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by max_examples
     found = checkpointed(found.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").cast("long").alias("doc_id")))
+    least = found.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(max_examples)
+    found = found.join(F.broadcast(least), F.xxhash64("text") == F.col("h"), "left_semi")  # bounded by max_examples
+    spark = found.sparkSession
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(y, t) for y, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for t in set(terms(text.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.binary())], names=["toxic", "term"])
+            rows = [(body_of(text.as_py()) % FOLDS, y, t) for y, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for t in set(terms(text.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["fold", "toxic", "term"])
 
-    n, positive = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    by_term = found.select("toxic", "text").mapInArrow(distinct, "toxic int, term binary").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
-    rows = by_term.where(F.col("df") >= MIN_EXAMPLES).orderBy("term").toPandas()  # bounded by the words of the examples
-    vocabulary = {bytes(t): i for i, t in enumerate(rows["term"])}
-    weight = word_weights(n, positive, rows["df"].to_numpy(dtype=float), rows["hits"].to_numpy(dtype=float))
-    words = found.sparkSession.sparkContext.broadcast((vocabulary, weight))
+    # by term, its examples and toxic examples in each fold
+    counts = [F.count_if(F.col("fold") == k).alias(f"df{k}") for k in range(FOLDS)] + [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("toxic"))), F.lit(0)).alias(f"hits{k}") for k in range(FOLDS)]
+    by_term = found.select("toxic", "text").mapInArrow(distinct, "fold int, toxic int, term binary").groupBy("term").agg(*counts)
+    rows = by_term.where(" + ".join(f"df{k}" for k in range(FOLDS)) + f" >= {MIN_EXAMPLES}").orderBy("term").toPandas()  # bounded by the words of the examples
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [vector(t.as_py(), *words.value) for t in b.column(2)]
-            cols = [b.column(0), pa.array([body_of(t.as_py()) for t in b.column(2)], pa.int64()), b.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "body", "toxic", "at", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([body_of(t.as_py()) % FOLDS for t in b.column(1)], pa.int32()), b.column(0)], names=["fold", "toxic"])
+
+    sizes = {k: (0, 0) for k in range(FOLDS)} | {r["fold"]: (r["n"], r["p"]) for r in found.select("toxic", "text").mapInArrow(folds, "fold int, toxic int").groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).collect()}
+    words: list[tuple[dict[bytes, int], np.ndarray]] = []
+    for k in range(FOLDS):
+        a, z = (k + 1) % FOLDS, (k + 2) % FOLDS
+        df = (rows[f"df{a}"] + rows[f"df{z}"]).to_numpy(dtype=float)
+        own = np.nonzero(df >= MIN_EXAMPLES)[0]
+        vocabulary = {bytes(t): i for i, t in enumerate(rows["term"].iloc[own])}
+        words.append((vocabulary, word_weights(sizes[a][0] + sizes[z][0], df[own], sizes[a], rows[f"df{a}"].to_numpy(dtype=float)[own], rows[f"hits{a}"].to_numpy(dtype=float)[own])))
+    sent_words = spark.sparkContext.broadcast(words)
 
-    packed = found.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, body long, toxic int, at binary, w binary").collect()
-    index = built(vocabulary, weight, [(r["doc_id"], r["body"], r["toxic"], np.frombuffer(r["at"], dtype=np.int64), np.frombuffer(r["w"])) for r in packed])
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                body = body_of(text.as_py())
+                for k in range(FOLDS):
+                    if body % FOLDS != k:
+                        at, w = vector(text.as_py(), *sent_words.value[k])
+                        out.append((k, doc, body, toxic, at.tobytes(), w.tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["model", "doc_id", "body", "toxic", "at", "w"])
+
+    packed = found.select("doc_id", "toxic", "text").mapInArrow(vectors, "model int, doc_id long, body long, toxic int, at binary, w binary").collect()  # bounded by max_examples
+    examples = [[(r["doc_id"], r["body"], r["toxic"], np.frombuffer(r["at"], dtype=np.int64), np.frombuffer(r["w"])) for r in packed if r["model"] == k] for k in range(FOLDS)]
+    models = Models([built(*words[k], examples[k]) for k in range(FOLDS)])
     if packed:
-        sent = found.sparkSession.sparkContext.broadcast(index)
+        sent = spark.sparkContext.broadcast(models)
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = sent.value
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.vote(own.neighbours(t.as_py())) for t in b.column(1)], pa.float64())], names=["toxic", "vote"])
+                models_of = [(body_of(t.as_py()) - 2) % FOLDS for t in b.column(1)]
+                made = [own.vote(own.neighbours(t.as_py())) for k, t in zip(models_of, b.column(1), strict=True) if (own := sent.value.of_fold[k])]
+                yield pa.RecordBatch.from_arrays([pa.array(models_of, pa.int32()), b.column(0), pa.array(made, pa.float64())], names=["model", "toxic", "vote"])
 
-        got = found.select("toxic", "text").mapInArrow(votes, "toxic int, vote double").orderBy("vote", "toxic").toPandas()
-        index.calibrate(got["vote"].to_numpy(), got["toxic"].to_numpy())
-    return index
+        got = found.select("toxic", "text").mapInArrow(votes, "model int, toxic int, vote double").orderBy("model", "vote", "toxic").toPandas()
+        for k, own in got.groupby("model"):
+            models.of_fold[k].calibrate(own["vote"].to_numpy(), own["toxic"].to_numpy())
+    return models
 
 
-def scored(docs: DataFrame, index: Index) -> DataFrame:
+def scored(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples) and their cosines."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the texts of max_examples examples
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the texts of max_examples examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

@@ -399,45 +399,67 @@ def test_toxicity_on_held_out_labels(spark):
 def test_block_max_search_is_exact(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
-    index = toxicity.fit(docs, labels)
+    models = toxicity.fit(docs, labels)
     word = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower() if (t or "").isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     known = {}
     for r in labels.where("toxic IS NOT NULL").collect():
         if zlib.crc32(str(r["doc_id"]).encode()) % 5:
             known[texts[r["doc_id"]]] = max(known.get(texts[r["doc_id"]], 0), r["toxic"])
-    n, positive = len(known), sum(known.values())
-    df = collections.Counter(w for t in known for w in set(word(t)))
-    hits = collections.Counter(w for t, y in known.items() if y for w in set(word(t)))
-
-    def vector(text):
-        counts, out = collections.Counter(word(text)), {}
-        for w, c in counts.items():
-            if df[w] >= 2:
-                e = df[w] * positive / n
-                out[w] = (1 + math.log(c)) * math.log(1 + n / df[w]) * max(abs(hits[w] - e) / math.sqrt(e), 1e-3)
-        size = math.sqrt(sum(x * x for x in out.values()))
-        return {w: x / size for w, x in out.items()}
-
-    vectors = [(t, vector(t)) for t in known]
+    fold = lambda t: toxicity.body_of(t) % 3
+
+    def model(k):
+        """Vectors of a model's examples, and the way to make one."""
+        told = {t: y for t, y in known.items() if fold(t) == (k + 1) % 3}
+        mine = {t: y for t, y in known.items() if fold(t) != k}
+        df, told_df = (collections.Counter(w for t in x for w in set(word(t))) for x in (mine, told))
+        hits, share = collections.Counter(w for t, y in told.items() if y for w in set(word(t))), sum(told.values()) / len(told)
+
+        def vector(text):
+            counts, out = collections.Counter(word(text)), {}
+            for w, c in counts.items():
+                if df[w] >= 2:
+                    e = told_df[w] * share
+                    out[w] = (1 + math.log(c)) * math.log(1 + len(mine) / df[w]) * max(abs(hits[w] - e) / math.sqrt(max(e, 1e-9)), 1e-3)
+            size = math.sqrt(sum(x * x for x in out.values()))
+            return {w: x / size for w, x in out.items()}
+
+        return vector, [(t, vector(t)) for t in mine]
+
+    by_fold = [model(k) for k in range(3)]
     for d in sorted(texts)[:120]:
-        own = vector(texts[d])
-        want = sorted((sum(x * v.get(w, 0.0) for w, x in own.items()) for t, v in vectors if t != texts[d]), reverse=True)[: toxicity.NEIGHBOURS]
+        vector, vectors = by_fold[fold(texts[d])]
+        own, index = vector(texts[d]), models.of(texts[d])
+        want = sorted((sum(x * v.get(w, 0.0) for w, x in own.items()) for t, v in vectors), reverse=True)[: toxicity.NEIGHBOURS]
         got = index.neighbours(texts[d])
         assert [c for c, _ in got] == pytest.approx([c for c in want if c > 1e-9], abs=1e-9)
-        assert all(texts[int(index.ids[i])] != texts[d] and index.labels[i] == known[texts[int(index.ids[i])]] for _, i in got)
+        assert all(fold(texts[int(index.ids[i])]) != fold(texts[d]) and index.labels[i] == known[texts[int(index.ids[i])]] for _, i in got)
 
 
-def test_labels_of_a_text_are_not_used_for_it(spark):
+def _made_labels(spark):
     rows = [(i, f"word{i % 7} other{i % 3} thing{i % 5} {'bad' if i % 4 == 0 else 'fine'} end{i}") for i in range(1, 60)]
     docs = spark.createDataFrame(rows + [(100 + i, t) for i, t in rows[:20]], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    index = toxicity.fit(docs, labels)
-    texts = dict(rows)
-    for i, t in rows:
-        assert all(texts[int(index.ids[k])] != t for _, k in index.neighbours(t))
-    got = by_id(toxicity.scored(docs, index), "score")
+    return rows, docs, {i: int(i % 4 == 0) for i, _ in rows}
+
+
+def _scores(spark, docs, labels):
+    return by_id(toxicity.scored(docs, toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))), "score")
+
+
+def test_labels_of_a_text_are_not_used_for_it(spark):
+    """Its score stays exactly as it is when its own label, and nothing else, is turned; the scores of others move."""
+    rows, docs, labels = _made_labels(spark)
+    got = _scores(spark, docs, labels)
     assert all(got[i] == got[100 + i] for i, _ in rows[:20])
+    for i in (4, 5, 8, 21):
+        turned = _scores(spark, docs, labels | {i: 1 - labels[i]})
+        assert turned[i] == got[i] and any(turned[k] != got[k] for k in got)
+
+
+def test_many_texts_of_one_id_are_bounded(spark):
+    docs = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("same words and "), (F.col("id") % 300).cast("string")).alias("text"))
+    models = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), max_examples=50)
+    assert sum(len(m.ids) for m in models.of_fold) == 2 * 50
 
 
 def test_language_of_labelled_rows(spark):
