@@ -76,48 +76,61 @@ def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Index:
-    """Examples, and for each word its entries, one a block, with the largest weight and the postings of the block."""
+class Models:
+    """Examples, and for each word its entries, one a block, with the largest weight in each model and the postings of the block.
+
+    The models share the postings, which hold how often a word stands in an example; a
+    model has weights of words, and lengths of examples, of its own.
+    """
 
     vocabulary: dict[bytes, int]
-    weight: np.ndarray
+    weight: np.ndarray  # by model and word, 0 for words that it doesn't know
     ids: np.ndarray
     bodies: np.ndarray
     labels: np.ndarray
     of_word: np.ndarray  # where each word's entries begin
     block: np.ndarray
-    block_max: np.ndarray
     of_entry: np.ndarray  # where each entry's postings begin
     example: np.ndarray
-    value: np.ndarray
-    slope: float = 1.0
-    shift: float = 0.0
-
-    @property
-    def prior(self) -> float:
-        return float(self.labels.mean()) if len(self.labels) else 0.0
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers and unit-length TF-IDF weights of a text."""
-        return vector(text, self.vocabulary, self.weight)
-
-    def neighbours(self, text: str | None) -> list[tuple[float, int]]:
-        """The nearest examples of other texts as (cosine, position), nearest first; none of cosine 0."""
-        at, w = self.vector(text)
+    tf: np.ndarray
+    scale: np.ndarray  # by model and example, 1 over its length; 0 for examples of the model's own fold
+    block_max: np.ndarray  # by model and entry
+    slope: list[float]
+    shift: list[float]
+
+    def prior(self, k: int) -> float:
+        own = self.labels[self.bodies % FOLDS != k]
+        return float(own.mean()) if len(own) else 0.0
+
+    def vector(self, text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and unit-length TF-IDF weights of a text in a model."""
+        at, counts = counted(text, self.vocabulary)
+        w = (1 + np.log(counts)) * self.weight[k][at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def neighbours(self, text: str | None, k: int | None = None) -> list[tuple[float, int]]:
+        """The nearest examples of other texts as (cosine, position), nearest first; none of cosine 0.
+
+        ``k`` is the model, by default that of the text's own fold.
+        """
+        body = body_of(text)
+        k = body % FOLDS if k is None else k
+        at, w = self.vector(text, k)
         if not len(at) or not len(self.ids):
             return []
         size = self.of_word[at + 1] - self.of_word[at]
-        entries, w = ranges(self.of_word[at], self.of_word[at + 1]), np.repeat(w, size)
+        entries, words = ranges(self.of_word[at], self.of_word[at + 1]), np.repeat(w, size)
         blocks = self.block[entries]
-        bounds = np.bincount(blocks, w * self.block_max[entries], minlength=-(-len(self.ids) // BLOCK))
-        scores, own = np.zeros(len(self.ids)), self.bodies == body_of(text)
+        bounds = np.bincount(blocks, words * self.block_max[k][entries], minlength=-(-len(self.ids) // BLOCK))
+        words = words * np.repeat(self.weight[k][at], size)
+        scores, scale = np.zeros(len(self.ids)), np.where(self.bodies == body, 0.0, self.scale[k])
 
         def look(chosen: np.ndarray) -> None:
             inside = chosen[blocks]
             begin, end = self.of_entry[entries[inside]], self.of_entry[entries[inside] + 1]
             p = ranges(begin, end)
-            scores[:] += np.bincount(self.example[p], self.value[p] * np.repeat(w[inside], end - begin), minlength=len(scores))
-            scores[own] = 0.0
+            scores[:] += np.bincount(self.example[p], self.tf[p] * np.repeat(words[inside], end - begin), minlength=len(scores)) * scale
 
         first = np.zeros(len(bounds), dtype=bool)
         first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
@@ -130,15 +143,15 @@ class Index:
         near = near[np.lexsort((self.bodies[near], -scores[near]))][:NEIGHBOURS]
         return list(zip(scores[near].tolist(), near.tolist(), strict=True))
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, near: list[tuple[float, int]], k: int) -> float:
         """The log odds of toxicity by the neighbours, each as much as the square of its cosine."""
         weight = sum(c * c for c, _ in near)
         toxic = sum(c * c * self.labels[i] for c, i in near)
-        p = min(max((toxic + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT), 1e-6), 1 - 1e-6)
+        p = min(max((toxic + PRIOR_WEIGHT * self.prior(k)) / (weight + PRIOR_WEIGHT), 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Fit the logistic curve from votes to labels."""
+    def calibrate(self, k: int, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fit a model's logistic curve from votes to labels."""
         y, theta = labels.astype(float), np.array([1.0, 0.0])
         x = np.stack([votes, np.ones(len(votes))], axis=1)
         for _ in range(50):
@@ -147,24 +160,23 @@ class Index:
             theta = theta + step
             if np.abs(step).max() < 1e-8:
                 break
-        self.slope, self.shift = float(theta[0]), float(theta[1])
+        self.slope[k], self.shift[k] = float(theta[0]), float(theta[1])
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        if not len(self.ids):
+        k = body_of(text) % FOLDS
+        if not self.scale[k].any():
             return 0.0, [], []
         near = self.neighbours(text)
-        z = self.slope * self.vote(near) + self.shift
+        z = self.slope[k] * self.vote(near, k) + self.shift[k]
         return 1 / (1 + math.exp(-z)), [int(self.ids[i]) for _, i in near[:5]], [c for c, _ in near[:5]]
 
 
-def vector(text: str | None, vocabulary: dict[bytes, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted(text: str | None, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's words, in order, and how often each stands in it."""
     find = vocabulary.get
     counts = Counter(t for t in map(find, terms(text)) if t is not None)
-    if not counts:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    at = np.array(sorted(counts))
-    w = (1 + np.log([counts[t] for t in at.tolist()])) * weight[at]
-    return at, w / math.sqrt(float(w @ w))
+    at = np.array(sorted(counts), dtype=np.int64)
+    return at, np.array([counts[t] for t in at.tolist()], dtype=np.float64)
 
 
 def word_weights(n: int, df: np.ndarray, told: tuple[int, int], told_df: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -179,34 +191,26 @@ def word_weights(n: int, df: np.ndarray, told: tuple[int, int], told_df: np.ndar
     return idf * np.maximum(np.abs(hits - expected) / np.sqrt(np.maximum(expected, 1e-9)), 1e-3)
 
 
-@dataclass
-class Models:
-    """One index for each fold of texts."""
-
-    of_fold: list[Index]
-
-    def of(self, text: str | None) -> Index:
-        return self.of_fold[body_of(text) % FOLDS]
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        return self.of(text).score(text)
-
-
-def built(vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> Index:
-    """The index of examples (doc_id, body, label, words, weights)."""
+def built(vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> Models:
+    """The models of examples (doc_id, body, label, words, counts)."""
+    leading = weight.sum(axis=0)
     # examples with the same label and leading word share blocks, which keeps the bounds tight
-    examples = sorted(examples, key=lambda r: (r[2], r[3][int(np.argmax(r[4]))] if len(r[3]) else -1, r[1]))
+    examples = sorted(examples, key=lambda r: (r[2], r[3][int(np.argmax((1 + np.log(r[4])) * leading[r[3]]))] if len(r[3]) else -1, r[1]))
     ids, bodies, labels = (np.array([r[i] for r in examples], dtype=np.int64) for i in range(3))
     words = np.concatenate([r[3] for r in examples] or [np.zeros(0, np.int64)])
-    value = np.concatenate([r[4] for r in examples] or [np.zeros(0)])
+    tf = 1 + np.log(np.concatenate([r[4] for r in examples] or [np.zeros(0)]))
     example = np.repeat(np.arange(len(examples)), [len(r[3]) for r in examples])
+    scale = np.zeros((FOLDS, len(examples)))
+    for k in range(FOLDS):
+        length = np.sqrt(np.bincount(example, (tf * weight[k][words]) ** 2, minlength=len(examples)))
+        np.divide(1.0, length, out=scale[k], where=(length > 0) & (bodies % FOLDS != k))
     order = np.argsort(words, kind="stable")  # within a word, examples stay in order
-    words, value, example = words[order], value[order], example[order]
+    words, tf, example = words[order], tf[order], example[order]
     block = example // BLOCK
     begins = np.nonzero(np.diff(words, prepend=-1) | np.diff(block, prepend=-1))[0]
-    block_max = np.maximum.reduceat(value, begins) if len(begins) else value
+    most = [np.maximum.reduceat(tf * scale[k][example], begins) * weight[k][words[begins]] if len(begins) else tf for k in range(FOLDS)]
     of_word = np.searchsorted(words[begins], np.arange(len(vocabulary) + 1))
-    return Index(vocabulary, weight, ids, bodies, labels, of_word, block[begins], block_max, np.append(begins, len(words)), example, value)
+    return Models(vocabulary, weight, ids, bodies, labels, of_word, block[begins], np.append(begins, len(words)), example.astype(np.int32), tf, scale, np.array(most), [1.0] * FOLDS, [0.0] * FOLDS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Models:
@@ -234,42 +238,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             yield pa.RecordBatch.from_arrays([pa.array([body_of(t.as_py()) % FOLDS for t in b.column(1)], pa.int32()), b.column(0)], names=["fold", "toxic"])
 
     sizes = {k: (0, 0) for k in range(FOLDS)} | {r["fold"]: (r["n"], r["p"]) for r in found.select("toxic", "text").mapInArrow(folds, "fold int, toxic int").groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).collect()}
-    words: list[tuple[dict[bytes, int], np.ndarray]] = []
+    vocabulary, weight = {bytes(t): i for i, t in enumerate(rows["term"])}, np.zeros((FOLDS, len(rows)))
     for k in range(FOLDS):
         a, z = (k + 1) % FOLDS, (k + 2) % FOLDS
         df = (rows[f"df{a}"] + rows[f"df{z}"]).to_numpy(dtype=float)
         own = np.nonzero(df >= MIN_EXAMPLES)[0]
-        vocabulary = {bytes(t): i for i, t in enumerate(rows["term"].iloc[own])}
-        words.append((vocabulary, word_weights(sizes[a][0] + sizes[z][0], df[own], sizes[a], rows[f"df{a}"].to_numpy(dtype=float)[own], rows[f"hits{a}"].to_numpy(dtype=float)[own])))
-    sent_words = spark.sparkContext.broadcast(words)
+        weight[k][own] = word_weights(sizes[a][0] + sizes[z][0], df[own], sizes[a], rows[f"df{a}"].to_numpy(dtype=float)[own], rows[f"hits{a}"].to_numpy(dtype=float)[own])
+    sent_words = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                body = body_of(text.as_py())
-                for k in range(FOLDS):
-                    if body % FOLDS != k:
-                        at, w = vector(text.as_py(), *sent_words.value[k])
-                        out.append((k, doc, body, toxic, at.tobytes(), w.tobytes()))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["model", "doc_id", "body", "toxic", "at", "w"])
-
-    packed = found.select("doc_id", "toxic", "text").mapInArrow(vectors, "model int, doc_id long, body long, toxic int, at binary, w binary").collect()  # bounded by max_examples
-    examples = [[(r["doc_id"], r["body"], r["toxic"], np.frombuffer(r["at"], dtype=np.int64), np.frombuffer(r["w"])) for r in packed if r["model"] == k] for k in range(FOLDS)]
-    models = Models([built(*words[k], examples[k]) for k in range(FOLDS)])
+            made = [counted(t.as_py(), sent_words.value) for t in b.column(2)]
+            cols = [b.column(0), pa.array([body_of(t.as_py()) for t in b.column(2)], pa.int64()), b.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "body", "toxic", "at", "n"])
+
+    packed = found.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, body long, toxic int, at binary, n binary").collect()  # bounded by max_examples
+    sent_words.destroy()
+    models = built(vocabulary, weight, [(r["doc_id"], r["body"], r["toxic"], np.frombuffer(r["at"], dtype=np.int32).astype(np.int64), np.frombuffer(r["n"], dtype=np.int32).astype(np.float64)) for r in packed])
     if packed:
         sent = spark.sparkContext.broadcast(models)
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
             for b in batches:
                 models_of = [(body_of(t.as_py()) - 2) % FOLDS for t in b.column(1)]
-                made = [own.vote(own.neighbours(t.as_py())) for k, t in zip(models_of, b.column(1), strict=True) if (own := sent.value.of_fold[k])]
+                made = [own.vote(own.neighbours(t.as_py(), k), k) for k, t in zip(models_of, b.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(models_of, pa.int32()), b.column(0), pa.array(made, pa.float64())], names=["model", "toxic", "vote"])
 
         got = found.select("toxic", "text").mapInArrow(votes, "model int, toxic int, vote double").orderBy("model", "vote", "toxic").toPandas()
+        sent.destroy()
         for k, own in got.groupby("model"):
-            models.of_fold[k].calibrate(own["vote"].to_numpy(), own["toxic"].to_numpy())
+            models.calibrate(int(k), own["vote"].to_numpy(), own["toxic"].to_numpy())
     return models
 
 
