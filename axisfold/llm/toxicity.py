@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 #: At most so many labelled documents become examples, those of lowest hash.
-MAX_EXAMPLES = 6_000
+MAX_EXAMPLES = 4_000
 FOLDS = 3
 MIN_EXAMPLES = 2
 NEIGHBOURS = 15
@@ -194,8 +194,9 @@ def word_weights(n: int, df: np.ndarray, told: tuple[int, int], told_df: np.ndar
 def built(vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> Models:
     """The models of examples (doc_id, body, label, words, counts)."""
     leading = weight.sum(axis=0)
-    # examples with the same label and leading word share blocks, which keeps the bounds tight
-    examples = sorted(examples, key=lambda r: (r[2], r[3][int(np.argmax((1 + np.log(r[4])) * leading[r[3]]))] if len(r[3]) else -1, r[1]))
+    # folds lie apart, so that a model passes over the blocks of its own; examples with the
+    # same label and leading word share blocks, which keeps the bounds tight
+    examples = sorted(examples, key=lambda r: (r[1] % FOLDS, r[2], r[3][int(np.argmax((1 + np.log(r[4])) * leading[r[3]]))] if len(r[3]) else -1, r[1]))
     ids, bodies, labels = (np.array([r[i] for r in examples], dtype=np.int64) for i in range(3))
     words = np.concatenate([r[3] for r in examples] or [np.zeros(0, np.int64)])
     tf = 1 + np.log(np.concatenate([r[4] for r in examples] or [np.zeros(0)]))
