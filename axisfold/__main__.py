@@ -41,7 +41,7 @@ def generation_info(spark: SparkSession, data_dir: str | None, generation: str |
 
 
 def load_functions(path: str) -> None:
-    """Register the public functions (catalog, params) of a Python file."""
+    """Register the public functions of a Python file: of (catalog, params), or of an epoch's context alone."""
     spec = importlib.util.spec_from_file_location("user_parts", path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("--by-epoch", action="store_true", help="write Parquet by epoch; a run again replaces its own epochs")
     parser.add_argument("--dvtbudget-coef", help="calibration coefficients, JSON")
     parser.add_argument("--initial-temperature", help="board temperatures for all epochs")
-    parser.add_argument("--custom-parts", help="Python file of functions (catalog, params) -> DataFrame(Epoch, value)")
+    parser.add_argument("--custom-parts", help="Python file of functions (catalog, params) -> DataFrame(Epoch, value), or (context of an epoch) -> number")
     parser.add_argument("--generation-info", help="JSON with the numbers of axis values")
     parser.add_argument("--explain", action="store_true", help="write the first step that went wrong to {out}.causes")
     parser.add_argument("--strict", action="store_true", help="stop if an epoch fails")

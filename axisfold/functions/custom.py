@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import pickle
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark import TaskContext
@@ -17,7 +20,7 @@ REGISTRY: dict[str, Callable] = {}
 
 
 def register(name: str, fn: Callable[..., DataFrame] | Aggregate) -> None:
-    """Name a function (catalog, params) -> DataFrame(Epoch, value), or a mergeable aggregate."""
+    """Name a function (catalog, params) -> DataFrame(Epoch, value), one of an epoch's context -> number, or a mergeable aggregate."""
     if name.startswith("_"):
         raise ValueError("names that begin with _ are private")
     REGISTRY[name] = fn
@@ -31,11 +34,40 @@ def checked(scored: DataFrame) -> DataFrame:
     return got.select("Epoch", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))
 
 
-def custom_part(name: str, catalog, params: Mapping) -> DataFrame:
+@dataclass(frozen=True)
+class EpochContext:
+    """What a function of one epoch gets: its directory, a ``Path`` if it is a local or mounted one, and the settings."""
+
+    data_dir: Path | str
+    generation: str | None = None
+    group_defs: Mapping = field(default_factory=dict)
+    params: Mapping = field(default_factory=dict)
+
+
+def by_directory(catalog, fn: Callable[[EpochContext], float], params: Mapping, groups: Mapping | None = None) -> DataFrame:
+    """(Epoch, value, reason) of a function that reads an epoch's directory itself; what it raises becomes the reason.
+
+    Epochs are spread over the tasks, so executors must see the directories.
+    """
+    if catalog.directories is None:
+        raise ValueError("a function of an epoch's context needs epochs that are read from directories")
+    generation, groups = catalog.generation, dict(groups or {})
+
+    def of_epoch(rows: pd.DataFrame, params: Mapping) -> float:
+        path = rows["path"].iloc[0]
+        return fn(EpochContext(Path(path) if path.startswith("/") else path, generation, groups, params))
+
+    tasks = int(catalog.directories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return by_epoch(catalog.directories.repartition(tasks, "Epoch"), of_epoch, params)  # by number, so that tasks stay apart
+
+
+def custom_part(name: str, catalog, params: Mapping, groups: Mapping | None = None) -> DataFrame:
     if name not in REGISTRY:
         raise ValueError(f"no registered function {name}")
     if isinstance(REGISTRY[name], Aggregate):
         return merged_by_epoch(REGISTRY[name].rows(catalog, params), REGISTRY[name], params)
+    if len(inspect.signature(REGISTRY[name]).parameters) == 1:
+        return by_directory(catalog, REGISTRY[name], params, groups)
     out = REGISTRY[name](catalog, params)
     if dict(out.dtypes).get("value") == "boolean":
         return out.groupBy("Epoch").agg(F.lit(None).cast("double").alias("value"), F.lit("the value is not a number").alias("reason"))

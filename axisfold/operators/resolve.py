@@ -67,7 +67,7 @@ class Catalog:
     measurements: by type, (Epoch, axes..., value).  labels and names: by type, side
     tables with the side keys.  maps: by name, (Epoch,) code, text.  temperatures: (Epoch,)
     Board, temp.  calibration: generation, temp_key, ord, state, a, b.  epochs: Epoch,
-    History, EpochNo.  counts: declared numbers of axis values.
+    History, EpochNo.  counts: declared numbers of axis values.  directories: Epoch, path.
     """
 
     measurements: Mapping[str, DataFrame]
@@ -79,6 +79,7 @@ class Catalog:
     epochs: DataFrame | None = None
     generation: str | None = None
     counts: Mapping[str, int] = field(default_factory=dict)
+    directories: DataFrame | None = None
 
     def map_of(self, axis: str) -> DataFrame | None:
         return next((self.maps[n] for n in map_names(axis) if n in self.maps), None)

@@ -97,7 +97,7 @@ def refused(catalog: Catalog, file: ScoreFile, known: Shared) -> DataFrame | Non
 
 def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False, share: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(Epoch, part, value, reason) of all parts, (Epoch, part) where a dummy stands in, and all epochs where they are known."""
-    parts = file.resolved_parts()
+    parts, declared = file.resolved_parts(), file.groups
     used_groups = {n: g for n, g in file.groups.items() if any(n in p.used_groups(file.groups) for p in parts)}
     file = replace(file, groups=resolve_groups(used_groups, list(catalog.measurements.values()), catalog.counts))
     tables = staged_catalogs(catalog, file) if stage else {}
@@ -106,7 +106,7 @@ def part_values(catalog: Catalog, file: ScoreFile, stage: bool = False, share: b
     out = used = None
     for part in file.resolved_parts():
         if part.function:
-            got = custom_part(part.function, catalog, part.params)
+            got = custom_part(part.function, catalog, part.params, declared)
         else:
             dummy = file.dummies.get(part.type)
             if dummy is not None and part.source_type not in catalog.measurements:

@@ -23,7 +23,7 @@ from .plans import presets
 from .plans.part import score_part
 from .plans.score import compute_scores
 from .plans.spec import GroupDef, Relative, ScoreFile, ScorePart, Step, file_from, json_with_comments
-from .sources import tables
+from .sources import bundles, tables
 from .sources.headers import header_index
 from .sources.history import open_catalog
 from .sources.shared import shared_dir
@@ -581,6 +581,16 @@ def replicate_grid(spark, sf_dir):
     return synth.expand_boards_chips(one, [2, 3]).toDF("board", "chip", "line", "value")
 
 
+@query(f"WITH {_LOW}, g AS (SELECT unnest([0, 0, 1, 1, 1])::BIGINT AS board, unnest([0, 1, 0, 1, 2])::BIGINT AS chip) SELECT board, chip, CAST(l_linenumber AS BIGINT) AS line, CAST(l_quantity AS DOUBLE) AS value FROM y CROSS JOIN g", base=False)
+def bundle_replicas(spark, sf_dir):
+    made = shared_dir(spark)
+    tables.write_bundle({"QTY": _bundle(spark, sf_dir)}, f"{made}/whole")
+    bundles.single_bundle(spark, f"{made}/whole", f"{made}/single")
+    bundles.replicate_bundle(spark, f"{made}/single", f"{made}/many", [2, 3])
+    got = open_catalog(spark, data_dir=f"{made}/many").measurements["QTY"]
+    return got.select(F.col("Board").alias("board"), F.col("Chip").alias("chip"), F.col("Line").alias("line"), "value")
+
+
 # --- data quality ----------------------------------------------------------------
 
 
@@ -596,6 +606,22 @@ def axis_catalog(spark, sf_dir):
     return quality.axis_catalog(catalog(spark, sf_dir), "QTY")
 
 
+@query("""
+SELECT 'QTY' AS type, axis, pos, value, lo, hi FROM (
+  SELECT 'Board' AS axis, 0 AS pos, NULL AS value, CAST(min(board) AS VARCHAR) AS lo, CAST(max(board) AS VARCHAR) AS hi FROM b HAVING count(DISTINCT board) > 7
+  UNION ALL SELECT DISTINCT 'Board', 0, CAST(board AS VARCHAR), NULL, NULL FROM b WHERE (SELECT count(DISTINCT board) FROM b) <= 7
+  UNION ALL SELECT 'Measure', 1, NULL, CAST(min(measure) AS VARCHAR), CAST(max(measure) AS VARCHAR) FROM b
+  UNION ALL SELECT DISTINCT 'Line', 2, CAST(line AS VARCHAR), NULL, NULL FROM b
+  UNION ALL SELECT DISTINCT 'Flag', 3, flag, NULL, NULL FROM b UNION ALL SELECT DISTINCT 'State', 4, state, NULL, NULL FROM b
+  UNION ALL SELECT DISTINCT 'Priority', 5, o_orderpriority, NULL, NULL FROM orders
+  UNION ALL SELECT DISTINCT 'Read_Override', 6, CASE o_orderstatus WHEN 'F' THEN 'TRUE' WHEN 'O' THEN '1' ELSE 'false' END, NULL, NULL FROM orders
+  UNION ALL SELECT 'DataName', 7, NULL, CAST(min(s_nationkey) AS VARCHAR), CAST(max(s_nationkey) AS VARCHAR) FROM supplier HAVING count(DISTINCT s_nationkey) > 7
+  UNION ALL SELECT DISTINCT 'DataName', 7, n_name, NULL, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE (SELECT count(DISTINCT s_nationkey) FROM supplier) <= 7)
+""")
+def bounded_catalog(spark, sf_dir):
+    return quality.bounded_catalog(catalog(spark, sf_dir), "QTY", most=7).drop("size")  # estimates; their error is tested
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS code, n_name AS text FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)", base=False)
 def axis_candidates(spark, sf_dir):
     cat = catalog(spark, sf_dir)

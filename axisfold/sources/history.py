@@ -99,7 +99,7 @@ def open_catalog(
     if not found:
         raise ValueError("no history and no epoch directory")
     read: dict[str, dict[str, list[DataFrame]]] = {k: {} for k in ("measure", "label", "name", "map")}
-    temps, epochs, listed, heads = [], [], None, None
+    temps, epochs, places, listed, heads = [], [], [], None, None
     for i, (folder, epoch) in enumerate(found):
         files = spark.read.format("binaryFile").load(f"{folder}/*").select("path")
         own = epoch(F.col("path"))
@@ -107,6 +107,8 @@ def open_catalog(
         if data_dir is None:
             history, no = F.regexp_replace(own, "#[0-9]+$", ""), F.regexp_extract("path", _NO, 1).cast("long")
         epochs.append(files.select(own.alias("Epoch"), history.alias("History"), no.alias("EpochNo")).distinct())
+        place = F.regexp_extract("path", f"^(.*/{_NO.rstrip('/')})/", 1) if data_dir is None else F.lit(folder)
+        places.append(files.select(own.alias("Epoch"), F.regexp_replace(place, "^file:/+", "/").alias("path")).distinct())
         kind = F.when(F.col("path").rlike(_ARCHIVE), "archive").when(F.col("path").rlike(r"\.csv(\.gz)?$|\.csv/"), "table")
         part = files.select(F.lit(i).alias("i"), kind.alias("kind"))
         listed = part if listed is None else listed.unionByName(part)
@@ -138,4 +140,4 @@ def open_catalog(
         temps = [tables.read_temperatures(spark, temperatures).drop("Epoch")]
     got = {k: {n: _union(parts) for n, parts in v.items()} for k, v in read.items()}
     coefficients = tables.read_calibration(spark, calibration) if calibration else None
-    return Catalog(got["measure"], got["label"], got["name"], got["map"], _union(temps), coefficients, _union(epochs), generation, counts or {})
+    return Catalog(got["measure"], got["label"], got["name"], got["map"], _union(temps), coefficients, _union(epochs), generation, counts or {}, _union(places))

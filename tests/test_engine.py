@@ -435,3 +435,16 @@ def test_dummies_over_large_axes(spark):
     assert synth.dummy_part(spark, cat, p, 2.0).first()["value"] == 1e6
     with pytest.raises(SpecError, match="grid"):
         synth.dummy_part(spark, cat, part(["a&b"], {"a&b": MEAN}, "Y"), 2.0)
+
+
+def test_catalogue_of_large_axes_by_sketches(spark):
+    df = spark.range(50_000).select(F.lit(1).alias("Epoch"), F.col("id").alias("Measure"), (F.col("id") % 5).alias("WL"), F.lit(None).cast("long").alias("Void"), F.lit(1.0).alias("value"))
+    codes = spark.range(3).select(F.col("id").alias("code"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    cat = Catalog({"T": df}, maps={"WL": codes})
+    got = quality.bounded_catalog(cat, "T", 100).collect()
+    (large,) = [r for r in got if r["value"] is None]
+    assert (large["axis"], large["pos"], large["lo"], large["hi"]) == ("Measure", 0, "0", "49999") and abs(large["size"] - 50_000) < 2_500
+    assert sorted((r["axis"], r["pos"], r["value"]) for r in got if r["value"]) == [("WL", 1, f"w{i}") for i in range(3)]
+    whole = {(r["axis"], r["value"]) for r in quality.axis_catalog(cat, "T").collect()}
+    assert whole == {(r["axis"], r["value"]) for r in quality.bounded_catalog(cat, "T", 10**6).collect()} and len(whole) == 50_003
+    assert quality.bounded_catalog(Catalog({"T": df.limit(0)}), "T").count() == 0

@@ -4,13 +4,17 @@ import json
 import random
 import shutil
 import tarfile
+from dataclasses import replace
 from statistics import mean
 
 import pytest
 
-from axisfold.__main__ import generation_info, histories_of, main
+from axisfold.__main__ import generation_info, histories_of, load_functions, main
+from axisfold.functions.custom import custom_part
+from axisfold.operators.resolve import Catalog
 from axisfold.plans.score import compute_scores
-from axisfold.plans.spec import SpecError, file_from, json_with_comments
+from axisfold.plans.spec import GroupDef, SpecError, file_from, json_with_comments
+from axisfold.sources.bundles import main as bundles
 from axisfold.sources.history import open_catalog
 
 CONFIG = """{
@@ -140,3 +144,51 @@ def test_configurations_that_cannot_run():
         file_from({"score_parts": [{"name": "a", "type": "custom", "order": ["WL"]}]})
     assert file_from({"score_parts": [{"name": "mine", "type": "custom"}]}).parts[0].function == "mine"
     assert json_with_comments('{"a": "x // y, ]", /* b */ "c": [1, 2,],}') == {"a": "x // y, ]", "c": [1, 2]}
+
+
+def test_functions_of_an_epochs_directory(spark, made, tmp_path):
+    base, root, rows = made
+    (tmp_path / "own.py").write_text(
+        "def lines(ctx):\n    return len((ctx.data_dir / 'FBC.csv').read_text().splitlines()) - 1 + ctx.params['more']\n"
+        "def kld(ctx):\n    return float((ctx.data_dir / 'KLD.csv').read_text().splitlines()[1].split(',')[-1])\n"
+        "def told(ctx):\n    return float(ctx.generation == 'B9LS' and ctx.group_defs['G'].groups['a'] == (0, 1))\n"
+        "def classic(catalog, params):\n    return catalog.measurements['FBC'].groupBy('Epoch').agg({'value': 'max'}).toDF('Epoch', 'value')\n"
+    )
+    load_functions(str(tmp_path / "own.py"))
+    config = {"score_parts": [{"name": n, "type": "custom", "params": {"more": 0.5}} for n in ("lines", "told", "classic")]}
+    file = replace(file_from(config), groups={"G": GroupDef("WL", {"a": (0, 1)})})
+    got = {r["EpochNo"]: r for r in compute_scores(open_catalog(spark, [str(root)], generation="B9LS"), file).scores.collect()}
+    assert {no: (r["lines"], r["told"], r["classic"]) for no, r in got.items()} == {no: (len(own) + 0.5, 1.0, max(x[-1] for x in own)) for no, own in rows.items()}
+    lost = compute_scores(open_catalog(spark, [str(root)]), file_from({"score_parts": [{"name": "kld", "type": "custom"}]}))
+    assert [(r["EpochNo"], r["kld"]) for r in lost.scores.collect()] == [(1, 4.0)]
+    (failed,) = lost.failed.collect()
+    assert "FileNotFoundError" in failed["reason"]
+    (one,) = compute_scores(open_catalog(spark, data_dir=str(root / "result.0001")), file).scores.collect()
+    assert (one["lines"], one["told"]) == (len(rows[1]) + 0.5, 0.0)
+    with pytest.raises(ValueError, match="directories"):
+        custom_part("lines", Catalog({}), {})
+
+
+def test_bundles_rewritten_from_the_command_line(spark, made, tmp_path):
+    _, root, rows = made
+    source = tmp_path / "source"
+    shutil.copytree(root / "result.0001", source)
+    (source / "initial_temperature.csv").write_text("1,30.5\n0,28.25\n")
+    (source / "B9LS.json").write_text('{"numWLs": 4}')
+    (source / "note.csv").write_text('Name,Text\n1,"a, b"\n')
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    bundles([f"--data-dir={source}", f"--out={one}", "--single"], spark)
+    bundles([f"--data-dir={one}", f"--out={many}", "--chips=1,2"], spark)
+    own = sorted((m, w, s, float(v)) for b, m, w, s, v in rows[1] if b == 0)
+    cat = open_catalog(spark, data_dir=one)
+    assert sorted(map(tuple, cat.measurements["FBC"].select("Measure", "WL", "State", "value").collect())) == own
+    assert [tuple(r) for r in cat.temperatures.select("Board", "temp").collect()] == [(0, 28.25)]
+    assert generation_info(spark, many, "B9LS") == {"numWLs": 4}
+    cat = open_catalog(spark, data_dir=many)
+    got = sorted(tuple(r) for r in cat.measurements["FBC"].select("Board", "Chip", "Measure", "WL", "State", "value").collect())
+    assert got == sorted((b, c, *x) for b, c in ((0, 0), (1, 0), (1, 1)) for x in own)
+    assert sorted(tuple(r) for r in cat.temperatures.select("Board", "temp").collect()) == [(0, 28.25), (1, 28.25)]
+    assert cat.maps["State"].count() == 2 and cat.labels["FBC"].count() == 6
+    assert [r[0] for r in spark.read.text(f"{many}/note.csv").collect()] == ["Name,Text", '1,"a, b"']
+    with pytest.raises(SpecError, match="more than one Board"):
+        bundles([f"--data-dir={source}", f"--out={tmp_path / 'no'}", "--chips=2"], spark)
