@@ -11,8 +11,8 @@ rows in blocks of a million make 4 million counts.
 
 Defined cases: an empty table gives no rows; null and empty texts are rows like
 any other; rows equal in every column get different slots, and where they are more
-than ``MANY`` they are dealt over all blocks by copy; input columns named like an
-output column are replaced.
+than ``MANY`` they are dealt over all blocks by copy, in ranges of ``RANGE`` copies
+that are tasks' work apart; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import checkpointed, table
 BROADCAST_CELLS = 4_000_000
 #: More equal rows than this don't share a block.
 MANY = 1_000
+#: Copies are made in ranges of so many.
+RANGE = 1_000_000
 
 
 def hypergeometric(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -71,13 +73,16 @@ def _numbered(keyed: DataFrame) -> DataFrame:
     """The rows with ``copy``: 0, or a number of its own for each of many equal rows."""
     hashes = ["first", "second"]
     many = checkpointed(keyed.groupBy(*hashes).count().where(F.col("count") > MANY))
-    n = many.count()
+    n, ranges = many.agg(F.count("*"), F.sum(F.ceil(F.col("count") / RANGE))).first()
     if not n:
         return keyed.withColumn("copy", F.lit(0).cast("long"))
     hint = F.broadcast if 2 * n <= BROADCAST_CELLS else lambda x: x
     once = keyed.join(hint(many), hashes, "left_semi").dropDuplicates(hashes)
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("copy")
-    dealt = once.join(hint(many), hashes).select("row", *hashes, copies)
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RANGE).cast("long"))).alias("start")
+    tasks = min(ranges, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = once.join(hint(many), hashes).select("row", *hashes, "count", start).repartition(tasks, *hashes, "start")  # by number, so that ranges stay apart
+    copies = F.explode(F.sequence("start", F.least(F.col("start") + RANGE, F.col("count")) - 1)).alias("copy")
+    dealt = pieces.select("row", *hashes, copies)
     return keyed.join(hint(many), hashes, "left_anti").select("row", *hashes, F.lit(0).cast("long").alias("copy")).unionByName(dealt)
 
 
