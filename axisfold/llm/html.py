@@ -10,6 +10,9 @@ A mark of 1 is weak (a list of links, a form; for the article a name), so the tr
 goes by words and links there.  An article or main element ends the marks of what it
 lies in, but for comments, related pages and the like.
 
+Words are counted by white space, and by letters in scripts that have none.  Where the
+tree keeps no block at all, as of a page of one short line, the unmarked blocks stay.
+
 Defined cases: a null, empty or text-free page gives an empty text; pages that end
 early or leave elements open are read as far as they go; script and style end at
 their end tag only, whatever they hold; comments in the markup hold no text;
@@ -35,6 +38,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _OPEN = re.compile(r"</?[a-zA-Z!?]")
 _NAME = re.compile(r"[a-z]+")
+#: Letters of scripts that are written without spaces: Thai to Khmer, kana and ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -53,13 +58,23 @@ BESIDE_NAMES = (
 TOP_NAMES = frozenset("header masthead topbar".split())
 ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
-#: Words that make a name one of a page's layout or state, such as "content-sidebar-wrap" or "has-menu".
-LAYOUT_NAMES = frozenset("content main page primary layout has no with is open enabled".split())
+#: Words that make a name one of a page's state, such as "has-menu" or "comments-open".
+STATE_NAMES = frozenset("layout has no with is open enabled".split())
+#: A name with a word of each is one of a page's layout, such as "content-sidebar-wrap".
+INNER_NAMES, AROUND_NAMES = frozenset("content main".split()), frozenset("wrap wrapper container area".split())
+#: With these a header is one of the text, such as "entry-header".
+TITLE_NAMES = ARTICLE_NAMES | {"page", "primary"}
 BLOCK = "array<struct<text:string,words:int,link_words:int,beside:int,article:int>>"
 NEIGHBOURS = {"before": -1, "after": 1, "before2": -2, "after2": 2}
 FEATURES = ["words", "link_density", *[f"{kind}_{at}" for at in NEIGHBOURS for kind in ("words", "density")], "beside", "article"]
 
 
+def n_words(text: str) -> int:
+    """Words by white space; two letters of a script without spaces count as one."""
+    unspaced = 0 if text.isascii() else len(_UNSPACED.findall(text))
+    return len((_UNSPACED.sub(" ", text) if unspaced else text).split()) + (unspaced + 1) // 2
+
+
 def _marks(tag: str, attrs: str, article: int) -> tuple[int, int]:
     """How strongly an element names itself as beside the text, and as the article."""
     beside, own = BESIDE.get(tag, 2 if tag == "header" and not article else 0), 2 if tag in ARTICLE else 0
@@ -71,10 +86,11 @@ def _marks(tag: str, attrs: str, article: int) -> tuple[int, int]:
             elif name in ("class", "id", "role"):
                 for token in value.split():
                     parts = set(_NAME.findall(token))
-                    told = max([BESIDE_NAMES.get(x, 0) for x in parts] + [2 * (not article and bool(parts & TOP_NAMES))])
+                    top = not article and parts & TOP_NAMES and not parts & TITLE_NAMES
+                    told = max([BESIDE_NAMES.get(x, 0) for x in parts] + [2 if top else 0])
                     if not told:
                         own = max(own, int(bool(parts & ARTICLE_NAMES)))
-                    elif len(parts) == 1 or not parts & LAYOUT_NAMES:
+                    elif not (parts & STATE_NAMES or parts & INNER_NAMES and parts & AROUND_NAMES):
                         beside = max(beside, told)
     return beside, 0 if beside > 1 else own
 
@@ -90,9 +106,9 @@ def page_blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
-                linked = sum(len(t.split()) for t, inside in parts if inside)
+                linked = sum(n_words(t) for t, inside in parts if inside)
                 top = stack[-1] if stack else ("", 0, 0, False)
-                n = text.count(" ") + 1
+                n = n_words(text)
                 out.append((text, n, min(linked, n), top[1], top[2]))
             parts.clear()
 
@@ -174,7 +190,7 @@ def labelled_table() -> list[tuple[float, ...]]:
     for page in PAGES:
         own = []
         for text, _, linked, beside, article in page_blocks(page):
-            n = len(text[1:].split())
+            n = n_words(text[1:])
             own.append((text[0] == "+", n, min(linked, n) / n if n else 0.0, beside, article))
         pages.append(own)
     for line in BLOCKS:
@@ -209,10 +225,16 @@ def is_main(tree, x: Column) -> Column:
 
 
 def main_text(pages: DataFrame, page: str = "html", tree=None) -> DataFrame:
-    """``pages`` with ``main_blocks``, the texts of the blocks that the tree keeps."""
+    """``pages`` with ``main_blocks``, the texts of the blocks that the tree keeps.
+
+    Of a page of which it keeps none, all blocks stay that are neither marked as beside
+    the text nor half made of links.
+    """
     tree = tree or train_tree(pages.sparkSession)
     cut = pages.withColumn("main_blocks", blocks(F.col(f"`{page}`")))
-    kept = F.filter(described(F.col("main_blocks")), lambda x: is_main(tree, x))
+    every = described(F.col("main_blocks"))
+    kept = F.filter(every, lambda x: is_main(tree, x))
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.filter(every, lambda x: (x["beside"] <= 1) & (x["link_density"] < 0.5)))
     return cut.withColumn("main_blocks", F.transform(kept, lambda x: x["text"]))
 
 

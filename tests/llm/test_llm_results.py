@@ -179,6 +179,19 @@ LAYOUTS += [
 ]
 
 
+LAYOUTS += [
+"<ul><li><a>-\u9996\u9875</a></li><li><a>-\u5173\u4e8e\u6211\u4eec</a></li></ul><p>+" + "\u6cb3\u6c34\u6d41\u8fc7\u6751\u5e84\u7684\u65f6\u5019\u5b69\u5b50\u4eec\u90fd\u5728\u5cb8\u8fb9\uff0c" * 4 + "</p><p>+" + "\u51ac\u5929\u6765\u4e34\u4ee5\u540e\u6ca1\u6709\u4eba\u518d\u53bb\u90a3\u5ea7\u6865\u4e0a\u3002" * 5 + "</p>",
+"<h1>+A short notice</h1><p>+Closed today.</p>",
+'<div class="nav-menu"><a>-Home</a></div><h1>+Closed</h1><p>+Back soon.</p><div class="page-footer">-Imprint</div>',
+'''<div class="notice-content"><p>-Our shop will be closed for the whole of next week because of works on the roof, we ask for your patience.</p></div><div class="entry"><div class="entry-header"><h1>+The long field</h1></div><p>+The field runs from the road down to the stream, and no one living remembers a year in which it was not under wheat.</p><p>+This spring it was sown with flax, which stood blue for a week in June and was the talk of three villages.</p></div><div class="footer-content"><p>-All that stands on these pages may be printed once by each reader for use at home and not otherwise.</p></div>''',
+'''<nav><a>-Only</a> <a>-links</a></nav><footer>-Imprint</footer>''',
+]
+
+
+def test_words_of_any_script():
+    assert [html.n_words(x) for x in ("", "one  two", "\u6cb3\u6c34\u6d41", "a \u6cb3\u6c34 b", "na\u00efve caf\u00e9")] == [0, 2, 2, 3, 2]
+
+
 def test_clashing_columns_of_pages(spark):
     rows = spark.createDataFrame([(1, "<article><p>Text</p></article>", "own")], "page_id long, html string, words string")
     assert html.main_text(rows).select("words", "main_blocks").first() == ("own", ["Text"])
@@ -368,6 +381,7 @@ def test_matrix_of_very_many_rows():
 
 def test_many_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(sharding, "MANY", 10)
+    monkeypatch.setattr(sharding, "RANGE", 7)
     df = spark.range(500).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("x"))
     got = sharding.shard_rows(df, 5, seed=3).collect()
     assert sorted(r["x"] for r in got) == [-1] * 300 + list(range(300, 500))
