@@ -7,13 +7,16 @@ over a document; around each hit Myers' bit-parallel distance, one bit for each
 word of the item, tells whether the whole item is there.
 
 Words are runs of letters, digits and underscores, lower-cased, so marks and line
-breaks don't matter.
+breaks don't matter; each letter of a script without spaces is a word.
 
-Defined cases: null and empty texts match nothing; items of fewer than
-``min_words`` words (null and empty ones too) are not looked for; equal items are
-all reported; repeated rows are reported each; an empty table on either side gives
-no matches; an item's best match in a document is the one of least distance, and
-of these the first.
+An item of fewer than ``min_words`` words is common speech inside a text, but not as a
+line of its own.  It is found where a whole line equals it but for ``rate`` of its
+characters, by the same method over characters in the words' place.
+
+Defined cases: null and empty texts match nothing; items without words (null and empty
+ones too) can't be found; equal items are all reported; repeated rows are reported each;
+an empty table on either side gives no matches; an item's best match in a document is
+the one of least distance (words, or characters for a short item), and of these the first.
 """
 
 from __future__ import annotations
@@ -29,51 +32,97 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html import UNSPACED
 
 RATE = 0.15
 MIN_WORDS = 5
 #: Items are collected and sent out in blocks of about so many characters.
 BLOCK_CHARS = 4_000_000
 _WORD = re.compile(r"\w+")
+_WORD_OR_LETTER = re.compile(f"{UNSPACED}|(?:(?!{UNSPACED})\\w)+")
+_HAS_UNSPACED = re.compile(UNSPACED)
 
 
 def item_words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_WORD if text.isascii() or not _HAS_UNSPACED.search(text) else _WORD_OR_LETTER).findall(text)
+
+
+def cuts(size: int, budget: int) -> list[int]:
+    """Where a pattern is cut into one piece more than the budget, both ends included."""
+    return [size * j // (budget + 1) for j in range(budget + 2)]
+
+
+def places(pattern) -> dict[str, int]:
+    """For each word (or character) of a pattern, the bits of its places."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(pattern):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def automaton_of(pieces: dict[str, list]) -> ahocorasick.Automaton | None:
+    if not pieces:
+        return None
+    out = ahocorasick.Automaton()
+    for piece, where in pieces.items():
+        out.add_word(piece, (len(piece), where))
+    out.make_automaton()
+    return out
 
 
 class Matcher:
     """The pieces of some items, ready to search texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_words: int):
-        self.items = []
+        self.items, self.short, self.longest = [], [], 0
         pieces: dict[str, list[tuple[int, int]]] = {}
+        short_pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             w = item_words(text)
+            if not w:
+                continue
             if len(w) < min_words:
+                line = " ".join(w)
+                budget = int(rate * len(line))
+                at = cuts(len(line), budget)
+                for a, b in zip(at, at[1:], strict=False):
+                    short_pieces.setdefault(line[a:b], []).append((len(self.short), a))
+                self.short.append((item_id, len(line), budget, places(line)))
+                self.longest = max(self.longest, len(line) + budget)
                 continue
             budget = int(rate * len(w))
-            at = [len(w) * j // (budget + 1) for j in range(budget + 2)]
-            masks: dict[str, int] = {}
-            for i, x in enumerate(w):
-                masks[x] = masks.get(x, 0) | 1 << i
-            back: dict[str, int] = {}
-            for i, x in enumerate(reversed(w)):
-                back[x] = back.get(x, 0) | 1 << i
+            at = cuts(len(w), budget)
             for a, b in zip(at, at[1:], strict=False):
                 pieces.setdefault(f" {' '.join(w[a:b])} ", []).append((len(self.items), a))
-            self.items.append((item_id, len(w), budget, masks, back))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in pieces.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if pieces:
-            self.automaton.make_automaton()
-        self.any = bool(pieces)
+            self.items.append((item_id, len(w), budget, places(w), places(reversed(w))))
+        self.automaton, self.short_automaton = automaton_of(pieces), automaton_of(short_pieces)
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, first word, words) for each item in the text."""
-        if not text or not self.any:
+        if not text:
             return []
-        w = item_words(text)
+        return (self._inside(item_words(text)) if self.automaton else []) + (self._lines(text) if self.short_automaton else [])
+
+    def _lines(self, text: str) -> list[tuple[int, int, int, int]]:
+        """The short items that are lines of the text."""
+        best: dict[int, tuple[int, int, int]] = {}
+        first = 0
+        for line in text.split("\n"):
+            w = item_words(line)
+            joined = " ".join(w)
+            near: set[int] = set()
+            if joined and len(joined) <= self.longest:
+                for end, (size, where) in self.short_automaton.iter(joined):
+                    near.update(i for i, offset in where if abs(end - size + 1 - offset) <= self.short[i][2])
+            for i in near:
+                _, m, budget, masks = self.short[i]
+                if abs(len(joined) - m) <= budget and (d := edit_distance(masks, m, joined)) <= budget and (i not in best or d < best[i][0]):
+                    best[i] = d, first, len(w)
+            first += len(w)
+        return [(self.short[i][0], *found) for i, found in best.items()]
+
+    def _inside(self, w: list[str]) -> list[tuple[int, int, int, int]]:
         line = f" {' '.join(w)} "
         windows: dict[int, set[int]] = {}
         starts = None
@@ -115,10 +164,28 @@ def edit_match(masks: dict[str, int], m: int, words: list[str], stop_at: int = -
     the stretch must begin at the first word, and the first end with at most that
     distance counts.
     """
+    best, at = m, 0
+    for j, score in enumerate(_scores(masks, m, words, stop_at >= 0), 1):
+        if score < best:
+            best, at = score, j
+            if best <= stop_at:
+                break
+    return best, at
+
+
+def edit_distance(masks: dict[str, int], m: int, line: str) -> int:
+    """Edit distance of the pattern to the whole of ``line``."""
+    score = m
+    for score in _scores(masks, m, line, True):  # noqa: B007
+        pass
+    return score
+
+
+def _scores(masks: dict[str, int], m: int, words, from_first: bool) -> Iterator[int]:
+    """After each word, the least distance of the pattern to a stretch that ends there."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best, at = m, 0
-    for j, x in enumerate(words):
+    for x in words:
         eq = masks.get(x, 0)
         d0 = (((eq & plus) + plus) ^ plus) | eq | minus
         hp = minus | ~(d0 | plus) & full
@@ -128,16 +195,12 @@ def edit_match(masks: dict[str, int], m: int, words: list[str], stop_at: int = -
         elif hm & top:
             score -= 1
         hp = (hp << 1) & full
-        if stop_at >= 0:
+        if from_first:
             hp |= 1
         hm = (hm << 1) & full
         plus = hm | ~(d0 | hp) & full
         minus = hp & d0
-        if score < best:
-            best, at = score, j + 1
-            if best <= stop_at:
-                break
-    return best, at
+        yield score
 
 
 def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:

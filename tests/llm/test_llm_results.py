@@ -125,6 +125,53 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert len({d for d, _ in want} & {d for d, _ in planted}) == 30
 
 
+SHORT_ITEMS = [(1, "Name the capital of France."), (2, "Who wrote Hamlet?"), (3, "Yes"), (4, "Boiling point of water"), (5, "..."), (6, "\u6cb3\u6c34\u6d41\u8fc7\u6751\u5e84\u7684\u65f6\u5019")]
+SHORT_DOCS = [
+    (1, "A quiz.\nWho  wrote hamlet\nThe answer comes later."),
+    (2, "Those who know who wrote Hamlet say yes."),  # inside a line, as common speech
+    (3, "boiling point of vater\nyes!"),  # one character of 22
+    (4, "whom wrote Hamlet\nYess"),  # one of 17 characters; one of 3 is above the budget
+    (5, "Boiling points of waters and oils"),
+    (6, "\u4ece\u524d\u6cb3\u6c34\u6d41\u8fc7\u5c0f\u5e84\u7684\u65f6\u5019\uff0c\u5b69\u5b50\u4eec\u5728"),  # one letter of nine, inside a text
+    (7, "Please name the capital of France. Now."),
+    (8, ""),
+]
+
+
+def test_short_items_are_found_as_lines(spark):
+    got = decontamination.matches(spark.createDataFrame(SHORT_DOCS, "doc_id long, text string"), spark.createDataFrame(SHORT_ITEMS, "item_id long, text string")).collect()
+    want = {(1, 2): (0, 2, 3), (3, 4): (1, 0, 4), (3, 3): (0, 4, 1), (4, 2): (1, 0, 3), (6, 6): (1, 2, 9), (7, 1): (0, 1, 5)}
+    assert {(r["doc_id"], r["item_id"]): (r["distance"], r["first_word"], r["n_words"]) for r in got} == want
+    left = decontamination.decontaminated(spark.createDataFrame(SHORT_DOCS, "doc_id long, text string"), spark.createDataFrame(SHORT_ITEMS, "item_id long, text string"))
+    assert {r["doc_id"] for r in left.collect()} == {2, 5, 8}
+
+
+def whole_edits(a, b):
+    before = list(range(len(a) + 1))
+    for j, x in enumerate(b, 1):
+        now = [j]
+        for i, y in enumerate(a):
+            now.append(min(before[i] + (x != y), before[i + 1] + 1, now[i] + 1))
+        before = now
+    return before[-1]
+
+
+def test_short_items_equal_brute_force():
+    draw = np.random.default_rng(4)
+    some = ["alpha", "alfa", "beta", "betas", "gamma", "gama", "delta"]
+    line = lambda: " ".join(draw.choice(some, draw.integers(1, 5)))
+    items = [(i, line()) for i in range(60)]
+    matcher = decontamination.Matcher(items, 0.15, 5)
+    for _ in range(40):
+        lines = [line() for _ in range(draw.integers(1, 6))]
+        want = {}
+        for i, item in items:
+            d = min(whole_edits(item, x) for x in lines)
+            if d <= int(0.15 * len(item)):
+                want[i] = d
+        assert {i: d for i, d, *_ in matcher.find("\n".join(lines))} == want
+
+
 def test_item_blocks_change_nothing(spark):
     docs, items = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
     one = {tuple(r) for r in decontamination.matches(docs, items).collect()}
