@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from .functions.custom import register
-from .operators.quality import failed_causes
+from .operators.quality import explained, failed_causes
 from .plans.score import ScoreError, compute_scores
 from .plans.spec import CALIBRATED_TYPE, file_from, json_with_comments
 from .sources.history import open_catalog
@@ -102,7 +102,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         args.initial_temperature,
     )
     try:
-        got = compute_scores(catalog, file, strict=args.strict or args.data_dir is not None, persist=True, stage=True)
+        got = compute_scores(catalog, file, persist=True, stage=True)
+        any_failed = not got.failed.isEmpty()
+        if any_failed and (args.strict or args.data_dir is not None):
+            first = explained(catalog, file, got.failed.orderBy("Epoch").limit(1)).first()
+            raise ScoreError(f"{first['Epoch']}: {first['reason']}")
         if args.data_dir is not None:
             row = got.scores.drop("Epoch", "History", "EpochNo").first()
             print(json.dumps(row.asDict()))
@@ -115,8 +119,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
                 write_scores(got.scores, args.out, args.format)
             if not got.dummy_used.isEmpty():
                 write_failed(got.dummy_used, f"{args.out}.dummy")
-            if not got.failed.isEmpty():
-                write_failed(got.failed, f"{args.out}.failed")
+            if any_failed:
+                write_failed(explained(catalog, file, got.failed), f"{args.out}.failed")
                 if args.explain:
                     write_failed(failed_causes(catalog, file, got.failed), f"{args.out}.causes")
         got.release()

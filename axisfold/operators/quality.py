@@ -12,11 +12,11 @@ from ..functions.semantics import is_bad
 from ..plans.part import base_frame, virtual_step
 from ..plans.spec import AGGREGATES, CALIBRATE_STEP, RELATIVE_STEP, GroupDef, ScoreFile, ScorePart, axes_of, is_virtual
 from ..sources.shared import staged
-from .fold import VALUE, apply_step, matches
+from .fold import VALUE, apply_step, combined_key, fuse_axes, matches
 from .lookup import unmatched_calibration
 from .relative import fan_out
 from .resolve import SIDE_KEYS, Catalog
-from .transforms import group_label, resolve_groups
+from .transforms import group_label, resolve_groups, uncovered
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -77,21 +77,59 @@ def first_offence(metrics: DataFrame) -> DataFrame:
     return x.groupBy("Epoch").agg(F.min_by(F.struct("step", "what"), "at").alias("_f")).select("Epoch", "_f.step", "_f.what")
 
 
+def _only(catalog: Catalog, file: ScoreFile, failed: DataFrame) -> tuple[Catalog, Mapping[str, GroupDef], list[ScorePart]]:
+    """The rows of failed epochs, the groups by all rows, and the parts that have steps and a table."""
+    lost = failed.select("Epoch").distinct()
+    groups = resolve_groups(file.groups, list(catalog.measurements.values()), catalog.counts)
+    own = {t: m.join(lost, "Epoch", "left_semi") for t, m in catalog.measurements.items()}
+    own = replace(catalog, measurements=own, epochs=catalog.epoch_table().join(lost, "Epoch", "left_semi"))
+    return own, groups, [p for p in file.resolved_parts() if not p.function and p.source_type in own.measurements]
+
+
 def failed_causes(catalog: Catalog, file: ScoreFile, failed: DataFrame) -> DataFrame:
     """(Epoch, part, step, what): where the parts of failed epochs first lost all rows or met null or NaN.
 
     Only rows of the failed epochs are run again.  User-defined parts have no steps.
     """
-    lost = failed.select("Epoch").distinct()
-    groups = resolve_groups(file.groups, list(catalog.measurements.values()), catalog.counts)
-    own = {t: m.join(lost, "Epoch", "left_semi") for t, m in catalog.measurements.items()}
-    own = replace(catalog, measurements=own, epochs=catalog.epoch_table().join(lost, "Epoch", "left_semi"))
-    found = []
-    for part in file.resolved_parts():
-        if not part.function and part.source_type in own.measurements:
-            first = first_offence(step_metrics(own, part, part.used_groups(groups)))
-            found.append(first.select("Epoch", F.lit(part.name).alias("part"), "step", "what"))
-    return union(found) if found else lost.limit(0).select("Epoch", *[F.lit("").alias(c) for c in ("part", "step", "what")])
+    own, groups, parts = _only(catalog, file, failed)
+    found = [first_offence(step_metrics(own, p, p.used_groups(groups))).select("Epoch", F.lit(p.name).alias("part"), "step", "what") for p in parts]
+    return union(found) if found else failed.limit(0).select("Epoch", *[F.lit("").alias(c) for c in ("part", "step", "what")])
+
+
+def unweighted(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:
+    """(Epoch, at, step, axis, values): the axis values that a step meets and has no weight for, the first eight and a mark of more."""
+    df, found = base_frame(catalog, part, groups or {}), []
+    for at, name in enumerate(part.effective_order(), 1):
+        if name in (RELATIVE_STEP, CALIBRATE_STEP):
+            df = virtual_step(df, catalog, part, name)
+            continue
+        step, rows, axis, weights = part.steps[name], df, name, part.steps[name].weight
+        if is_virtual(name):
+            axis, weights = step.by, step.value
+        elif isinstance(weights, Mapping):
+            wanted = combined_key(name, step.value) if "&" in name else step.value
+            rows = fuse_axes(df, name) if "&" in name else df
+            rows = rows if wanted is None else rows.where(matches(rows, name, list(wanted)))
+        if isinstance(weights, Mapping):
+            lost = uncovered(rows, axis, weights).groupBy("Epoch").agg(F.sort_array(F.collect_set(axis)).alias("v"), F.count_if(F.col(axis).isNull()).alias("none"))
+            shown = F.concat(F.transform(F.slice("v", 1, 8), lambda x: x.cast("string")), F.when(F.size("v") > 8, F.array(F.lit("..."))).otherwise(F.array()), F.when(F.col("none") > 0, F.array(F.lit("null"))).otherwise(F.array()))
+            found.append(lost.select("Epoch", F.lit(at).alias("at"), F.lit(name).alias("step"), F.lit(axis).alias("axis"), F.array_join(shown, ", ").alias("values")))
+        df = virtual_step(df, catalog, part, name) if is_virtual(name) else apply_step(df, name, step)
+    return union(found) if found else df.limit(0).select("Epoch", F.lit(0).alias("at"), *[F.lit("").alias(c) for c in ("step", "axis", "values")])
+
+
+def explained(catalog: Catalog, file: ScoreFile, failed: DataFrame) -> DataFrame:
+    """``failed`` (Epoch, reason) whose reasons tell the steps that went wrong and the values without a weight.
+
+    Only rows of the failed epochs are run again; user-defined parts keep their bare reasons.
+    """
+    own, groups, parts = _only(catalog, file, failed)
+    said = [failed_causes(catalog, file, failed).select("Epoch", F.concat("part", F.lit(": "), "what", F.lit(" at "), "step").alias("text"))]
+    for p in parts:
+        lost = unweighted(own, p, p.used_groups(groups))
+        said.append(lost.select("Epoch", F.concat(F.lit(f"{p.name}: no weight for "), "axis", F.lit(" "), "values", F.lit(" at "), "step").alias("text")))
+    told = union(said).groupBy("Epoch").agg(F.array_join(F.sort_array(F.collect_list("text")), "; ").alias("_told"))
+    return failed.join(told, "Epoch", "left").select("Epoch", F.concat("reason", F.coalesce(F.concat(F.lit(" ("), "_told", F.lit(")")), F.lit(""))).alias("reason"))
 
 
 def relative_causes(catalog: Catalog, part: ScorePart, groups: Mapping[str, GroupDef] | None = None) -> DataFrame:

@@ -534,6 +534,19 @@ def failed_causes(spark, sf_dir):
     return quality.failed_causes(cat, file, compute_scores(cat, file).failed).withColumnRenamed("Epoch", "epoch")
 
 
+@query(
+    ", e AS (SELECT DISTINCT epoch FROM b), p AS (SELECT DISTINCT epoch FROM b WHERE epoch >= 1998 AND flag = 'R'), w AS (SELECT epoch, string_agg(line::VARCHAR, ', ' ORDER BY line) AS v FROM (SELECT DISTINCT epoch, line FROM b WHERE line > 3) GROUP BY epoch), l AS (SELECT epoch, epoch NOT IN (SELECT epoch FROM p) AS late FROM e)"
+    " SELECT epoch, 'all: the value is null or NaN' || CASE WHEN late THEN '; late: no rows' ELSE '' END || ' (all: no weight for Line ' || v || ' at Line; all: null or NaN appeared at Line'"
+    " || CASE WHEN late THEN '; late: no rows left at ' || CASE WHEN epoch < 1998 THEN 'resolved' ELSE 'Flag' END ELSE '' END || ')' AS reason FROM l JOIN w USING (epoch)"
+)
+def failed_reasons(spark, sf_dir):
+    """Reasons that tell the step and the axis values without a weight."""
+    cat, file = _late(spark, sf_dir)
+    weighted = ScorePart("all", "QTY", ("Line",), {"Line": Step("sum", weight={"1": 1.0, "2": 0.5, "3": 2.0})})
+    file = ScoreFile((weighted, file.parts[1]))
+    return quality.explained(cat, file, compute_scores(cat, file).failed).withColumnRenamed("Epoch", "epoch")
+
+
 @query("SELECT round(sum(2.0::DOUBLE) * 0.1, 6) AS value FROM nation", base=False)
 def dummy_part(spark, sf_dir):
     p = part(("__log__", Step("log", floor=1e-6)), ("DataName", Step("sum", weight=0.1)))

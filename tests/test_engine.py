@@ -448,3 +448,17 @@ def test_catalogue_of_large_axes_by_sketches(spark):
     whole = {(r["axis"], r["value"]) for r in quality.axis_catalog(cat, "T").collect()}
     assert whole == {(r["axis"], r["value"]) for r in quality.bounded_catalog(cat, "T", 10**6).collect()} and len(whole) == 50_003
     assert quality.bounded_catalog(Catalog({"T": df.limit(0)}), "T").count() == 0
+
+
+def test_values_without_a_weight(spark):
+    rows = [(1, w, s, 1.0) for w in range(12) for s in ("A", "B")] + [(2, 0, "A", 1.0), (2, None, "A", 1.0), (3, 0, "A", 1.0)]
+    cat = Catalog({"T": spark.createDataFrame(rows, "Epoch int, WL int, State string, value double")})
+    by = Step("mul", {"0": 2.0}, by="WL")
+    row_wise = ScorePart("a", "T", ("__mul__", "WL", "State"), {"__mul__": by, "WL": Step("mean"), "State": Step("mean")})
+    assert {tuple(r) for r in quality.unweighted(cat, row_wise).collect()} == {(1, 1, "__mul__", "WL", "1, 2, 3, 4, 5, 6, 7, 8, ..."), (2, 1, "__mul__", "WL", "null")}
+    chosen = ScorePart("b", "T", ("State", "WL"), {"State": Step("filter", "A"), "WL": Step("sum", [0, 1, 2], weight={"0": 1.0, "2": 1.0})})
+    assert [tuple(r) for r in quality.unweighted(cat, chosen).collect()] == [(1, 2, "WL", "WL", "1")]
+    fused = ScorePart("c", "T", ("State&WL",), {"State&WL": Step("sum", weight={"A&0": 1.0, "B&0": 1.0, **{f"{s}&{w}": 1.0 for s in "AB" for w in range(1, 11)}, "A&11": 1.0})})
+    assert {tuple(r) for r in quality.unweighted(cat, fused).where("Epoch <> 2").collect()} == {(1, 1, "State&WL", "State&WL", "B&11")}
+    plain = ScorePart("d", "T", ("WL", "State"), {"WL": Step("mean"), "State": Step("mean")})
+    assert quality.unweighted(cat, plain).count() == 0

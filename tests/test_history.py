@@ -132,6 +132,20 @@ def test_command_line(spark, made, capsys, tmp_path):
         histories_of(["a=x", "a=y"])
 
 
+def test_failures_name_step_and_values(spark, made, tmp_path):
+    base, root, rows = made
+    steps = {"WL": {"op": "sum", "weight": {"0": 1, "1": 2}}, "Board": {"op": "mean"}}
+    (tmp_path / "weights.jsonc").write_text(json.dumps({"score_parts": [{"name": "w", "type": "FBC", "order": list(steps), "aggregations": steps}], "expression": "w"}))
+    lacking = ", ".join(map(str, sorted({r[2] for r in rows[1]} - {0, 1})))
+    told = f"w: the value is null or NaN (w: no weight for WL {lacking} at WL; w: null or NaN appeared at WL)"
+    with pytest.raises(SystemExit) as stopped:
+        main(["--config", f"file://{tmp_path}/weights.jsonc", "--data-dir", f"file://{root}/result.0001"], spark)
+    assert str(stopped.value).endswith(told)
+    main(["--config", f"file://{tmp_path}/weights.jsonc", "--history", f"mine=file://{root}", "--out", f"file://{tmp_path}/scores"], spark)
+    failed = spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/scores.failed").collect()
+    assert {r["Epoch"] for r in failed} == {"mine#0001", "mine#0002"} and told in {r["reason"] for r in failed}
+
+
 def test_configurations_that_cannot_run():
     part = {"name": "a", "type": "FBC"}
     with pytest.raises(SpecError, match="numerator_when"):
