@@ -18,8 +18,9 @@ bytes of a 64-bit hash.
 
 Defined cases: a null, empty or blank text has 0 words, score 0 and no mean; where
 no other document has words, others count as one word; repeated rows are documents
-of their own, so they vouch for each other, and share a block; ids may be null; extra columns
-are ignored.
+of their own, so they vouch for each other; rows that repeat more than MANY times are
+counted where they lie, scored once, and made again over tasks; ids may be null; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import NO_ID, checkpointed, table
 
 ORDER = 3
 BACKOFF = 0.4
@@ -40,6 +41,10 @@ BLOCK_CHARS = 6_000_000
 #: About so many n-grams meet in one partition of the count table.
 PARTITION_GRAMS = 2_000_000
 KEY_BYTES = 6
+#: Rows equal in doc_id and text that are more than so many are one row with a number.
+MANY = 1_000
+#: The keys of so many such rows, 16 bytes each, are sent to every task; beyond, they are joined.
+MOST_SENT = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,14 +115,25 @@ def _slices(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(int(part[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 
 
-def block_counts(texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+def summed(which: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by position."""
+    out = np.zeros(size, dtype=np.int64)
+    np.add.at(out, which, weights)
+    return out
+
+
+def block_counts(texts, copies: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     words, sizes = word_hashes(texts)
-    keys, counts = np.unique(np.concatenate([h for h, _ in grams(words, sizes, order)]), return_counts=True)
+    made = grams(words, sizes, order)
+    keys, which, counts = np.unique(np.concatenate([h for h, _ in made]), return_inverse=True, return_counts=True)
+    if (copies > 1).any():
+        often = np.repeat(copies, sizes)
+        counts = summed(which, np.concatenate([often[at] for _, at in made]), len(keys))
     at = np.searchsorted(keys, NOTHING)
-    return np.insert(keys, at, NOTHING), np.insert(counts, at, len(words))
+    return np.insert(keys, at, NOTHING), np.insert(counts, at, int((sizes * copies).sum()))
 
 
-def score_block(texts, elsewhere: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+def score_block(texts, copies: np.ndarray, elsewhere: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Words and log scores of each text; ``elsewhere`` holds the other blocks' counts in key order."""
     words, sizes = word_hashes(texts)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -130,10 +146,11 @@ def score_block(texts, elsewhere: np.ndarray, order: int, backoff: float) -> tup
     unique, own = np.cumsum(fresh) - 1, np.cumsum(pair) - 1
     distinct = sorted_keys[fresh]
     at = int(np.searchsorted(distinct, NOTHING[0]))
-    total = int(elsewhere[at]) + len(words)
+    total = int(elsewhere[at]) + int((sizes * copies).sum())
     elsewhere = np.delete(elsewhere, at)
     counts = np.empty(len(keys), dtype=np.int64)
-    counts[by_key] = (elsewhere + np.bincount(unique, minlength=len(distinct)))[unique] - np.bincount(own)[own] if len(keys) else 0
+    here = np.bincount(unique, minlength=len(distinct)) if (copies == 1).all() else summed(unique, copies[owner], len(distinct))
+    counts[by_key] = (elsewhere + here)[unique] - np.bincount(own)[own] if len(keys) else 0
     others = np.maximum(total - sizes, 1)[doc].astype(float)
     by_order, begin = [others], 0
     for h, where in made:
@@ -151,16 +168,40 @@ def score_block(texts, elsewhere: np.ndarray, order: int, backoff: float) -> tup
     return sizes, np.bincount(doc, weights=score, minlength=len(sizes))
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_chars: int = BLOCK_CHARS, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+def counted(rows: DataFrame, many: int) -> tuple[DataFrame, bool]:
+    """doc_id, text, copies, and whether any copies are: rows equal more than ``many`` times are one, others stay as they are."""
+    once = F.lit(1).cast("long").alias("copies")
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("body")]
+    often = checkpointed(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > many).select("doc", "body"))
+    found = often.count()
+    if not found:
+        return rows.select("doc_id", "text", once), False
+    if found <= MOST_SENT:
+        often = F.broadcast(often)
+    met = [k == often[n] for k, n in zip(key, ("doc", "body"), strict=True)]
+    one = rows.join(often, met, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return rows.join(often, met, "left_anti").select("doc_id", "text", once).unionByName(one), True
+
+
+def made_again(scored: DataFrame, many: int) -> DataFrame:
+    """Each row as often as ``copies`` says, in pieces of at most ``many`` that are dealt over tasks."""
+    plain, zero = ["doc_id", "n_words", "score"], F.lit(0).cast("long")
+    pieces = scored.withColumn("piece", F.explode(F.sequence(zero, F.floor((F.col("copies") - 1) / many)))).repartition(*plain, "piece")
+    last = F.least(F.lit(many).cast("long"), F.col("copies") - F.col("piece") * many) - 1
+    return pieces.select(*plain, F.explode(F.sequence(zero, last)).alias("copy")).select(*plain)
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_chars: int = BLOCK_CHARS, partition_grams: int = PARTITION_GRAMS, many: int = MANY) -> DataFrame:
     """doc_id, n_words, score (sum of natural logs) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     bits = max(0, int(np.ceil(np.log2(max(1, chars * 0.1 * order / partition_grams)))))
+    rows, repeated = counted(rows, many)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
 
     def send(block: pa.Table) -> pa.Table:
-        keys, counts = block_counts(block.column("text").to_pylist(), order)
+        keys, counts = block_counts(block.column("text").to_pylist(), block.column("copies").to_numpy(), order)
         cut = _slices(keys, bits)
         packed = [pack(keys[a:b], bits) for _, a, b in cut]
         return pa.table(
@@ -187,12 +228,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, blo
         parts = heard.column("part").to_numpy()
         told = heard.column("elsewhere").to_pylist()
         elsewhere = np.concatenate([unsqueeze(told[i]) for i in np.argsort(parts)])
-        sizes, scores = score_block(block.column("text").to_pylist(), elsewhere, order, backoff)
-        return pa.table({"doc_id": block.column("doc_id"), "n_words": pa.array(sizes), "score": pa.array(scores)})
+        sizes, scores = score_block(block.column("text").to_pylist(), block.column("copies").to_numpy(), elsewhere, order, backoff)
+        return pa.table({"doc_id": block.column("doc_id"), "copies": block.column("copies"), "n_words": pa.array(sizes), "score": pa.array(scores)})
 
     sent = rows.groupBy("block").applyInArrow(send, "part int, block int, steps binary, low binary, counts binary")
     heard = sent.groupBy("part").applyInArrow(count, "block int, part int, elsewhere binary")
-    return rows.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, score double")
+    scored = rows.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(score, "doc_id long, copies long, n_words long, score double")
+    return made_again(scored, many) if repeated else scored.drop("copies")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

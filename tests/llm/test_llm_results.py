@@ -79,6 +79,19 @@ def test_lm_scores_with_other_blocks(spark):
     assert one.keys() == many.keys() and all(one[d] == pytest.approx(many[d]) for d in one)
 
 
+def test_rows_that_repeat_often_are_scored_once(spark):
+    often = "the same short line of a page that is copied without end"
+    rows = [(1, "a line of words that stands alone on the page")] + [(None, often)] * 57 + [(3, often)] * 9 + [(4, "the same short line")] * 2 + [(5, None)] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = lambda many: sorted((str(r[0]), r[1], round(r[2], 9)) for r in lm_scores_of(docs, many))
+    plain = asked(1_000)
+    assert len(plain) == len(rows) and plain == asked(8) == asked(1) == asked(10)
+
+
+def lm_scores_of(docs, many):
+    return lm_score.lm_scores(docs, many=many).select("doc_id", "n_words", "score").collect()
+
+
 def test_squeeze_round_trip():
     x = np.array([0, 1, 254, 255, 256, 10**12, 0])
     assert (lm_score.unsqueeze(lm_score.squeeze(x)) == x).all()
