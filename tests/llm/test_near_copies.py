@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from axisfold.llm import common, near_copies, simhash
+from axisfold.llm import common, components, near_copies, simhash, wide_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,73 @@ def test_no_text_is_lost(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         for left in (near_copies.without_near_copies(df), simhash.without_copies(df)):
             assert sorted(r["text"] for r in left.collect()) == [q, p], rows
+
+
+def plain_fingerprint(hashes):
+    """Each bit counted by itself."""
+    mask, words = (1 << 64) - 1, []
+    for draw in wide_simhash._DRAW.tolist():
+        mixed = []
+        for h in hashes:
+            z = h ^ draw
+            z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & mask
+            z = (z ^ (z >> 27)) * 0x94D049BB133111EB & mask
+            mixed.append(z ^ (z >> 31))
+        words.append(sum((2 * sum(m >> i & 1 for m in mixed) > len(mixed)) << i for i in range(64)))
+    return words
+
+
+def test_wide_fingerprints_bit_by_bit():
+    for n in (0, 1, 2, 5, 255, 256, 700):
+        s = near_copies.shingle_set(" ".join(f"v{i}" for i in range(n + 4))) if n else np.zeros(0, dtype=np.uint64)
+        assert wide_simhash.fingerprint(s).tolist() == plain_fingerprint(s.tolist())
+
+
+def sets_of_edited_texts():
+    """Groups of nearer and farther copies, of all sizes, some of the same size."""
+    draw, sets = random.Random(8), []
+    for base in range(60):
+        words = [f"w{base}x{i}" for i in range(draw.choice([8, 9, 60, 60, 60, draw.randrange(10, 900)]))]
+        for n in range(8):
+            sets.append(near_copies.shingle_set(edited(words, set(draw.sample(range(len(words)), min(len(words), n * len(words) // 60))))))
+            sets.append(near_copies.shingle_set(" ".join(words[: len(words) - n * len(words) // 25])))
+    return list({near_copies.set_key(s): s for s in sets}.values())
+
+
+def test_vantage_point_search_equals_brute_force_and_misses_no_similar_pair(spark):
+    sets = sets_of_edited_texts()
+    bits = np.array([wide_simhash.fingerprint(s) for s in sets])
+    want, missed, similar = simhash.Union(len(sets)), 0, 0
+    for i, s in enumerate(sets):
+        far = np.bitwise_count(bits ^ bits[i])
+        near = (far.sum(axis=1, dtype=int) <= wide_simhash.RADIUS) & (far[:, : wide_simhash.HEAD].sum(axis=1, dtype=int) <= wide_simhash.HEAD_RADIUS)
+        near &= np.array([5 * min(len(s), len(t)) >= 4 * max(len(s), len(t)) for t in sets])
+        want.join(np.full(near.sum(), i), np.nonzero(near)[0])
+        for j in range(i):
+            alike = near_copies.similar(len(np.intersect1d(s, sets[j])), len(s), len(sets[j]))
+            similar, missed = similar + alike, missed + (alike and not near[j])
+    assert similar > 500 and missed == 0
+    rows = [(i, len(s), bits[i].tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, size long, bits binary").repartition(3)
+    roots = want.roots().tolist()
+    for shard_size in (50, 200, 10_000):
+        got = {r["node"]: r["root"] for r in components.components(wide_simhash.links(df, shard_size)).collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == roots
+
+
+def test_a_shard_is_left_where_bounds_rule_it_out():
+    rng = np.random.default_rng(4)
+    points = np.zeros(4_000, dtype=wide_simhash.POINT)
+    points["node"], points["bits"] = np.arange(4_000), rng.integers(0, 1 << 64, (4_000, wide_simhash.WORDS), dtype=np.uint64)
+    points["size"] = np.exp(rng.uniform(3, 9, 4_000)).astype(int)
+    routed = list(wide_simhash.route(wide_simhash.grow_tree(points, 32), points))
+    assert sorted(np.concatenate([h for _, h, _ in routed]).tolist()) == list(range(4_000))
+    assert len(routed) == 32 and sum(len(g) for _, _, g in routed) < 5 * 4_000
+
+
+def test_stage_links_by_the_named_search(spark, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, edited(words, {50})), (3, " ".join(words).upper())], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(near_copies, "links", lambda nodes: asked.append(nodes.count()) or wide_simhash.links(nodes))
+    assert [r["doc_id"] for r in near_copies.without_near_copies(df).collect()] == [1] and asked == [2]
