@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +97,8 @@ def read_measurement(spark: SparkSession, paths: str | Sequence[str], type_: str
 def _by_layout(spark: SparkSession, paths, column: str, rename: dict[str, str], kinds: dict[str, str], epoch: Callable[[Column], Column], layouts=None) -> DataFrame:
     """Files of one header are read as typed CSV; of several, all are read once by position, and each row by its own file's header.
 
-    Only the first bytes of each file are read to learn its header.
+    Only the first bytes of each file are read to learn its header.  What a header tells,
+    and the epoch of a path, are worked out by file and not by row.
     """
     heads = header_index(spark, paths)
     if layouts is None:
@@ -104,17 +107,23 @@ def _by_layout(spark: SparkSession, paths, column: str, rename: dict[str, str],
     if not own:
         raise ValueError(f"no table with a column {column}")
     named = list(dict.fromkeys(c for cells in own for c in cells))
+    path = F.col("_metadata.file_path")
     if len(layouts) == 1:
         schema = ", ".join(f"`{c}` {kinds.get(c, 'long')}" for c in named)
         df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
-        return df.select(epoch(F.col("_metadata.file_path")).alias("Epoch"), *[F.col(f"`{c}`").alias(rename.get(c, c)) for c in named])
-    width = max(map(len, own))
-    cells = F.array(*[F.coalesce(F.btrim(f"_{i}"), F.lit("")) for i in range(width)])
-    lines = spark.read.schema(", ".join(f"_{i} string" for i in range(width))).csv(paths).select(F.col("_metadata.file_path").alias("path"), cells.alias("cells"))
-    lines = lines.join(heads.where(F.array_contains("cells", column)).withColumnRenamed("cells", "head"), "path")
-    rows = lines.where((F.slice("cells", F.lit(1), F.size("head")) != F.col("head")) & (F.array_join("cells", "") != ""))
-    cell = lambda c: F.get("cells", (F.nullif(F.array_position("head", c), F.lit(0)) - 1).cast("int")).try_cast(kinds.get(c, "long"))
-    return rows.select(epoch(F.col("path")).alias("Epoch"), *[cell(c).alias(rename.get(c, c)) for c in named])
+        df = df.select(path.alias("_path"), *[F.col(f"`{c}`").alias(rename.get(c, c)) for c in named])
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(path.alias("_path")).distinct()
+        files = files.select("_path", epoch(F.col("_path")).alias("Epoch"))
+        return df.join(F.broadcast(files), "_path").select("Epoch", *[f"`{c}`" for c in df.columns[1:]])  # one row a file
+    places = [F.nullif(F.array_position("cells", c), F.lit(0)).cast("int").alias(f"_at{i}") for i, c in enumerate(named)]
+    files = heads.where(F.array_contains("cells", column)).select("path", epoch(F.col("path")).alias("Epoch"), F.col("cells").alias("head"), *places)
+    cells = [f"_{i}" for i in range(max(map(len, own)))]
+    lines = spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(paths).select(path.alias("path"), *[F.btrim(c).alias(c) for c in cells])
+    text = [F.coalesce(c, F.lit("")) for c in cells]
+    differs = [F.coalesce(t != F.get("head", F.lit(i)), F.lit(False)) for i, t in enumerate(text)]
+    rows = lines.where(reduce(or_, [t != "" for t in text])).join(F.broadcast(files), "path").where(reduce(or_, differs))  # one row a file
+    values = [F.elt(f"_at{i}", *cells).try_cast(kinds.get(c, "long")).alias(rename.get(c, c)) for i, c in enumerate(named)]
+    return rows.select("Epoch", *values)
 
 
 def read_side(spark: SparkSession, paths: str | Sequence[str], epoch: Callable[[Column], Column] = epoch_of, layouts: Sequence[Sequence[str]] | None = None) -> DataFrame:

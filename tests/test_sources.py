@@ -89,6 +89,22 @@ def test_quoted_cells_in_several_layouts_and_one_pass(spark, tmp_path):
     assert bytes_read(spark, lambda: read().collect()) < 1.2 * size
 
 
+@pytest.mark.parametrize("second", ["Board,WL,X", "X,WL,Board"])
+def test_epochs_and_headers_are_worked_out_by_file(spark, tmp_path, second):
+    """Rows meet what is known of their file where they lie: no shuffle by path, and no pattern of a path for each row."""
+    base = tmp_path / "exp" / "Step1" / "Loop01" / "result_history"
+    for no, head in ((1, "Board,WL,X"), (2, second)):
+        (base / f"result.{no:04d}").mkdir(parents=True)
+        rows = [dict(zip("Board WL X".split(), (i, 7, 0.5 * no), strict=True)) for i in range(10)]
+        text = "\n".join([head, *[",".join(str(r[c]) for c in head.split(",")) for r in rows], ""])
+        (base / f"result.{no:04d}" / "X.csv").write_text(text)
+    df = tables.read_measurement(spark, f"file://{base}/result.*/X.csv", "X")
+    assert df.columns == ["Epoch", "Board", "WL", "value"]
+    assert {tuple(r) for r in df.collect()} == {(f"exp/Step1/Loop01#000{no}", i, 7, 0.5 * no) for no in (1, 2) for i in range(10)}
+    of_rows, *of_files = df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")  # the rows come first
+    assert of_files and "hashpartitioning" not in of_rows and "regexp" not in of_rows.lower()
+
+
 def test_first_cells_of_awkward_files():
     assert first_cells(iter([b"\xef\xbb\xbf\r\n  \n a ,", b'"b,\nc"', b",d\r\n1,2,3\n"])) == ["a", "b,\nc", "d"]
     assert first_cells(iter([])) == [] and first_cells(iter([b"a,b"])) == ["a", "b"]
